@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, one for each operator, and their DuckDB SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import quality_rules
+from notelake.llm import quality_rules, token_planes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,5 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(*quality_rules.COLUMNS)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_planes.write_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_planes.read_tokens(manifest)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_token_planes": op3_token_planes}
 ORACLES = {"op1_quality_rules": quality_rules.sql()}
