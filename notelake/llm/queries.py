@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import quality_rules, token_planes
+from notelake.llm import dart_minhash, quality_rules, token_planes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_tokens(manifest)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_token_planes": op3_token_planes}
-ORACLES = {"op1_quality_rules": quality_rules.sql()}
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_token_planes": op3_token_planes, "op5_dart_minhash": op5_dart_minhash}
+ORACLES = {"op1_quality_rules": quality_rules.sql(), "op5_dart_minhash": dart_minhash.sql()}
