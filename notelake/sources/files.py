@@ -23,7 +23,7 @@ def open_output(uri: str):
     """A writable stream; its folder is made if the file system has folders."""
     fs, path = _where(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
