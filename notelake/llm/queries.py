@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import dart_minhash, quality_rules, token_planes, url_rules
+from notelake.llm import dart_minhash, quality_rules, token_planes, url_rules, warc_zst
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +23,14 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zst.read_archives(warc_zst.write_archives(_read(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_read(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_token_planes": op3_token_planes, "op5_dart_minhash": op5_dart_minhash, "op8_url_rules": op8_url_rules}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_token_planes": op3_token_planes, "op5_dart_minhash": op5_dart_minhash, "op6_warc_zst": op6_warc_zst, "op8_url_rules": op8_url_rules}
 ORACLES = {"op1_quality_rules": quality_rules.sql(), "op5_dart_minhash": dart_minhash.sql(), "op8_url_rules": url_rules.sql()}
