@@ -15,7 +15,7 @@ windows go to the join.
 
 A document is contaminated by an item when consistent spans cover at least
 ``COVER`` of its words, or ``RUN`` words. A window with fewer than ``LITERAL``
-plain words is compared without placeholders. An item shorter than the window
+different plain words is compared without placeholders. An item shorter than the window
 is one window of its own length; items of fewer than ``SHORTEST`` words match
 nothing.
 
@@ -48,7 +48,7 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 UNITS = frozenset(
     "% $ € £ mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres percent dollar dollars cent cents euro euros degree degrees mph kph watt watts volt volts hz".split()
 )
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[$€£%]|[.!?\n]")
+_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_][^\W_]*(?:['’-][^\W_]+)*|[$€£%]|[.!?\n]")
 _WORD, _NUMBER, _UNIT, _NAME, _MARK = range(5)
 _KINDS = {"<number>": _NUMBER, "<unit>": _UNIT, "<name>": _NAME}
 _HOLDERS = np.array([0, *(xxhash.xxh3_64_intdigest(k) for k in _KINDS), 0], dtype=np.uint64)
@@ -95,8 +95,13 @@ def template_windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     plain = window_hashes(hashes, size)
     filled = window_hashes(np.where(kinds == _WORD, hashes, _HOLDERS[kinds]), size)
-    words = np.concatenate(([0], np.cumsum(kinds == _WORD)))
-    typed = words[size:] - words[:-size] >= LITERAL
+    holders = np.concatenate(([0], np.cumsum(kinds != _WORD)))
+    typed = holders[size:] > holders[:-size]
+    at = np.flatnonzero(typed)
+    if len(at):  # a window says enough by itself if it has LITERAL different plain words
+        words = np.sort(np.lib.stride_tricks.sliding_window_view(np.where(kinds == _WORD, hashes, np.uint64(0)), size)[at], axis=1)
+        different = (words[:, 1:] != words[:, :-1]).sum(axis=1) + (words[:, 0] != 0)
+        typed[at] = different >= LITERAL
     salt = np.uint64(size * 2)
     return np.where(typed, filled + salt, plain + salt + np.uint64(1)), typed
 
