@@ -51,7 +51,7 @@ TABLES: dict[str, tuple[str, list[str], str | None]] = {
         "events",
         [
             "event_id as run_id", "concat('d', cast(user_id % 20 as string)) as device_id", "case when event_type = 'click' then 'manual' else 'auto' end as run_trigger", "case when event_type = 'error' then 'failed' when event_type = 'signup' then 'running' else 'ok' end as status",
-            "cast(event_id % 4 as int) as pushed", "cast(event_id % 3 as int) as pulled", "cast(event_id % 5 / 4 as int) as merged", "cast(event_id % 11 / 10 as int) as conflicts", "cast(event_id % 13 / 12 as int) as failed", "cast(user_id as bigint) * 100 as bytes_up", "event_id % 1000 as bytes_down", "ts as started_at", "cast(event_id % 2 as int) as waiting",
+            "cast(event_id % 4 as int) as pushed", "cast(event_id % 3 as int) as pulled", "case when event_id % 5 = 4 then 1 else 0 end as merged", "case when event_id % 11 = 10 then 1 else 0 end as conflicts", "case when event_id % 13 = 12 then 1 else 0 end as failed", "cast(user_id as bigint) * 100 as bytes_up", "event_id % 1000 as bytes_down", "ts as started_at", "cast(event_id % 2 as int) as waiting",
         ],
         None,
     ),
