@@ -5,8 +5,10 @@ Intermediate tables that cut lineage are Parquet in the folder named by
 names none (tests, a laptop) a folder under the temp folder is made once.
 """
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +46,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recording(made: list[str]) -> Iterator[None]:
+    """Add the scratch paths that are made meanwhile to ``made``, so that they can be dropped once what reads them has run."""
+    _recorders.append(made)
+    try:
+        yield
+    finally:
+        _recorders.remove(made)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch paths and empty the list."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    paths.clear()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
