@@ -140,3 +140,13 @@ def subset_test(t):
 def signal_types(t):
     kinds = F.array(F.when(F.col("text").rlike(x.EMAIL), "email"), F.when(F.col("text").rlike("[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"), "id_number"))
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array_compact(kinds))), ",").alias("types"))
+
+
+@query("""with c as (select memory_id, text, instr(text, 'rea') as p from notes where contains(text, 'rea'))
+select memory_id, (p - 1 - length(regexp_extract(substring(text, 1, p - 1), '([\\p{L}\\p{N}]*)$', 1)))::int as start, (p + 2 + length(regexp_extract(substring(text, p + 3), '^([\\p{L}\\p{N}]*)', 1)))::int as "end" from c""")
+def whole_words(t):
+    """A piece of a word, as a name model finds it, widened to the word."""
+    rows = t.notes.where(F.contains("text", F.lit("rea")))
+    at = F.instr("text", "rea") - 1
+    piece = F.array(F.struct(at.alias("start"), (at + 3).alias("end"), F.lit("person").alias("kind")))
+    return rows.select("memory_id", s.whole_words(F.col("text"), piece)[0].alias("w")).select("memory_id", "w.start", "w.end")

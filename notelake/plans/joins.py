@@ -142,6 +142,7 @@ union all select c.head, n.memory_id, n.supersedes, c.depth + 1, list_append(c.p
 select head, memory_id, depth from c""")
 def history_chain(t):
     """Each active note's earlier versions; a chain never visits a note twice."""
+    t.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # chains of all notes at once
     t.notes.select("memory_id", "supersedes", "status").createOrReplaceTempView("chain_notes")
     return t.spark.sql(
         """with recursive c(head, memory_id, supersedes, depth, path) as (

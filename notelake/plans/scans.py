@@ -134,10 +134,10 @@ def row_filter(t):
     return t.notes.select("memory_id", f.keyword({"kind": "photo"}, {"review": "pending"}).alias("passes"))
 
 
-@query(f"select memory_id, row_number() over (order by updated_at desc, memory_id) as place from notes where contains(lower(text), 'bearing') and status = 'active' and not coalesce(expires_at <= timestamp '{NOW}', false)")
+@query(f"select memory_id, updated_at from notes where contains(lower(text), 'bearing') and status = 'active' and not coalesce(expires_at <= timestamp '{NOW}', false)")
 def list_notes(t):
     rows = t.notes.where(f.keyword({"status": "active"}) & F.contains(F.lower("text"), F.lower(F.lit("BEARING"))) & ~f.expired(NOW))
-    return rows.select("memory_id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "memory_id")).alias("place"))
+    return rows.select("memory_id", "updated_at").orderBy(F.desc("updated_at"), "memory_id")  # sorted over ranges, not in one task
 
 
 @query(f"select memory_id, not coalesce(expires_at <= timestamp '{NOW}', false) as live from notes")
@@ -223,10 +223,10 @@ def source_choice(t):
     return t.notes.where(F.col("shard").isin("replica")).select("memory_id", "shard")
 
 
-@query(f"select memory_id, row_number() over (order by updated_at desc, memory_id) as place from notes where kind = 'announcement' and status = 'active' and scope <> 'private' and not coalesce(expires_at <= timestamp '{NOW}', false)")
+@query(f"select memory_id, updated_at from notes where kind = 'announcement' and status = 'active' and scope <> 'private' and not coalesce(expires_at <= timestamp '{NOW}', false)")
 def announcements(t):
     rows = t.notes.where(f.keyword({"kind": "announcement", "status": "active"}, {"scope": "private"}) & ~f.expired(NOW))
-    return rows.select("memory_id", F.row_number().over(Window.orderBy(F.desc("updated_at"), "memory_id")).alias("place"))
+    return rows.select("memory_id", "updated_at").orderBy(F.desc("updated_at"), "memory_id")
 
 
 @query("select l.memory_id, l.text, c.review, c.reviewed_by, c.reviewed_at, c.review_reason from local_notes l join (select * from cloud_notes) c using (memory_id)")
@@ -295,3 +295,9 @@ def all_shards(t):
 @query("select memory_id from local_notes union select memory_id from replica_notes")
 def known_ids(t):
     return t.local_notes.select("memory_id").union(t.replica_notes.select("memory_id")).distinct()
+
+
+@query("select memory_id, coalesce(d.role = 'trainee' and not d.trusted and n.scope <> 'private', false) as needs_review from notes n left join devices d using (device_id)")
+def needs_review(t):
+    df = t.notes.join(t.devices.select("device_id", F.col("role").alias("d_role"), "trusted"), "device_id", "left")
+    return df.select("memory_id", F.coalesce((F.col("d_role") == "trainee") & ~F.col("trusted") & (F.col("scope") != "private"), F.lit(False)).alias("needs_review"))
