@@ -13,7 +13,7 @@ _NOTE = [
     "case when o_custkey % 5 = 0 then 'global' else concat('s', cast(o_custkey % 5 as string)) end as site",
     "concat('Pump P-', cast(o_custkey % 100 as string), ' ', lower(o_orderpriority), ' reading ', cast(o_orderkey % 50 as string), case when o_orderkey % 8 = 0 then ' bearing replaced, normal' else ' vibration high' end) as text",
     "case when o_orderkey % 4 = 0 then concat('Pump [identity removed] ', lower(o_orderpriority)) when o_orderkey % 4 = 1 then '' end as shared_text",
-    "case o_orderkey % 9 when 0 then 'announcement' when 1 then 'reference' when 2 then 'photo' else 'observation' end as kind",
+    "case o_orderkey % 8 when 0 then 'announcement' when 1 then 'reference' when 2 then 'photo' else 'observation' end as kind",
     "case when o_custkey % 7 = 0 then null else concat('P-', cast(o_custkey % 100 as string)) end as asset",
     "case o_orderkey % 3 when 0 then 'private' when 1 then 'shared' else 'redacted' end as scope",
     "case o_custkey % 7 when 0 then 'equipment_fault' when 1 then 'safety_hazard' when 2 then 'procedure' when 3 then 'reading' when 4 then 'personal_health' when 5 then 'logistics' else 'other' end as category",
@@ -24,7 +24,7 @@ _NOTE = [
     "case when o_orderkey % 5 in (1, 2) then concat('sup', cast(o_custkey % 3 as string)) end as reviewed_by", "case when o_orderkey % 5 = 2 then 'unclear' end as review_reason",
     "case when o_orderkey % 5 in (1, 2) then o_orderdate end as reviewed_at", "case o_custkey % 4 when 0 then 'trainee' when 1 then 'supervisor' when 2 then 'visitor' else 'technician' end as role",
     "cast(o_orderkey % 7 + 1 as int) as rev", "cast(o_orderkey % 4 as int) as base_rev", "case when o_orderkey % 10 < 6 then 'local' else 'replica' end as shard",
-    "o_orderdate as created_at", "o_orderdate as updated_at", "case when o_orderkey % 9 = 0 then o_orderdate + interval '3' day end as expires_at",
+    "o_orderdate as created_at", "o_orderdate as updated_at", "case when o_orderkey % 8 = 0 then o_orderdate + interval '3' day end as expires_at",
     "o_orderkey % 11 = 0 as withdrawn", "case when o_orderkey % 13 = 0 then 'peer1' end as via_peer", "case o_orderkey % 17 when 0 then '99' when 1 then null when 2 then 'x' else '1' end as schema_text",
     "case when o_orderkey % 5 <> 0 then o_orderkey - 1 end as supersedes", "case when o_orderkey % 2 = 0 then 'resolves' else 'updates' end as relation", "o_totalprice as amount",
     "concat(substring(o_orderpriority, 3, 3), ',', lower(o_orderstatus), ',pump') as tag_text",
