@@ -10,8 +10,8 @@ question is caught and a chance likeness of templates is not. Neighbouring
 diagonals, which a few added words set apart, are merged.
 
 The tasks that read the texts keep only windows whose hash is in the benchmark.
-That set is sent to them when its count is at most ``max_sent``; beyond it all
-windows go to the join.
+That set and the benchmark's words are sent to them when it has at most
+``max_sent`` windows; beyond it all windows go to the join.
 
 A document is contaminated by an item when consistent spans cover at least
 ``COVER`` of its words, or ``RUN`` words. A window with fewer than ``LITERAL``
@@ -52,41 +52,67 @@ _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_][^\W_]*(?:['’-][^\W_]+)*|[$€
 _WORD, _NUMBER, _UNIT, _NAME, _MARK = range(5)
 _KINDS = {"<number>": _NUMBER, "<unit>": _UNIT, "<name>": _NAME}
 _HOLDERS = np.array([0, *(xxhash.xxh3_64_intdigest(k) for k in _KINDS), 0], dtype=np.uint64)
-_seen: dict[str, tuple[int, int, str]] = {}
 
 
-def _look(token: str) -> tuple[int, int, str]:
-    """(kind, hash, value) of a token; kind _NAME and _UNIT still depend on what stands before."""
-    low = token.lower()
+def _kind(token: str, low: str) -> int:
+    """The kind of a token by itself; _NAME and _UNIT still depend on what stands before."""
     if token in ".!?\n":
-        kind = _MARK
-    elif token[0].isdigit() or low in NUMBER_WORDS:
-        kind = _NUMBER
-    elif low in UNITS:
-        kind = _UNIT
-    elif token[0].isupper() and token[1:].islower():
-        kind = _NAME
-    else:
-        kind = _WORD
-    found = kind, xxhash.xxh3_64_intdigest(low), low
-    if len(_seen) < 300_000:  # a cache of lookups, nothing else
-        _seen[token] = found
-    return found
+        return _MARK
+    if token[0].isdigit() or low in NUMBER_WORDS:
+        return _NUMBER
+    if low in UNITS:
+        return _UNIT
+    return _NAME if token[0].isupper() and token[1:].islower() else _WORD
+
+
+class Vocabulary(dict):
+    """Token -> code, with the kind and the hash of each code.
+
+    ``known`` limits the hashes to the words of the benchmark: any other word
+    gets the hash 0, and no window that holds it as a plain word can match.
+    """
+
+    def __init__(self, known: frozenset[str] | None = None, size: int = 300_000):
+        super().__init__()
+        self.known, self.size = known, size
+        self.kinds, self.hashes = list(range(5)), [0] * 5  # codes 0 to 4: a kind without a known word
+        self.table = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        kind = _kind(token, low)
+        if self.known is not None and low not in self.known:
+            code = kind
+        else:
+            code = len(self.kinds)
+            self.kinds.append(kind)
+            self.hashes.append(xxhash.xxh3_64_intdigest(low) or 1)
+        if len(self) < self.size or code > 4:  # what is not kept is looked up again
+            self[token] = code
+        return code
+
+    def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds, hashes and places (among ``tokens``) of the words."""
+        codes = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if not len(codes):
+            return codes, codes.astype(np.uint64), codes
+        if len(self.kinds) != len(self.table[0]):
+            self.table = np.array(self.kinds), np.array(self.hashes, dtype=np.uint64)
+        kinds = self.table[0][codes]
+        before = np.concatenate(([_MARK], kinds[:-1]))
+        after = np.concatenate((kinds[1:], [_MARK]))
+        out = kinds.copy()
+        out[(kinds == _NAME) & (before == _MARK)] = _WORD
+        out[(kinds == _UNIT) & (before != _NUMBER) & (after != _NUMBER)] = _WORD
+        keep = np.flatnonzero(kinds != _MARK)
+        return out[keep], self.table[1][codes][keep], keep
 
 
 def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Kinds, hashes of the plain words and values of a text's words."""
-    found = [_seen.get(t) or _look(t) for t in _TOKEN.findall(text)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
-    kinds = np.array([f[0] for f in found], dtype=np.int64)
-    before = np.concatenate(([_MARK], kinds[:-1]))
-    after = np.concatenate((kinds[1:], [_MARK]))
-    out = kinds.copy()
-    out[(kinds == _NAME) & (before == _MARK)] = _WORD
-    out[(kinds == _UNIT) & (before != _NUMBER) & (after != _NUMBER)] = _WORD
-    keep = np.flatnonzero(kinds != _MARK)
-    return out[keep], np.array([f[1] for f in found], dtype=np.uint64)[keep], [found[i][2] for i in keep]
+    """Kinds, hashes and values (lower-cased) of a text's words."""
+    tokens = _TOKEN.findall(text)
+    kinds, hashes, keep = Vocabulary().arrays(tokens)
+    return kinds, hashes, [tokens[i].lower() for i in keep]
 
 
 def template_windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,36 +156,49 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return materialize(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, _ITEM), "item-windows")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """rid, doc_id, key (md5 of the text) and n_tokens with null hash once for each document, and p, hash and values for its windows whose hash is wanted."""
+def document_windows(docs: DataFrame, sizes: list[int], wanted: tuple[np.ndarray, frozenset[str]] | None) -> DataFrame:
+    """rid, doc_id, key (md5 of the text) and n_tokens with null hash once for each document, and p, hash and values for its windows.
+
+    ``wanted`` are the sorted window hashes and the words of the benchmark;
+    without it every window is returned.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
     names = ["rid", "doc_id", "key", "n_tokens", "p", "hash", "values"]
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        if known is not None:
-            marks = np.zeros(1 << 20, dtype=bool)
-            marks[(known >> np.uint64(44)).astype(np.int64)] = True
+        known, words = sent.value or (None, None)
+        vocabulary = Vocabulary(words)
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
         for b in batches:
             rows = []
             for rid, doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                kinds, hashes, values = canonical(text or "")
+                tokens = _TOKEN.findall(text or "")
+                if known is None and len(vocabulary) > vocabulary.size:
+                    vocabulary = Vocabulary(words)
+                kinds, hashes, keep = vocabulary.arrays(tokens)
                 rows.append((rid, doc, key, len(kinds), None, None, None))
+                foreign = np.concatenate(([0], np.cumsum((kinds == _WORD) & (hashes == 0))))
                 for size in sizes:
-                    found, _ = template_windows(kinds, hashes, size)
-                    if known is None:
-                        at = range(len(found))
-                    else:
-                        at = np.flatnonzero(marks[(found >> np.uint64(44)).astype(np.int64)])
-                        at = at[known[np.minimum(np.searchsorted(known, found[at]), len(known) - 1)] == found[at]].tolist() if len(known) else []
-                    signed = found.view(np.int64)
-                    rows += [(rid, doc, key, len(kinds), p, int(signed[p]), values[p : p + size]) for p in at]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows = []
+                    if len(kinds) < size:
+                        continue
+                    at = np.flatnonzero(foreign[size:] == foreign[:-size])
+                    if not len(at):
+                        continue
+                    lo, hi = at[0], at[-1] + size  # windows outside hold foreign words
+                    found = template_windows(kinds[lo:hi], hashes[lo:hi], size)[0][at - lo]
+                    if known is not None:
+                        hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+                        at, found = at[hit], found[hit]
+                    rows += [(rid, doc, key, len(kinds), p, h, [tokens[i].lower() for i in keep[p : p + size]]) for p, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True)]
+                    if len(rows) > 20_000:
+                        yield batch(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield batch(rows)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.md5("text").alias("key"), "text")
     return materialize(rows.mapInArrow(run, "rid long, doc_id long, key string, n_tokens long, p long, hash long, values array<string>"), "document-windows")
@@ -192,8 +231,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
     items = item_windows(benchmark)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # WINDOW - SHORTEST + 1 at most
     wanted = None
-    if items.count() <= max_sent:
-        wanted = np.array(sorted(r[0] & (2**64 - 1) for r in items.select("hash").distinct().collect()), dtype=np.uint64)
+    if 0 < items.count() <= max_sent:
+        hashes = [r[0] & (2**64 - 1) for r in items.select("hash").distinct().collect()]
+        words = [r[0] for r in items.select(F.explode("values")).distinct().collect()]
+        wanted = np.array(sorted(hashes), dtype=np.uint64), frozenset(words)
     windows = document_windows(docs, sizes, wanted)
     bad = matches(windows, items).where(F.col("consistent") & ((F.col("cover") >= cover) | (F.col("covered") >= run)))
     bad = bad.groupBy("rid").agg(F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"), F.countDistinct("item_id").alias("n_items"), F.max("cover").alias("cover"), F.max("changed").alias("reparameterised"))
