@@ -6,8 +6,10 @@ grid on the labelled rows: the null hypothesis is that the rule rejects at
 least ``alpha / rules`` of a stratum's good documents, its p-value is the exact
 binomial tail, and Holm's step-down over all cells keeps the chance of any
 invalid cutoff at ``delta``. The grid is fixed beforehand, so every labelled
-row is a holdout row. ``apply_rules`` rejects what fails the base rule or
-exceeds a valid cutoff of its stratum.
+row is a holdout row. Of a rule's
+valid cutoffs the one with the best balance of bad and good documents rejected
+is used. ``apply_rules`` rejects what fails the base rule or exceeds a cutoff
+of its stratum.
 
 Defined results: a null text has no words and fails the base rule; rows that
 repeat a doc_id are judged one by one; a document with several labels counts as
@@ -34,6 +36,8 @@ GRID = {
     "mean_word": (8.0, 10.0, 12.0, 15.0, 20.0, 30.0),
 }
 ALPHA, DELTA = 0.05, 0.05
+#: Of the valid cutoffs of a rule, that is taken which rejects most bad documents, where a good one counts as so many.
+COST = 10
 #: Terms of the binomial tail that are summed; a geometric bound covers the rest from above.
 TAIL = 2000
 _TMP = ("_q_text", "_q_words", "_q_lines", "_q_wins", "_q_sorted")
@@ -134,9 +138,10 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     # At most strata x cells rows: 150 with the defaults.
     order = Window.orderBy("p", "stratum", "rule", "cutoff")
     tests = tests.withColumn("holm", F.col("p") * (m + 1 - F.row_number().over(order)))
-    valid = tests.withColumn("worst", F.max("holm").over(order)).where((F.col("worst") <= delta) & (F.col("bad") > 0))
-    best = F.max_by("cutoff", F.struct(F.col("bad"), -F.col("k"), F.col("cutoff")))
-    chosen = valid.groupBy("stratum", "rule").agg(best.alias("cutoff"))
+    valid = tests.withColumn("worst", F.max("holm").over(order)).where(F.col("worst") <= delta)
+    gain = F.col("bad") - COST * F.col("k")
+    best = F.max_by("cutoff", F.struct(gain, F.col("cutoff")))
+    chosen = valid.where(gain > 0).groupBy("stratum", "rule").agg(best.alias("cutoff"))
     return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in grid))
 
 
@@ -187,7 +192,7 @@ tests as ({tests}),
 tail as (select *, (select coalesce(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a}))), 0) from range(0, k + 1) as s(i)) as p from tests),
 holm as (select *, p * ({m} + 1 - row_number() over (order by p, stratum, rule, cutoff)) as h from tail),
 worst as (select *, max(h) over (order by p, stratum, rule, cutoff) as worst from holm),
-chosen as (select stratum, rule, arg_max(cutoff, bad * 1e9 - k + cutoff / 1e6) as cutoff from worst where worst <= {delta} and bad > 0 group by stratum, rule),
+chosen as (select stratum, rule, arg_max(cutoff, (bad - {COST} * k) * 1000 + cutoff) as cutoff from worst where worst <= {delta} and bad > {COST} * k group by stratum, rule),
 v as (select d.*, case when base_failed then 'base' {broken} end as broken_rule from d)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
   base_failed, broken_rule is null as kept, broken_rule from v"""
