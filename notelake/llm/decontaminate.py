@@ -77,6 +77,8 @@ class Vocabulary(dict):
         self.known, self.size = known, size
         self.kinds, self.hashes = list(range(5)), [0] * 5  # codes 0 to 4: a kind without a known word
         self.table = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for word in (NUMBER_WORDS | UNITS | known) if known is not None else ():
+            self[word]  # so that a small-letter word not held here is a plain word and unknown
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -93,7 +95,11 @@ class Vocabulary(dict):
 
     def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Kinds, hashes and places (among ``tokens``) of the words."""
-        codes = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.known is None:
+            codes = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        else:
+            get = self.get
+            codes = np.array([c if (c := get(t)) is not None else _WORD if t.islower() else self[t] for t in tokens], dtype=np.int64)
         if not len(codes):
             return codes, codes.astype(np.uint64), codes
         if len(self.kinds) != len(self.table[0]):
