@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, POOL, LEAST = 8_000, 6_000, 20
+LABELLED, POOL, LEAST = 5_000, 4_000, 20
 ROUNDS, SURE = 4, 0.95
 MAX_LOSS = 0.005
 WORDS, SHAPES, PAGE = 1 << 14, 1 << 10, 1 << 10
@@ -79,16 +79,16 @@ class Sparse:
         return np.bincount(self.row, weights=self.value * w[self.slot], minlength=self.n)
 
     def pick(self, rows: np.ndarray) -> "Sparse":
-        to = np.full(self.n, -1)
-        to[rows] = np.arange(len(rows))
+        to = np.full(self.n, -1, dtype=np.int32)
+        to[rows] = np.arange(len(rows), dtype=np.int32)
         use = to[self.row] >= 0
         return Sparse(self.slot[use], self.value[use], to[self.row[use]], len(rows))
 
 
 def _sparse(slots: pa.ListArray, values: pa.ListArray | None) -> Sparse:
     sizes = np.asarray(slots.value_lengths())
-    slot = np.asarray(slots.flatten()).astype(np.int64)
-    return Sparse(slot, np.ones(len(slot)) if values is None else np.asarray(values.flatten()).astype(np.float64), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+    slot = np.asarray(slots.flatten()).astype(np.int32)
+    return Sparse(slot, np.ones(len(slot), np.float32) if values is None else np.asarray(values.flatten()), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
