@@ -10,10 +10,16 @@ from notelake.functions.text import recency, strength
 K1, B = 1.2, 0.75
 
 
-def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term and tf: a row for each distinct term of a text."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
+
+
+def terms(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """key, term and tf: a row for each distinct term of a text; with ``only``, for the terms of that table, and the others are dropped before the shuffle where it is small."""
+    rows = docs.select(key, F.explode(_words(text)).alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_stats(tf: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,10 +35,10 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: i
     Only terms that some query has are joined and weighed; the top k are cut
     inside the window, before its shuffle.
     """
-    tf = terms(docs, doc_key)
-    _, length, total = bm25_stats(tf, doc_key)
     asked = terms(queries, query_key).select(query_key, "term")
-    used = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    used = terms(docs, doc_key, only=asked.select("term").distinct())
+    length = docs.select(doc_key, F.size(_words("text")).cast("long").alias("dl")).where("dl > 0").groupBy(doc_key).agg(F.sum("dl").alias("dl"))
+    total = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weigh = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
