@@ -7,35 +7,57 @@ takes blocks of words by source weight, and what is left is encoded into token
 shards, whose documents are returned as read back from the files.
 """
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake.llm import dart_minhash, decontaminate, mixing, quality_rules, token_planes
-from notelake.sources.scratch import materialize
+from notelake.sources.scratch import drop_paths, materialize, recording
+
+_made: list[str] = []
+
+
+def _stage(f):
+    """Drop the scratch tables of the stage before: its rows are written when this one begins."""
+
+    @functools.wraps(f)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _made)
+        with recording(_made):
+            return f(spark, docs, sf_dir)
+
+    return begin
+
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality rules reject."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each near-duplicate class."""
     return dart_minhash.keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's share; a document taken twice is two rows."""
     return mixing.take(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token shards and return doc_id, start, n_tokens and ids_crc32 from the files."""
+    """Write token shards, which stay, and return doc_id, start, n_tokens and ids_crc32 from the files."""
+    drop_paths(spark, _made)
     return token_planes.read_tokens(token_planes.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -47,7 +69,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        now, out = stage(spark, docs, sf_dir), []
+        with recording(out):
+            docs = materialize(now, name.replace(" ", "-"))
+        drop_paths(spark, before)
+        before = out
     return STAGES[-1][1](spark, docs, sf_dir)
