@@ -3,7 +3,9 @@
 Words are canonicalised: numbers, units behind a number and capitalised words
 within a sentence become typed placeholders, everything else is lower-cased.
 Windows of ``WINDOW`` template words are hashed and joined with the benchmark's
-windows. Along a diagonal (document position less item position) the values
+windows. What the case and the surroundings leave open is read in every way, on
+both sides: capitalised words as they stand, all as names (at a sentence start
+too), none as a name, and the window in plain words. Along a diagonal (document position less item position) the values
 behind the placeholders are lined up: a span counts only if every value of the
 item stands for one value in the document throughout, so a re-parameterised
 question is caught and a chance likeness of templates is not. Neighbouring
@@ -93,15 +95,15 @@ class Vocabulary(dict):
             self[token] = code
         return code
 
-    def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Kinds, hashes and places (among ``tokens``) of the words."""
+    def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds, hashes and places (among ``tokens``) of the words, and which are capitalised wherever they stand."""
         if self.known is None:
             codes = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         else:
             get = self.get
             codes = np.array([c if (c := get(t)) is not None else _WORD if t.islower() else self[t] for t in tokens], dtype=np.int64)
         if not len(codes):
-            return codes, codes.astype(np.uint64), codes
+            return codes, codes.astype(np.uint64), codes, codes.astype(bool)
         if len(self.kinds) != len(self.table[0]):
             self.table = np.array(self.kinds), np.array(self.hashes, dtype=np.uint64)
         kinds = self.table[0][codes]
@@ -111,21 +113,28 @@ class Vocabulary(dict):
         out[(kinds == _NAME) & (before == _MARK)] = _WORD
         out[(kinds == _UNIT) & (before != _NUMBER) & (after != _NUMBER)] = _WORD
         keep = np.flatnonzero(kinds != _MARK)
-        return out[keep], self.table[1][codes][keep], keep
+        return out[keep], self.table[1][codes][keep], keep, (kinds == _NAME)[keep]
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Kinds, hashes and values (lower-cased) of a text's words."""
+def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Kinds, hashes, capitals and values (lower-cased) of a text's words."""
     tokens = _TOKEN.findall(text)
-    kinds, hashes, keep = Vocabulary().arrays(tokens)
-    return kinds, hashes, [tokens[i].lower() for i in keep]
+    kinds, hashes, keep, capital = Vocabulary().arrays(tokens)
+    return kinds, hashes, capital, [tokens[i].lower() for i in keep]
+
+
+def readings(kinds: np.ndarray, capital: np.ndarray) -> list[np.ndarray]:
+    """The kinds as they stand, with every capitalised word as a name, with none as a name, and with plain words only."""
+    return [kinds, np.where(capital, _NAME, kinds), np.where(kinds == _NAME, _WORD, kinds), np.full_like(kinds, _WORD)]
 
 
 def template_windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each window, and whether its placeholders count."""
     if len(kinds) < size:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    plain = window_hashes(hashes, size)
+    plain, salt = window_hashes(hashes, size), np.uint64(size * 2)
+    if not kinds.any():
+        return plain + salt + np.uint64(1), np.zeros(len(plain), bool)
     filled = window_hashes(np.where(kinds == _WORD, hashes, _HOLDERS[kinds]), size)
     holders = np.concatenate(([0], np.cumsum(kinds != _WORD)))
     typed = holders[size:] > holders[:-size]
@@ -134,36 +143,49 @@ def template_windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[
         words = np.sort(np.lib.stride_tricks.sliding_window_view(np.where(kinds == _WORD, hashes, np.uint64(0)), size)[at], axis=1)
         different = (words[:, 1:] != words[:, :-1]).sum(axis=1) + (words[:, 0] != 0)
         typed[at] = different >= LITERAL
-    salt = np.uint64(size * 2)
     return np.where(typed, filled + salt, plain + salt + np.uint64(1)), typed
 
 
-_ITEM = "item_id long, n_item long, size int, q long, hash long, values array<string>, slots array<int>"
+_ITEM = "item_id long, n_item long, size int, q long, hash long, values array<string>, slots array<int>, roles array<array<int>>"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """A row for each window of each item, written once; slots are the places in the window that hold a placeholder."""
+    """A row for each window of each item and each way to read it, written once.
+
+    slots are the places in the window that hold a placeholder. roles are the
+    placeholders to hold against the other windows: as the text stands (null if
+    the row has others), and with every capitalised word as a name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kinds, hashes, values = canonical(text or "")
+                kinds, hashes, capital, values = canonical(text or "")
                 size = min(WINDOW, len(kinds))
                 if size < SHORTEST:
                     continue
-                found, typed = template_windows(kinds, hashes, size)
-                for q, (h, t) in enumerate(zip(found.view(np.int64).tolist(), typed.tolist(), strict=True)):
-                    rows.append((item, len(kinds), size, q, h, values[q : q + size], [j for j in range(size) if t and kinds[q + j] != _WORD]))
+                ways = []
+                for own in readings(kinds, capital):
+                    found, typed = template_windows(own, hashes, size)
+                    ways.append((found.view(np.int64).tolist(), [[j for j in range(size) if t and own[q + j] != _WORD] for q, t in enumerate(typed.tolist())]))
+                for q in range(len(kinds) - size + 1):
+                    base, wide = ways[0][1][q], ways[1][1][q]
+                    seen = set()
+                    for way in (0, 2, 3, 1):
+                        h, slots = ways[way][0][q], ways[way][1][q]
+                        if h not in seen:
+                            seen.add(h)
+                            rows.append((item, len(kinds), size, q, h, values[q : q + size], slots, [None if way == 1 else base, wide]))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["item_id", "n_item", "size", "q", "hash", "values", "slots"])
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["item_id", "n_item", "size", "q", "hash", "values", "slots", "roles"])
 
     return materialize(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, _ITEM), "item-windows")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: tuple[np.ndarray, frozenset[str]] | None) -> DataFrame:
-    """rid, doc_id, key (md5 of the text) and n_tokens with null hash once for each document, and p, hash and values for its windows.
+    """rid, doc_id, key (md5 of the text) and n_tokens with null hash once for each document, and p, hash and values for its windows under every reading.
 
     ``wanted`` are the sorted window hashes and the words of the benchmark;
     without it every window is returned.
@@ -185,21 +207,31 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: tuple[np.ndarray
                 tokens = _TOKEN.findall(text or "")
                 if known is None and len(vocabulary) > vocabulary.size:
                     vocabulary = Vocabulary(words)
-                kinds, hashes, keep = vocabulary.arrays(tokens)
+                kinds, hashes, keep, capital = vocabulary.arrays(tokens)
                 rows.append((rid, doc, key, len(kinds), None, None, None))
-                foreign = np.concatenate(([0], np.cumsum((kinds == _WORD) & (hashes == 0))))
+                ways = []
+                for own in readings(kinds, capital):
+                    if not ways or (own != kinds).any():
+                        sums = np.cumsum([(own == _WORD) & (hashes == 0), own != kinds], axis=1)
+                        ways.append((own, *np.concatenate((np.zeros((2, 1), sums.dtype), sums), axis=1)))
                 for size in sizes:
                     if len(kinds) < size:
                         continue
-                    at = np.flatnonzero(foreign[size:] == foreign[:-size])
-                    if not len(at):
-                        continue
-                    lo, hi = at[0], at[-1] + size  # windows outside hold foreign words
-                    found = template_windows(kinds[lo:hi], hashes[lo:hi], size)[0][at - lo]
-                    if known is not None:
-                        hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
-                        at, found = at[hit], found[hit]
-                    rows += [(rid, doc, key, len(kinds), p, h, [tokens[i].lower() for i in keep[p : p + size]]) for p, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True)]
+                    hits = set()
+                    for k, (own, foreign, other) in enumerate(ways):
+                        fits = foreign[size:] == foreign[:-size]
+                        if k:  # only what this reading changes
+                            fits &= other[size:] != other[:-size]
+                        at = np.flatnonzero(fits)
+                        if not len(at):
+                            continue
+                        lo, hi = at[0], at[-1] + size  # windows outside hold foreign words
+                        found = template_windows(own[lo:hi], hashes[lo:hi], size)[0][at - lo]
+                        if known is not None:
+                            hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+                            at, found = at[hit], found[hit]
+                        hits.update(zip(at.tolist(), found.view(np.int64).tolist(), strict=True))
+                    rows += [(rid, doc, key, len(kinds), p, h, [tokens[i].lower() for i in keep[p : p + size]]) for p, h in sorted(hits)]
                     if len(rows) > 20_000:
                         yield batch(rows)
                         rows = []
@@ -215,14 +247,14 @@ def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
     hits = windows.where("hash is not null").select("rid", "p", "hash", F.col("values").alias("mine")).join(items, "hash")
     # Words outside the slots must be equal: a hash alone proves nothing.
     same = F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.array_contains("slots", j) | (F.get("mine", j) == F.get("values", j)))
-    pairs = F.transform("slots", lambda j: F.struct(F.get("values", j).alias("of"), F.get("mine", j).alias("to")))
-    hits = hits.where((F.size("mine") == F.col("size")) & same).withColumn("pairs", pairs)
-    lines = hits.groupBy("rid", "item_id", "n_item", "size", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    pairs = F.transform("role", lambda j: F.struct(F.get("values", j).alias("of"), F.get("mine", j).alias("to")))
+    hits = hits.where((F.size("mine") == F.col("size")) & same).select("*", F.posexplode("roles").alias("family", "role")).where("role is not null").withColumn("pairs", pairs)
+    lines = hits.groupBy("rid", "item_id", "n_item", "size", "family", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["of"])))
     lines = lines.withColumns({"consistent": consistent, "changed": F.exists("pairs", lambda x: x["of"] != x["to"])})
-    order = Window.partitionBy("rid", "item_id", "consistent").orderBy("diagonal")
+    order = Window.partitionBy("rid", "item_id", "family", "consistent").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR, F.lit(True))
-    spans = lines.withColumn("span", F.sum(fresh.cast("int")).over(order)).groupBy("rid", "item_id", "n_item", "size", "consistent", "span").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("qs"), F.max("changed").alias("changed"))
+    spans = lines.withColumn("span", F.sum(fresh.cast("int")).over(order)).groupBy("rid", "item_id", "n_item", "size", "family", "consistent", "span").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("qs"), F.max("changed").alias("changed"))
     covered = F.aggregate(
         "qs",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1_000).cast("long").alias("last")),

@@ -42,3 +42,24 @@ def test_odd_inputs(spark, docs, empty):
     assert left.columns == docs.columns and left.count() == len(rows()) - 2
     assert d.judge(empty, bench).count() == 0
     assert d.judge(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_names_at_sentence_starts_and_other_cases(spark):
+    story = "Tom buys twelve pens at the shop. Tom gives five pens to his sister. Tom then loses two more pens."
+    short = "Which planet has the most moons"
+    mixed = "In the spring Alice and Bob walk from Paris to the old harbour and count every single boat"
+    bench = spark.createDataFrame([(1, story), (2, short), (3, mixed)], "item_id long, text string")
+    cases = [
+        (1, story.replace("Tom", "Anna"), "1", True),
+        (2, story.replace("Tom", "Anna").replace("twelve", "nine"), "1", True),
+        (3, f"tell me {short} please", "2", False),
+        (4, f"tell me. {short}", "2", False),
+        (5, short.lower(), "2", False),
+        (6, mixed.lower(), "3", False),
+        (7, mixed.upper(), "3", False),
+        (8, story.replace("Tom", "Anna", 2).replace("Tom", "Otto").replace("pens", "hens"), "", False),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in cases], "doc_id long, text string")
+    for limit in (d.MAX_SENT, 0):
+        got = {r.doc_id: (r["items"], r.reparameterised) for r in d.judge(docs, bench, max_sent=limit).collect()}
+        assert got == {i: (items, changed) for i, _, items, changed in cases}
