@@ -5,18 +5,20 @@ within a sentence become typed placeholders, everything else is lower-cased.
 Windows of ``WINDOW`` template words are hashed and joined with the benchmark's
 windows. What the case and the surroundings leave open is read in every way, on
 both sides: capitalised words as they stand, all as names (at a sentence start
-too), none as a name, and the window in plain words. Along a diagonal (document position less item position) the values
-behind the placeholders are lined up: a span counts only if every value of the
-item stands for one value in the document throughout, so a re-parameterised
-question is caught and a chance likeness of templates is not. Neighbouring
-diagonals, which a few added words set apart, are merged.
+too), none as a name, and the window in plain words. Along a diagonal (document
+position less item position) the names are lined up: where each name of the item
+stands for one name in the document, all windows count, so a re-parameterised
+question is caught and a chance likeness of templates is not. On other diagonals
+windows without a name count, and those in which no value is changed count
+towards ``RUN``. Numbers and units may differ from place to place, as equal
+numbers often play two roles.
 
 The tasks that read the texts keep only windows whose hash is in the benchmark.
 That set and the benchmark's words are sent to them when it has at most
 ``max_sent`` windows; beyond it all windows go to the join.
 
-A document is contaminated by an item when consistent spans cover at least
-``COVER`` of its words, or ``RUN`` words. A window with fewer than ``LITERAL``
+A document is contaminated by an item when the windows that count, wherever they
+stand, together cover at least ``COVER`` of its words, or ``RUN`` words. A window with fewer than ``LITERAL``
 different plain words is compared without placeholders. An item shorter than the window
 is one window of its own length; items of fewer than ``SHORTEST`` words match
 nothing.
@@ -36,14 +38,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from notelake.llm.shingles import window_hashes
 from notelake.sources.scratch import materialize
 
 WINDOW, LITERAL, SHORTEST = 8, 4, 4
 COVER, RUN = 0.5, 40
-NEIGHBOUR = 4
 MAX_SENT = 4_000_000
 # Words that are numbers, and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -153,7 +153,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """A row for each window of each item and each way to read it, written once.
 
     slots are the places in the window that hold a placeholder. roles are the
-    placeholders to hold against the other windows: as the text stands (null if
+    names to hold against the other windows: as the text stands (null if
     the row has others), and with every capitalised word as a name.
     """
 
@@ -168,9 +168,10 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 ways = []
                 for own in readings(kinds, capital):
                     found, typed = template_windows(own, hashes, size)
-                    ways.append((found.view(np.int64).tolist(), [[j for j in range(size) if t and own[q + j] != _WORD] for q, t in enumerate(typed.tolist())]))
+                    slots = [[j for j in range(size) if t and own[q + j] != _WORD] for q, t in enumerate(typed.tolist())]
+                    ways.append((found.view(np.int64).tolist(), slots, [[j for j in x if own[q + j] == _NAME] for q, x in enumerate(slots)]))
                 for q in range(len(kinds) - size + 1):
-                    base, wide = ways[0][1][q], ways[1][1][q]
+                    base, wide = ways[0][2][q], ways[1][2][q]
                     seen = set()
                     for way in (0, 2, 3, 1):
                         h, slots = ways[way][0][q], ways[way][1][q]
@@ -242,26 +243,32 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: tuple[np.ndarray
     return materialize(rows.mapInArrow(run, "rid long, doc_id long, key string, n_tokens long, p long, hash long, values array<string>"), "document-windows")
 
 
+def _covered(qs):
+    """Words of the item under its windows that begin at the sorted places ``qs``."""
+    return F.aggregate(
+        qs,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1_000).cast("long").alias("last")),
+        lambda a, q: F.struct((a["n"] + F.least(F.col("size").cast("long"), q - a["last"])).alias("n"), q.alias("last")),
+        lambda a: a["n"],
+    )
+
+
 def matches(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """rid, item_id, covered, cover, consistent, changed (a value differs from the item's) for each span of neighbouring diagonals."""
+    """rid, item_id, n_item, covered, literal (covered, with the unchanged windows of other diagonals) and changed (a value differs from the item's) for each document and item that meet."""
     hits = windows.where("hash is not null").select("rid", "p", "hash", F.col("values").alias("mine")).join(items, "hash")
     # Words outside the slots must be equal: a hash alone proves nothing.
     same = F.forall(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.array_contains("slots", j) | (F.get("mine", j) == F.get("values", j)))
     pairs = F.transform("role", lambda j: F.struct(F.get("values", j).alias("of"), F.get("mine", j).alias("to")))
-    hits = hits.where((F.size("mine") == F.col("size")) & same).select("*", F.posexplode("roles").alias("family", "role")).where("role is not null").withColumn("pairs", pairs)
-    lines = hits.groupBy("rid", "item_id", "n_item", "size", "family", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    hits = hits.where((F.size("mine") == F.col("size")) & same).select("*", F.posexplode("roles").alias("family", "role")).where("role is not null")
+    places = {"qs": F.lit(True), "nameless": F.size("role") == 0, "kept": F.col("mine") == F.col("values"), "moved": F.col("mine") != F.col("values"), "nameless_moved": (F.size("role") == 0) & (F.col("mine") != F.col("values"))}
+    gathered = [F.collect_set(F.when(test, F.col("q"))).alias(name) for name, test in places.items()]
+    lines = hits.withColumn("pairs", pairs).groupBy("rid", "item_id", "n_item", "size", "family", (F.col("p") - F.col("q")).alias("diagonal")).agg(*gathered, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["of"])))
-    lines = lines.withColumns({"consistent": consistent, "changed": F.exists("pairs", lambda x: x["of"] != x["to"])})
-    order = Window.partitionBy("rid", "item_id", "family", "consistent").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR, F.lit(True))
-    spans = lines.withColumn("span", F.sum(fresh.cast("int")).over(order)).groupBy("rid", "item_id", "n_item", "size", "family", "consistent", "span").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("qs"), F.max("changed").alias("changed"))
-    covered = F.aggregate(
-        "qs",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1_000).cast("long").alias("last")),
-        lambda a, q: F.struct((a["n"] + F.least(F.col("size").cast("long"), q - a["last"])).alias("n"), q.alias("last")),
-        lambda a: a["n"],
-    )
-    return spans.withColumn("covered", covered).select("rid", "item_id", "covered", (F.col("covered") / F.col("n_item")).alias("cover"), "consistent", "changed")
+    counted, changed = F.when(consistent, F.col("qs")).otherwise(F.col("nameless")), F.size(F.when(consistent, F.col("moved")).otherwise(F.col("nameless_moved"))) > 0
+    lines = lines.select("rid", "item_id", "n_item", "size", counted.alias("counted"), F.array_union(counted, "kept").alias("literal"), changed.alias("changed"))
+    union = lambda name: F.sort_array(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name)
+    found = lines.groupBy("rid", "item_id", "n_item", "size").agg(union("counted"), union("literal"), F.max("changed").alias("changed"))
+    return found.select("rid", "item_id", "n_item", _covered("counted").alias("covered"), _covered("literal").alias("literal"), "changed")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int = RUN, max_sent: int = MAX_SENT) -> DataFrame:
@@ -274,7 +281,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int
         words = [r[0] for r in items.select(F.explode("values")).distinct().collect()]
         wanted = np.array(sorted(hashes), dtype=np.uint64), frozenset(words)
     windows = document_windows(docs, sizes, wanted)
-    bad = matches(windows, items).where(F.col("consistent") & ((F.col("cover") >= cover) | (F.col("covered") >= run)))
+    enough = (F.col("covered") / F.col("n_item") >= cover) | (F.col("literal") >= run)
+    share = F.when(F.col("literal") >= run, F.col("literal")).otherwise(F.col("covered")) / F.col("n_item")
+    bad = matches(windows, items).where(enough).withColumn("cover", share)
     bad = bad.groupBy("rid").agg(F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("items"), F.countDistinct("item_id").alias("n_items"), F.max("cover").alias("cover"), F.max("changed").alias("reparameterised"))
     heads = windows.where("hash is null").select("rid", "doc_id", "key", "n_tokens")
     return heads.join(bad, "rid", "left").select(

@@ -63,3 +63,23 @@ def test_names_at_sentence_starts_and_other_cases(spark):
     for limit in (d.MAX_SENT, 0):
         got = {r.doc_id: (r["items"], r.reparameterised) for r in d.judge(docs, bench, max_sent=limit).collect()}
         assert got == {i: (items, changed) for i, _, items, changed in cases}
+
+
+def test_one_inconsistent_slot_and_cover_in_parts(spark):
+    passage = " ".join(["In", *words(30, 61).split(), "Alice", *words(30, 62).split(), "Alice", *words(30, 63).split()])
+    roles = "a small shop sells 2 apples at a price of 2 dollars each so what does the whole basket cost"
+    parts = words(40, 64).split()
+    long = ["In", "Alice", *words(8, 65).split(), "Alice", *words(50, 66).split()[:3]]
+    literal = " ".join(f"{w} {'Alice' if i % 7 == 3 else ''}".strip() for i, w in enumerate(words(60, 67).split()))
+    bench = spark.createDataFrame([(1, passage), (2, roles), (3, " ".join(parts)), (4, " ".join(long)), (5, literal)], "item_id long, text string")
+    added = words(12, 68).split()
+    cases = [
+        (1, passage.replace("Alice", "Carol", 1), "1"),  # most windows hold no name
+        (2, roles.replace("2", "3", 1).replace("2", "4"), "2"),  # equal numbers in two roles
+        (3, " ".join(parts[:13] + added[:6] + parts[13:26] + added[6:] + parts[26:]), "3"),  # no part has half of the item
+        (4, " ".join(parts[:13]), ""),
+        (5, literal.replace("Alice", "Carol", 1), "5"),  # a run of RUN words and more is unchanged
+        (6, " ".join(parts[:13] + added + parts[30:]), "3"),
+    ]
+    got = {r.doc_id: r["items"] for r in d.judge(spark.createDataFrame([(i, t) for i, t, _ in cases], "doc_id long, text string"), bench).collect()}
+    assert got == {i: items for i, _, items in cases}
