@@ -85,3 +85,20 @@ def test_sql_agrees(spark, docs):
     want = con.sql(d.sql()).fetchall()
     got = [tuple(r) for r in d.near_duplicates(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_pairs_that_differ_in_a_very_long_token_are_found(spark):
+    """Their plain similarity is over 0.8, however long the token is."""
+    documents = []
+    for i in range(60):
+        w = words(50, 1000 + i).split()
+        documents += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:25], "x" * 20_000, *w[26:]]))]
+    got = {r.doc_id: r.class_size for r in d.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string")).collect()}
+    assert got == {i: 2 for i in range(120)}
+
+
+def test_bands_fit_the_worst_weights():
+    w = d.weights(np.array([0.0, 1, 30, 10**6]))
+    assert w.max() <= w.min() * (1 + d.SPREAD) + 1e-12
+    worst = d.THRESHOLD / (d.THRESHOLD + (1 - d.THRESHOLD) * (1 + d.SPREAD))
+    assert (1 - worst**d.ROWS) ** d.BANDS < 2e-6
