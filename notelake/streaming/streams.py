@@ -19,8 +19,13 @@ from notelake.sources.scratch import scratch_path
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, exprs: list[str]) -> DataFrame:
     """A table of the folder as a file stream; times become timestamps, which event time needs."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 16).parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 16)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        raw = files.parquet(path)
+    else:
+        raw = files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return raw.selectExpr(*exprs)
 
 
