@@ -13,7 +13,7 @@ _WORD = "(^|[^a-z])({})([^a-z]|$)".format("|".join(x.RESOLVED))
 def seal_text(t):
     key = F.unhex(F.md5(F.lit("fleet key")))  # a key given by the caller in use
     sealed = F.when(F.col("scope").isin("private", "redacted"), F.concat(F.lit("enc1:"), F.base64(F.aes_encrypt(F.encode("text", "UTF-8"), key)))).otherwise(F.col("text"))
-    opened = F.when(F.startswith("sealed", F.lit("enc1:")), F.coalesce(F.decode(F.try_aes_decrypt(F.unbase64(F.substring("sealed", 6, 1 << 20)), key), "UTF-8"), F.lit("[sealed]"))).otherwise(F.col("sealed"))
+    opened = F.when(F.startswith("sealed", F.lit("enc1:")), F.coalesce(F.decode(F.try_aes_decrypt(F.unbase64(F.expr("substring(sealed, 6)")), key), "UTF-8"), F.lit("[sealed]"))).otherwise(F.col("sealed"))
     return t.notes.withColumn("sealed", sealed).select("memory_id", F.startswith("sealed", F.lit("enc1:")).alias("is_sealed"), (opened == F.col("text")).alias("opens"))
 
 
