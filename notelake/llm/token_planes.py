@@ -10,8 +10,8 @@ and the document table. ``read_tokens`` decodes the shards of a manifest, one
 per task, and cuts the stream back into documents.
 
 Defined results: a null text is empty, so its only id is the end id; a null
-doc_id sorts first; rows that repeat a doc_id are all written, ordered by text;
-an empty table gives an empty manifest and no rows; only doc_id and text are
+doc_id sorts first; rows that repeat a doc_id are all written, ordered by text,
+and go to several shards where they are many; an empty table gives an empty manifest and no rows; only doc_id and text are
 read, so other columns cannot clash.
 """
 
@@ -25,23 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notelake.llm.words import chunks, split_words, strings
 from notelake.sources.files import open_input, open_output, unique_name
 from notelake.sources.scratch import materialize, scratch_path
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
 END_ID = 0
-#: Entries of a worker's word cache; it only saves time, so what it does not hold changes no result.
-CACHE = 500_000
-_RUNS = re.compile(r" [\s᠎]|[\s᠎] ")
-MANIFEST = "path string, first_doc long, first_null boolean, n_docs long, n_ids long, n_bytes long"
+#: Entries after which a worker's cache of pieces begins anew; it only saves time, so what it does not hold changes no result.
+CACHE = 600_000
+#: Characters of the text that take part in dealing out the rows.
+LEAD = 32
+MANIFEST = "part long, path string, n_docs long, n_ids long, n_bytes long"
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -184,75 +186,113 @@ class ShardReader:
             start += n
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, as the code points from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    letters, more = [], 256
-    for b in range(256):
-        letters.append(chr(b) if b in plain else chr(more))
-        more += b not in plain
-    return letters
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
-    """A byte-level BPE tokenizer with a cache of words.
-
-    The pre-tokenizer never joins what stands before a single space with that
-    space, so such a text is encoded word by word, each with the space before
-    it. A word of Latin letters, digits and ASCII marks is split here and goes
-    straight to the library's BPE model; any other word, and any text with a
-    space beside other white space, goes through the whole tokenizer.
+    """A byte-level BPE tokenizer that encodes each different piece of a chunk of texts once.
+
+    The pre-tokenizer never joins what stands before a single space, or before
+    a single line end, with it. So a text cut at spaces and line ends is the
+    ids of its pieces, end to end, where a piece keeps the space or line end in
+    front of it. A piece of Latin letters with ASCII marks behind them is two
+    words of the library's BPE model; other new pieces go through the whole
+    tokenizer, many in one text, a line each. Texts with other runs of white
+    space or with a special token go through it whole.
     """
 
-    #: The split rule that the byte-level pre-tokenizer applies, for the characters of PLAIN.
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    PLAIN = re.compile(r"[\n -;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+    #: Where the split of white space depends on what stands beside it: runs of three, and pairs and ends other than line ends.
+    SPACES = r"\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    RUNS = "[{0}]{{3}}|[{1}][{0}]|[{0}][{1}]|[{0}]{{2}}$|^[{1}]|[{1}]$".format(r"\s" + SPACES, r" \t\r\f" + SPACES)
+    #: Latin letters, then ASCII marks other than the apostrophe: the split rule gives these two parts.
+    SIMPLE = r"^(?P<line>\n?)(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+    LINES = 4096
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.letters = Tokenizer.from_str(model), {}, _byte_letters()
+        self.tokenizer, self.letters, self.known = Tokenizer.from_str(model), _byte_letters(), {"": b""}
         kind = json.loads(model)
         byte_level = kind["normalizer"] is None and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.model = self.tokenizer.model if byte_level and kind["model"]["type"] == "BPE" else None
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        spelled = "".join([letters[b] for b in piece.encode()])
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _word(self, x: str) -> bytes:
-        """The ids of a word with a space before it."""
-        if self.model is None or not self.PLAIN.fullmatch(x):
-            return self._ids(" " + x)
-        if x.isalpha():
-            return self._piece(" " + x)
-        if x[-1] in ".,;:!?" and x[:-1].isalpha():
-            return self._cached(x[:-1]) + self._piece(x[-1])
-        return b"".join(map(self._piece, self.PIECES.findall(" " + x)))
-
-    def _cached(self, x: str) -> bytes:
-        ids = self.words.get(x)
-        if ids is None:
-            ids = self._word(x)
-            if len(self.words) < CACHE:
-                self.words[x] = ids
-        return ids
+        line = self._library(["\n"])[0]
+        self.by_piece, self.line = byte_level and kind["model"]["type"] == "BPE" and len(line) == 1, line[:1]
+        self.model = self.tokenizer.model
+        special = "|".join(re.escape(t["content"]) for t in kind["added_tokens"])
+        self.whole = f"{self.RUNS}|{special}" if special else self.RUNS
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the pre-tokenizer does not split."""
+        out = [self.known.get(w) for w in words]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        spelled = "\n".join([words[k] for k in new]).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        for k, letters in zip(new, spelled, strict=False):
+            out[k] = self.known[words[k]] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return out
+
+    def _lines(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of each of ``words`` behind ``lead``; none has white space at its ends."""
+        out = []
+        for lo in range(0, len(words), self.LINES):
+            part = words[lo : lo + self.LINES]
+            ids = self._library([lead + ("\n" + lead).join(part)])[0]
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part) - 1:
+                raise ValueError("a piece of a text holds a line end")
+            out += [x[bool(k) :].tobytes() for k, x in enumerate(np.split(ids, ends))]
+        return out
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece with what stands in front of it; '' only stands for the start."""
+        line, letters, marks = pc.extract_regex(pieces, self.SIMPLE).flatten()
+        ended, lone = pc.equal(line, "\n"), pc.equal(letters, "")
+        body = pc.if_else(lone, marks, letters)
+        word = pc.if_else(pc.equal(body, ""), "", pc.binary_join_element_wise(pc.if_else(ended, "", " "), body, ""))
+        parts = [pc.if_else(ended, self.line.tobytes(), b"").cast(pa.large_binary())]
+        for part in (word, pc.if_else(lone, "", marks)):
+            found = part.dictionary_encode()
+            parts.append(pa.array(self._words(strings(found.dictionary)), pa.large_binary()).take(found.indices))
+        own = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+        odd = pc.is_null(own)
+        rest = strings(pieces.filter(odd))
+        if rest:
+            ids = dict(zip([p for p in rest if p[0] != "\n"], self._lines([p for p in rest if p[0] != "\n"], " "), strict=True))
+            ended = [p for p in rest if p[0] == "\n"]
+            ids.update(zip(ended, [self.line.tobytes() + x for x in self._lines([p[1:] for p in ended], "")], strict=True))
+            own = pc.replace_with_mask(own, odd, pa.array([ids[p] for p in rest], pa.large_binary()))
+        return own
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (unsigned 32 bits, little-endian); null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            return self._library(texts.to_pylist())
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        whole = np.asarray(pc.match_substring_regex(texts, self.whole)).astype(bool)
+        rest = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        # With a line end in front, the first word is a piece like any other; its id is cut off again.
+        found, bounds = split_words(pc.replace_substring(pc.binary_join_element_wise("\n", rest, ""), "\n", " \n"))
+        ids = self._pieces(found.dictionary).take(found.indices)
+        at = np.frombuffer(ids.buffers()[1], dtype="<i8")[bounds] // 4
+        flat = np.frombuffer(ids.buffers()[2], dtype="<u4")
+        out = [flat[lo + 1 : hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            for k, x in zip(rows.tolist(), self._library(texts.take(pa.array(rows)).to_pylist()), strict=True):
+                out[k] = x
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or _RUNS.search(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        get, out = self.words.get, [self._ids(first)]
-        out += [get(x) or self._cached(x) for x in rest]
-        return b"".join(out)
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 _encoders: dict[int, Encoder] = {}
@@ -274,24 +314,26 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, bits: bool = False, block
     folder, end = scratch_path(spark, "token-shards"), struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, first = None, None
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        out = None
+        for b in chunks(batches, 1):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder(model.value).encode_all(b.column(1)), strict=True):
                 if out is None:
-                    out, first = ShardWriter(unique_name(folder, f"-{TaskContext.get().partitionId():06d}.ids"), bits, block), doc
-                    encode = encoder(model.value).encode
-                out.add(doc, encode(text or "") + end)
+                    out = ShardWriter(unique_name(folder, f"-{TaskContext.get().partitionId():06d}.ids"), bits, block)
+                out.add(doc, ids.tobytes() + end)
         if out is not None:
             size = out.close()
-            yield pa.RecordBatch.from_pydict({"path": [out.uri], "first_doc": pa.array([first], pa.int64()), "first_null": [first is None], "n_docs": [len(out.docs)], "n_ids": [out.n_ids], "n_bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [out.uri], "n_docs": [len(out.docs)], "n_ids": [out.n_ids], "n_bytes": [size]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The start of the text splits the rows of a hot doc_id over partitions; what the driver samples stays short.
+    order = F.col("doc_id").asc_nulls_first()
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    ordered = rows.repartitionByRange(order, F.substring("text", 1, LEAD).asc_nulls_first()).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     return materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with the number of ids in all shards before each one; it has a row for each write task."""
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    """The manifest with the number of ids in all shards before each one; it has a row for each write task, and their numbers follow the order."""
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
 
