@@ -10,13 +10,13 @@ import pyarrow.compute as pc
 CHUNK = 16 << 20
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of some ``CHUNK`` bytes of column ``text``, so that memory does not follow the batch size."""
+def chunks(batches: Iterator[pa.RecordBatch], text: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some ``size`` bytes of column ``text``, so that memory does not follow the batch size."""
     for b in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0)).astype(np.int64)
         ends, lo = np.cumsum(sizes), 0
         while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
             yield b.slice(lo, hi - lo)
             lo = hi
 

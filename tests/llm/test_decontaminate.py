@@ -83,3 +83,22 @@ def test_one_inconsistent_slot_and_cover_in_parts(spark):
     ]
     got = {r.doc_id: r["items"] for r in d.judge(spark.createDataFrame([(i, t) for i, t, _ in cases], "doc_id long, text string"), bench).collect()}
     assert got == {i: items for i, _, items in cases}
+
+
+def test_values_clash_across_diagonals(spark):
+    item = "A farmer keeps 37 brown hens in one old barn near a river while all of these same 37 brown hens lay eggs"
+    words_ = item.split()
+    names = " ".join(["When", "Alice", *words(9, 71).split(), "Alice", *words(9, 72).split()])
+    bench = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    moved = " ".join([*words_[:12], "quiet", *words_[12:]])
+    cases = [
+        (1, item.replace("37", "52"), 1.0),
+        (2, moved.replace("37", "52"), 1.0),
+        (3, moved.replace("37", "52", 1).replace("37", "94"), 12 / 22),  # 37 stands for 52 and for 94: only the larger part and plain windows count
+        (4, names.replace("Alice", "Carol"), 1.0),
+        (5, item.replace("37", "52") + " . " + item.replace("37", "94"), 1.0),  # two copies, each consistent
+    ]
+    got = {r.doc_id: (r["items"], r.cover) for r in d.judge(spark.createDataFrame([(i, t) for i, t, _ in cases], "doc_id long, text string"), bench).collect()}
+    for i, _, cover in cases:
+        assert got[i][0] == ("2" if i == 4 else "1")
+        assert (got[i][1] == 1.0) == (cover == 1.0), (i, got[i])
