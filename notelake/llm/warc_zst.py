@@ -2,23 +2,25 @@
 
 An archive starts with a skippable frame that holds the dictionary, and every
 record is a frame of its own, so any record can be decoded from its offset.
-``write_archives`` finds the response for each payload digest with an
-aggregation and a join (a hot digest is pre-aggregated and its join side can be
-split), then each task streams its rows to files of bounded size.
-``read_archives`` loads the dictionary, decodes frame by frame and checks
-headers, lengths and digests; what is wrong is told in ``problem``.
+``write_archives`` aggregates the digests first. Only those that repeat are
+joined back, and where they are few enough (they are counted) they are sent to
+the tasks, so no payload is shuffled. Then each task streams its rows to files
+of bounded size. ``read_archives`` loads the dictionary, decodes frame by frame
+and checks headers, lengths and digests; what is wrong is told in ``problem``.
 
 Defined results: a null html is an empty payload; of records with equal
-payloads of at least ``min_revisit`` bytes that with the largest page_id is the
-response (rows that tie for it are all responses) and the others revisit it; a
-null page_id counts as less than any other and, where all are null, all are
-responses; a null url is left out of the header; repeated rows are each
-written; an empty table writes no archive; only page_id, url and html are read.
+payloads of at least ``min_revisit`` bytes one is the response and the others
+revisit it: that with the largest page_id (null counts as less than any other),
+of these that with the largest url, and of rows equal in all that any one;
+payloads below ``min_revisit`` are all responses; a null url is left out of the
+header; repeated rows are each written, under record ids of their own; an empty
+table writes no archive; only page_id, url and html are read.
 """
 
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ from notelake.sources.scratch import materialize, scratch_path
 
 SKIPPABLE = 0x184D2A5D
 MIN_REVISIT = 0
+#: Repeated digests that may be sent to every task.
+MAX_SENT = 200_000
 FILE_BYTES = 64 << 20
 #: Payloads and bytes from the front of a file's rows that its dictionary is trained on.
 TRAIN_ROWS, TRAIN_BYTES, DICT_BYTES = 200, 2 << 20, 32 << 10
@@ -45,12 +49,13 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _record_id(page_id: int | None, digest: str, own: str = "") -> str:
+    """The response of a digest is named by it alone, so that revisits can refer to it; ``own`` tells others apart."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{own and ':' + own}>"
 
 
 def _page_id(record_id: str) -> int | None:
-    text = record_id.removeprefix("<urn:page:").removesuffix(">")
+    text = record_id.removeprefix("<urn:page:").split(":")[0]
     return int(text) if text else None
 
 
@@ -59,16 +64,17 @@ def _quoted(url: str) -> str:
     return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in url or "\n" in url else url
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, response_id: int | None) -> bytes:
-    """One WARC record; ``response_id`` makes it a revisit, which has the HTTP header without the payload."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, revisits: bool = False, response_id: int | None = None, own: str = "") -> bytes:
+    """One WARC record; a revisit of the page ``response_id`` has the HTTP header without the payload."""
+    digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if response_id is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if response_id is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id)}", "WARC-Date: 2020-01-01T00:00:00Z"]
+    block = http if revisits else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest, own)}", "WARC-Date: 2020-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_quoted(url)}")
-    if response_id is not None:
-        head += [f"WARC-Refers-To: {_record_id(response_id)}", f"WARC-Profile: {_PROFILE}"]
-    head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    if revisits:
+        head += [f"WARC-Refers-To: {_record_id(response_id, digest)}", f"WARC-Profile: {_PROFILE}"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + _EOL * 2 + block + _EOL * 2
 
 
@@ -159,17 +165,34 @@ def parse_record(data: bytes) -> dict:
     return out | {"payload": payload, "problem": None if base32_sha1(payload) == digest else "payload digest differs"}
 
 
-def write_archives(pages: DataFrame, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
+def _planned(rows: DataFrame, min_revisit: int, max_sent: int) -> DataFrame:
+    """page_id, url, payload, revisits, response_id and named (whether the record is the response that others may refer to)."""
+    keyed = rows.withColumn("digest", F.sha1("payload"))
+    per = keyed.where(F.length("payload") >= min_revisit).groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max(F.struct(F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNotNull().alias("known"))).alias("top"))
+    repeated = per.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", F.col("n").alias("ties"), "top")).alias("best")).where("n > 1")
+    repeated = materialize(repeated.select("digest", F.col("best.page_id").alias("newest"), F.col("best.ties").alias("ties"), F.col("best.top").alias("top")), "warc-repeated")
+    sent = F.broadcast(repeated) if repeated.count() <= max_sent else repeated
+    joined = keyed.join(sent, "digest", "left").withColumn("first", F.col("ties").isNotNull() & F.col("page_id").eqNullSafe(F.col("newest")))
+    repeats = F.col("ties").isNotNull() & ~F.col("first")
+    plain = joined.where(~F.col("first") | (F.col("ties") == 1)).select("page_id", "url", "payload", repeats.alias("revisits"), F.when(repeats, F.col("newest")).alias("response_id"), ((F.length("payload") >= min_revisit) & ~repeats).alias("named"))
+    if repeated.where("ties > 1").isEmpty():
+        return plain
+    # Rows that tie for the response: equal ones are counted before they are numbered.
+    tied = joined.where(F.col("first") & (F.col("ties") > 1)).groupBy("page_id", "url", "digest", "top").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
+    best = F.struct(F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNotNull().alias("known")) == F.col("top")
+    copies = tied.select("page_id", "url", "payload", best.alias("best"), F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    chosen = F.col("best") & (F.col("copy") == 1)
+    return plain.unionByName(copies.select("page_id", "url", "payload", (~chosen).alias("revisits"), F.when(~chosen, F.col("page_id")).alias("response_id"), chosen.alias("named")))
+
+
+def write_archives(pages: DataFrame, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES, max_sent: int = MAX_SENT) -> DataFrame:
     """Write the archives and return their manifest: path, n_records, n_bytes."""
     folder = scratch_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    newest = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("newest"))
-    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))
-    planned = rows.join(newest, "digest", "left").select("page_id", "url", "payload", revisits.alias("response_id"))
+    planned = _planned(rows, min_revisit, max_sent)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, front, held = None, [], 0
+        out, front, held, own, n = None, [], 0, uuid.uuid4().hex[:16], 0
 
         def opened() -> ArchiveWriter:
             new = ArchiveWriter(unique_name(folder, ".warc.zst"), front)
@@ -178,8 +201,9 @@ def write_archives(pages: DataFrame, min_revisit: int = MIN_REVISIT, file_bytes:
             return new
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                record = record_bytes(*row)
+            for *row, named in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n += 1
+                record = record_bytes(*row, own="" if named else f"{own}-{n}")
                 if out is None:
                     front.append(record)
                     held += len(record)
