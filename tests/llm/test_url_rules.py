@@ -20,6 +20,7 @@ def urls():
     hosts = ["example.com", "A.Example.COM", "b.a.example.com", "example.net", "x.net", "org", "notcom", "com", "examplexcom", "", "example.com:80", "é.com"]
     paths = ["", "/", "/en/", "/en/7", "/en/77?x=/de/", "/de/8#a", "/de/9", "/es/1", "/EN/7", "?q=/en/", "#/en/"]
     out = [f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)]
+    out += ["http://com,foo/en/x", "http://org,evil/es/a", "http://foo,com/en/x", "http://a..com/en/", "http://.com/en/"]
     return [*out, None, "", "no scheme", "a://b://c/en/", "http:/x", "x\n://y.com/en/1"]
 
 
