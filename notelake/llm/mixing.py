@@ -3,12 +3,14 @@
 Each source's documents are laid end to end and cut into blocks of ``BLOCK``
 words. The output is shards of ``SHARD`` slots, a block each. For every shard
 the number of slots of each source is drawn from the multinomial distribution
-of the targets (each slot draws by hashing its place); over all shards, what a
-source has drawn beyond its quota of blocks is dealt to the sources that fell
-short, so the totals are exact. The j-th slot of a source takes the block that
-the source's pseudorandom permutation of block numbers (swap-or-not rounds,
-which permute any range) gives for j, and the slots are joined with the blocks
-by number. No block is taken more often than twice.
+of the targets (each slot draws by hashing its place). A source gets as many
+blocks as were drawn for it; only where that is further than ``TOLERANCE`` from
+its target's blocks, as with few slots, or more than twice its blocks, it stops
+at that bound: slots beyond it go to sources that are short of theirs or stay
+out, and what is still short fills further shards. The j-th slot of a source
+takes the block that the source's pseudorandom permutation of block numbers
+(swap-or-not rounds, which permute any range) gives for j, and the slots are
+joined with the blocks by number. No block is taken more often than twice.
 
 Every step is DataFrame functions. Positions within a source come from prefix
 sums over buckets of documents, so a source with a third of all rows is spread
@@ -16,7 +18,7 @@ over many tasks; the slots' sources are found by joining on grid cells.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
 source of its own, last in order; rows that repeat a doc_id are separate
-documents; if all sizes are 0 nothing is taken and targets are 0; an empty
+documents (those of one size are in one bucket); if all sizes are 0 nothing is taken and targets are 0; an empty
 table gives no rows; columns other than doc_id, text and source are not read by
 ``mix`` and are carried by ``take``.
 """
@@ -31,7 +33,9 @@ WEIGHTS = (3, 1, 2)
 SHARE, STOP = 1.5, 2
 BLOCK, SHARD, ROUNDS, SEED = 256, 4096, 24, 7
 #: Documents in a bucket of the prefix sums, and grid cells of an interval join.
-BUCKET, CELLS = 20_000, 1024
+BUCKET, CELLS = 4_000, 1024
+#: Share of a source's blocks by which its draws may miss them.
+TOLERANCE = 0.02
 
 
 def _hash(*parts: Column | str | int) -> Column:
@@ -109,15 +113,21 @@ def plan(sources: DataFrame, seed: int = SEED) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
     ranked = drawn.withColumn("k", rank).join(base, ["sid", "shard"]).select("shard", "slot", "sid", (F.col("base") + F.col("k")).alias("j"))
 
-    held = sources.select("sid", "quota").join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    held = held.withColumns({"over": F.greatest(F.col("n") - F.col("quota"), F.lit(0)), "short": F.greatest(F.col("quota") - F.col("n"), F.lit(0))})
+    held = sources.select("sid", "quota", "blocks").join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    slack = F.floor(F.col("quota") * TOLERANCE)
+    held = held.withColumn("count", F.least(F.greatest("n", F.col("quota") - slack), F.col("quota") + slack, F.floor(F.col("blocks") * STOP)))
+    held = held.withColumns({"over": F.greatest(F.col("n") - F.col("count"), F.lit(0)), "short": F.greatest(F.col("count") - F.col("n"), F.lit(0))})
     held = held.withColumns({"over_hi": F.sum("over").over(order), "hi": F.sum("short").over(order)}).withColumn("lo", F.col("hi") - F.col("short"))
     held = materialize(held, "mix-held")
-    marked = ranked.join(held.select("sid", "quota", (F.col("over_hi") - F.col("over")).alias("over_lo")), "sid")
-    surplus = marked.where("j >= quota").select("shard", "slot", (F.col("over_lo") + F.col("j") - F.col("quota")).alias("x"))
-    moved = _place(surplus, "x", held.select(F.col("sid").alias("to"), "n", F.col("lo").alias("from"), "lo", "hi"), held.agg(F.coalesce(F.sum("short"), F.lit(0))).first()[0])
+    over, short = held.agg(F.coalesce(F.sum("over"), F.lit(0)), F.coalesce(F.sum("short"), F.lit(0))).first()
+    marked = ranked.join(held.select("sid", "count", (F.col("over_hi") - F.col("over")).alias("over_lo")), "sid")
+    surplus = marked.where("j >= count").select("shard", "slot", (F.col("over_lo") + F.col("j") - F.col("count")).alias("x"))
+    # What all surplus slots leave short gets shards of its own behind the others.
+    added = spark.range(max(0, short - over)).select(F.floor(F.col("id") / SHARD).alias("k"), (F.col("id") % SHARD).alias("slot"), (F.col("id") + over).alias("x"))
+    surplus = surplus.unionByName(added.select((F.col("k") + -(-total // SHARD)).alias("shard"), "slot", "x"))
+    moved = _place(surplus, "x", held.select(F.col("sid").alias("to"), "n", F.col("lo").alias("from"), "lo", "hi"), short)
     moved = moved.select("shard", "slot", F.col("to").alias("sid"), (F.col("n") + F.col("x") - F.col("from")).alias("j"))
-    dealt = marked.where("j < quota").select("shard", "slot", "sid", "j").unionByName(moved)
+    dealt = marked.where("j < count").select("shard", "slot", "sid", "j").unionByName(moved)
 
     name = F.concat_ws(":", F.lit("order"), F.lit(str(seed)), F.col("sid").cast("string"))
     keys = sources.where("blocks > 0").select("sid", "blocks", name.alias("name"), F.array(*(F.pmod(_hash("key", seed, F.col("sid"), r), F.col("blocks")) for r in range(ROUNDS))).alias("keys"))
@@ -180,7 +190,7 @@ def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def sql(weights=WEIGHTS, share: float = SHARE, stop: float = STOP, seed: int = SEED) -> str:
-    """DuckDB SQL for the query's columns. With exact totals the draws decide where a block goes but not how often it is taken."""
+    """DuckDB SQL for the query's columns, with its own draws."""
 
     def h(text: str) -> str:
         return f"('0x' || substr(md5({text}), 1, 15))::bigint"
@@ -194,12 +204,17 @@ s3 as (select *, (wanted - stopped) / rest as level from s2),
 s4 as (select *, (select level from s3 where level <= cap / w order by cap / w, sid limit 1) as common from s3),
 s as (select source, sid, source_size, least(cap, common * w) as target, ceil(source_size / {BLOCK}.0)::bigint as blocks from s4),
 q as (select *, case when source_size > 0 then floor(target * blocks / source_size + 0.5)::bigint else 0 end as quota from s),
-j as (select sid, blocks, unnest(range(0, quota)) as j from q where quota > 0),
+shares as (select sid, quota, sum(quota) over (order by sid)::bigint as hi, (select sum(quota) from q)::bigint as total from q),
+slots as (select unnest(range(0, (select coalesce(max(total), 0) from shares))) as i),
+drawn as (select {h(f"'draw:{seed}:' || (i // {SHARD}) || ':' || (i % {SHARD})")} % (select greatest(1, max(total)) from shares) as x from slots),
+n as (select sid, count(*) as n from drawn join shares on x >= hi - quota and x < hi group by sid),
+c as (select q.sid, blocks, least(greatest(coalesce(n, 0), quota - floor(quota * {TOLERANCE}::double)), quota + floor(quota * {TOLERANCE}::double), blocks * {STOP})::bigint as count from q left join n using (sid)),
+j as (select sid, blocks, unnest(range(0, count)) as j from c where count > 0),
 p as (select sid, list_reduce(list_prepend(j % blocks, range(0, {ROUNDS})), lambda x, r: case when ascii(substr(md5('order:{seed}:' || sid || ':' || r || ':' || greatest(x, ((({h(f"'key:{seed}:' || sid || ':' || r")} % blocks) - x) % blocks + blocks) % blocks)), 1, 1)) % 2 = 1
   then ((({h(f"'key:{seed}:' || sid || ':' || r")} % blocks) - x) % blocks + blocks) % blocks else x end) as block from j),
 uses as (select sid, block, count(*) as uses from p group by all),
 b as (select d.rid, d.doc_id, d.size, q.sid, {h("coalesce(doc_id::varchar, '') || ':' || size")} % (select ceil(count(*) / {BUCKET}.0)::bigint from d) as bucket from d join q on d.source is not distinct from q.source where size > 0),
 l as (select rid, sid, size, coalesce(sum(size) over (partition by sid order by bucket, doc_id nulls first, size, rid rows between unbounded preceding and 1 preceding), 0)::bigint as start from b),
-c as (select rid, sid, size, start, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) as block from l),
-t as (select rid, sum((least((c.block + 1) * {BLOCK}, start + size) - greatest(c.block * {BLOCK}, start)) * coalesce(uses, 0)) as taken from c left join uses u on u.sid = c.sid and u.block = c.block group by rid)
+cut as (select rid, sid, size, start, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) as block from l),
+t as (select rid, sum((least((c.block + 1) * {BLOCK}, start + size) - greatest(c.block * {BLOCK}, start)) * coalesce(uses, 0)) as taken from cut c left join uses u on u.sid = c.sid and u.block = c.block group by rid)
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from d join q on d.source is not distinct from q.source left join t using (rid)"""
