@@ -1,11 +1,16 @@
 """Session settings and shared scratch space.
 
 Intermediate tables that cut lineage are Parquet in the folder named by
-``spark.checkpoint.dir``, which driver and executors share. Where the session
-names none (tests, a laptop) a folder under the temp folder is made once.
+``spark.checkpoint.dir``, which driver and executors share. A local session
+(tests, a laptop) that names none gets a folder under the temp folder, which
+goes with the process; on a cluster such a session is refused.
 """
 
+import atexit
 import contextlib
+import contextvars
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,31 +43,35 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if shared:
         return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="notelake-")
-    return _own[app]
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"{_KEY} is not set: a cluster needs a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = folder = tempfile.mkdtemp(prefix="notelake-")
+        atexit.register(shutil.rmtree, folder, True)
+    return "file://" + _own[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _recorders:
+    for made in _recorders.get():
         made.append(path)
     return path
 
 
-_recorders: list[list[str]] = []
+#: The lists that record paths in this thread of work: two runs in one driver do not see each other's.
+_recorders: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recorders", default=())
 
 
 @contextlib.contextmanager
 def recording(made: list[str]) -> Iterator[None]:
     """Add the scratch paths that are made meanwhile to ``made``, so that they can be dropped once what reads them has run."""
-    _recorders.append(made)
+    token = _recorders.set((*_recorders.get(), made))
     try:
         yield
     finally:
-        _recorders.remove(made)
+        _recorders.reset(token)
 
 
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:
