@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.functions.spans import SPANS
+from notelake.functions.spans import resolve_spans
 
 
 def embed(docs: DataFrame, key: str, model: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
@@ -21,11 +21,15 @@ def embed(docs: DataFrame, key: str, model: Callable[[list[str]], list[list[floa
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<double>")
 
 
-def add_names(spans: Column, names: Column) -> Column:
-    """``spans`` with a name model's (start, end) spans as persons, less those that overlap a span found before; sorted."""
-    person = F.transform(names, lambda n: F.struct(n["start"].cast("int").alias("start"), n["end"].cast("int").alias("end"), F.lit("person").alias("kind")))
-    free = F.filter(person, lambda n: ~F.exists(spans, lambda s: (n["start"] < s["end"]) & (s["start"] < n["end"])))
-    return F.array_sort(F.concat(spans, free)).cast(SPANS)
+def add_names(raw: Column, names: Column) -> Column:
+    """Detected spans (of ``raw_spans``) with a name model's (start, end) spans as persons."""
+    return resolve_spans(raw, names)
+
+
+def shared_words(query: Column, text: Column) -> Column:
+    """The scorer where no model is given: the share of the query's different words that the text has."""
+    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), ""))
+    return F.coalesce(F.size(F.array_intersect(words(query), words(text))) / F.nullif(F.size(words(query)), F.lit(0)), F.lit(0.0))
 
 
 def rerank(results: DataFrame, scorer: Callable[[Column, Column], Column], head: int = 20, share: float = 0.6) -> DataFrame:

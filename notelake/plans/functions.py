@@ -6,7 +6,7 @@ from notelake.functions import spans as s
 from notelake.functions import text as x
 from notelake.plans.registry import query
 
-_WORD = "(^|[^a-z])({})([^a-z]|$)".format("|".join(x.RESOLVED))
+_WORD = r"\b({})\b".format("|".join(x.RESOLVED))
 
 
 @query()
@@ -25,12 +25,15 @@ def find_asset(t):
 @query()
 def detect_spans(t):
     found = t.documents.select("doc_id", s.detect_spans("text").alias("spans"))
-    return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*")
+    return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*", x.in_words(F.col("span.kind"), s.GROUPS).alias("group"))
 
 
 @query()
 def merge_spans(t):
-    return t.documents.select("doc_id", s.merge_spans(s.detect_spans("text")).alias("spans")).select("doc_id", F.size("spans").alias("n"), F.to_json("spans").alias("spans"))
+    """Persons by title, before and after touching ones are joined and those under another kind dropped."""
+    rows = t.documents.select("doc_id", s.raw_spans("text").alias("raw"))
+    people = lambda c: F.filter(c, lambda v: v["kind"] == "person")
+    return rows.select("doc_id", F.size(people("raw")).alias("found"), people(s.resolve_spans(F.col("raw"))).alias("spans")).select("doc_id", "found", F.size("spans").alias("n"), F.to_json("spans").alias("spans"))
 
 
 @query()
@@ -39,9 +42,19 @@ def mask_all(t):
     return found.select("doc_id", s.mask_spans(F.col("text"), F.col("spans")).alias("masked"))
 
 
-@query(rf"select doc_id, regexp_replace(text, '{x.EMAIL}', '[email removed]', 'g') as masked from documents")
+_SINGLE = {k: dict(s.RULES)[k] for k in ("email", "id_number", "vehicle")}
+_MASKED = "text"
+for _kind, _rule in _SINGLE.items():
+    _MASKED = f"regexp_replace({_MASKED}, '{_rule}', '[{_kind} removed]', 'g')"
+
+
+@query(f"select doc_id, {_MASKED} as masked from documents")
 def mask_text(t):
-    return t.documents.select("doc_id", x.mask(F.col("text"), x.EMAIL, "email").alias("masked"))
+    """The rules that need neither look-around nor each other, one after the other."""
+    masked = F.col("text")
+    for kind, rule in _SINGLE.items():
+        masked = x.mask(masked, rule, kind)
+    return t.documents.select("doc_id", masked.alias("masked"))
 
 
 @query(rf"select memory_id, regexp_matches(lower(text), '{_WORD}') as resolved from notes")
@@ -71,14 +84,17 @@ def sigmoid(t):
 _FLAT = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
 
 
-@query(f"select doc_id, case when length({_FLAT}) > 70 then rtrim(substring({_FLAT}, 1, 69), ' ') || '…' else {_FLAT} end as short from documents")
+@query(f"select doc_id, case when length({_FLAT}) > 70 then substring({_FLAT}, 1, 69) || '…' else {_FLAT} end as short from documents")
 def clip(t):
     return t.documents.select("doc_id", x.clip(F.col("text")).alias("short"))
 
 
-@query("select id, case when s < 3600 then (s // 60) || ' min' when s < 86400 then (s // 3600) || ' h' else (s // 86400) || ' d' end as span from (select id, (value * 3000)::bigint as s from activity)")
+@query("""select id, case when s < 3600 then greatest(1, round_even(s / 60, 0)::bigint) || ' min' when s < 86400 then round_even(s / 3600, 0)::bigint || ' h' else round_even(s / 86400, 0)::bigint || ' days' end as span,
+  case when n < 60 then n || 's' when n < 3600 then (n // 60) || 'm ' || (n % 60) || 's' else (n // 3600) || 'h ' || (n % 3600 // 60) || 'm' end as short
+  from (select id, value * 3000 as s, floor(value * 3000)::bigint as n from activity)""")
 def duration_text(t):
-    return t.activity.select("id", x.duration(F.round(F.col("value") * 3000)).alias("span"))
+    seconds = F.col("value") * 3000
+    return t.activity.select("id", x.duration(seconds).alias("span"), x.short_duration(seconds).alias("short"))
 
 
 @query("select run_id, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0) else printf('%.1f MB', n / 1048576.0) end as size from (select run_id, bytes_up * bytes_down as n from sync_runs)")
@@ -91,24 +107,31 @@ def numbers_in(t):
     return t.notes.select("memory_id", F.array_join(x.numbers_in(F.col("text")), " ").alias("numbers"), F.array_join(x.assets_in(F.col("text")), " ").alias("assets"))
 
 
+@query(rf"select conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' P-1, K-22B and P-1', '{x.ASSET}', 1))), ' ') as assets from conversations")
+def assets_in(t):
+    return t.conversations.select("conv_id", "turn", F.array_join(x.assets_in(F.concat("text", F.lit(" P-1, K-22B and P-1"))), " ").alias("assets"))
+
+
 _IN = lambda ws: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + ")"
 _POLAR = f"""
-with w as (select memory_id, list_filter(regexp_split_to_array(lower(text || ' and it is not safe, never normal but ok'), '[^\\p{{L}}\\p{{N}}'']+'), lambda y: y <> '') as w from notes),
+with w as (select memory_id, regexp_extract_all(lower(text || ' and it is not safe, no longer faulty'), '[a-z]+') as w from notes),
 e as (select memory_id, w, unnest(range(1, len(w) + 1)) as i from w),
-v as (select memory_id, w[i] in {_IN(x.GOOD)} as good, w[i] in {_IN(x.BAD)} as bad, len(list_filter(w[greatest(i - 3, 1):i - 1], lambda y: y in {_IN(x.NEGATIONS)})) > 0 as turned from e)
-select n.memory_id, coalesce(string_agg(distinct case when (good and not turned) or (bad and turned) then 'good' when good or bad then 'bad' end, ' ' order by case when (good and not turned) or (bad and turned) then 'good' when good or bad then 'bad' end), '') as verdicts from notes n left join v using (memory_id) group by n.memory_id"""
+v as (select memory_id, w[i] in {_IN(x.POSITIVE)} as good, w[i] in {_IN(x.NEGATIVE)} as bad, len(list_filter(w[greatest(i - 3, 1):i - 1], lambda y: y in {_IN(x.NEGATIONS)})) > 0 as turned from e),
+c as (select memory_id, case when (good and not turned) or (bad and turned) then 'positive' when good or bad then 'negative' end as verdict from v)
+select memory_id, coalesce(string_agg(distinct verdict, ' ' order by verdict), '') as verdicts from c group by memory_id"""
 
 
 @query(_POLAR)
 def polarity(t):
-    return t.notes.select("memory_id", F.array_join(x.polarity(F.concat("text", F.lit(" and it is not safe, never normal but ok"))), " ").alias("verdicts"))
+    return t.notes.select("memory_id", F.array_join(x.polarity(F.concat("text", F.lit(" and it is not safe, no longer faulty"))), " ").alias("verdicts"))
 
 
-@query("select memory_id, case scope when 'private' then 'Only me' when 'shared' then 'Shared' else 'Shared, masked' end as scope_word, case priority when 2 then 'urgent' when 1 then 'normal' else 'low' end as priority_word from notes")
+_CASE = lambda c, words: f"case {c} " + " ".join(f"when {k!r} then {v!r}" for k, v in words.items()) + " end"
+
+
+@query(f"select memory_id, {_CASE('scope', x.SCOPE_WORDS)} as scope_word, {_CASE('priority', x.PRIORITY_WORDS)} as priority_word, {_CASE('category', x.CATEGORY_WORDS)} as category_word from notes")
 def label_maps(t):
-    scope = F.create_map(*[F.lit(v) for kv in {"private": "Only me", "shared": "Shared", "redacted": "Shared, masked"}.items() for v in kv])
-    priority = F.create_map(*[F.lit(v) for kv in {2: "urgent", 1: "normal", 0: "low"}.items() for v in kv])
-    return t.notes.select("memory_id", scope[F.col("scope")].alias("scope_word"), priority[F.col("priority")].alias("priority_word"))
+    return t.notes.select("memory_id", x.in_words(F.col("scope"), x.SCOPE_WORDS).alias("scope_word"), x.in_words(F.col("priority"), x.PRIORITY_WORDS).alias("priority_word"), x.in_words(F.col("category"), x.CATEGORY_WORDS).alias("category_word"))
 
 
 @query("select memory_id, array_to_string(list_sort(list_distinct(string_split(tag_text || ',pump', ','))), ',') as tags from notes")
@@ -136,10 +159,9 @@ def subset_test(t):
     return t.notes.select("memory_id", (F.size(F.array_except(x.numbers_in(F.col("text")), allowed)) == 0).alias("covered"))
 
 
-@query("select doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter([case when regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') then 'email' end, case when regexp_matches(text, '[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}') then 'id_number' end], lambda y: y is not null))), ','), '') as types from documents")
+@query()
 def signal_types(t):
-    kinds = F.array(F.when(F.col("text").rlike(x.EMAIL), "email"), F.when(F.col("text").rlike("[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"), "id_number"))
-    return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array_compact(kinds))), ",").alias("types"))
+    return t.documents.select("doc_id", F.array_join(s.kinds_of(s.detect_spans("text")), ",").alias("types"))
 
 
 @query("""with c as (select memory_id, text, instr(text, 'rea') as p from notes where contains(text, 'rea'))
