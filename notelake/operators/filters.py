@@ -3,7 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLOUD_FIELDS = ["memory_id", "kind", "asset", "site", "scope", "category", "priority", "device_id", "status", "rev", "review", "updated_at"]
+#: The fields that may leave the device, but for text and redacted, which depend on the scope; tags and schema go under their column names.
+CLOUD_FIELDS = [
+    "kind", "asset", "tag_text", "site", "scope", "category", "priority", "device_id", "origin_device", "author", "created_at", "updated_at", "rev",
+    "status", "supersedes", "superseded_by", "relation", "schema_text", "expires_at", "review", "reviewed_by", "reviewed_at", "review_reason", "role",
+]
 
 
 def blank(c: Column) -> Column:
@@ -53,7 +57,7 @@ def outgoing_text() -> Column:
 
 
 def cloud_view(notes: DataFrame) -> DataFrame:
-    return notes.select(*CLOUD_FIELDS, outgoing_text().alias("text"), (F.col("scope") == "redacted").alias("redacted"))
+    return notes.select("memory_id", *CLOUD_FIELDS, outgoing_text().alias("text"), (F.col("scope") == "redacted").alias("redacted"))
 
 
 def tombstone(notes: DataFrame, reason: Column | None = None) -> DataFrame:

@@ -1,10 +1,15 @@
 """Ranking notes for many queries at once: BM25, cosine, fusion."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelake.functions.text import recency, strength
+from notelake.sources.scratch import materialize
 
 #: The published BM25 constants.
 K1, B = 1.2, 0.75
@@ -29,48 +34,124 @@ def bm25_stats(tf: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame
     return df, length, length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
-    """query, document, score and place of the k best documents of each query.
+def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, max_sent: int = 200_000) -> DataFrame:
+    """query, document and score of every pair that shares a term.
 
-    Only terms that some query has are joined and weighed; the top k are cut
-    inside the window, before its shuffle.
+    Only terms that some query has are joined and weighed. Where the queries
+    have at most ``max_sent`` terms (counted) these and their document counts
+    are sent to the tasks, so that a frequent term is no hot key.
     """
     asked = terms(queries, query_key).select(query_key, "term")
-    used = terms(docs, doc_key, only=asked.select("term").distinct())
+    sent = F.broadcast if asked.limit(max_sent + 1).count() <= max_sent else lambda df: df
+    used = terms(docs, doc_key, only=sent(asked.select("term").distinct()))
     length = docs.select(doc_key, F.size(_words("text")).cast("long").alias("dl")).where("dl > 0").groupBy(doc_key).agg(F.sum("dl").alias("dl"))
     total = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weigh = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = used.join(df, "term").join(length, doc_key).join(F.broadcast(total)).select("term", doc_key, weigh.alias("w"))  # totals: one row
-    scored = asked.join(weighed, "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key))
+    weighed = used.join(sent(df), "term").join(length, doc_key).join(F.broadcast(total)).select("term", doc_key, weigh.alias("w"))  # totals: one row
+    return weighed.join(sent(asked), "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def best(scored: DataFrame, query_key: str, doc_key: str, k: int, *within: str) -> DataFrame:
+    """The k best rows of each query (and value of ``within``) with their place; cut inside the window, before its shuffle."""
+    place = F.row_number().over(Window.partitionBy(query_key, *within).orderBy(F.desc("score"), doc_key))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
+    """query, document, score and place of the k best documents of each query."""
+    return best(bm25_scores(queries, docs, query_key, doc_key), query_key, doc_key, k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str, max_sent: int = 100_000) -> DataFrame:
-    """The k rows of ``corpus`` nearest to each query among those that share ``same``: an equi-join, broadcast where the queries are few (they are counted)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), same)
-    few = q.count() <= max_sent
-    pairs = corpus.join(F.broadcast(q) if few else q, same).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k)
+class _Top:
+    """The k best rows seen so far for each query."""
+
+    def __init__(self, query_ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.query_ids, self.vectors, self.k = query_ids, vectors, k
+        self.scores, self.ids = np.full((0, len(query_ids)), -np.inf), np.zeros((0, len(query_ids)), np.int64)
 
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], np.round(vectors[order] @ self.vectors.T, 6)
+        scores[ids[:, None] == self.query_ids[None, :]] = -np.inf  # a row is no answer to itself
+        top = np.argsort(-scores, axis=0, kind="stable")[: self.k]
+        scores, ids = np.concatenate((self.scores, np.take_along_axis(scores, top, 0))), np.concatenate((self.ids, ids[top]))
+        order = np.lexsort((ids, -scores), axis=0)[: self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, 0), np.take_along_axis(ids, order, 0)
 
-def fuse(dense: DataFrame, sparse: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each id with both signals' scores, null where a signal missed it."""
-    rows = dense.select(*keys, F.col("score").alias("d"), F.lit(None).cast("double").alias("s")).unionByName(sparse.select(*keys, F.lit(None).cast("double").alias("d"), F.col("score").alias("s")))
-    return rows.groupBy(*keys).agg(F.max("d").alias("semantic"), F.max("s").alias("keyword"))
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        real = np.isfinite(self.scores)
+        return np.broadcast_to(self.query_ids, self.scores.shape)[real], self.ids[real], self.scores[real]
 
 
-def hybrid_score(semantic: Column, keyword: Column, superseded: Column, age_days: Column) -> Column:
-    """0.75 semantic and 0.25 keyword strength, halved for superseded notes, with the boost for recent ones; four places."""
-    s = 0.75 * F.coalesce(strength(semantic, "semantic"), F.lit(0.0)) + 0.25 * F.coalesce(strength(keyword, "keyword"), F.lit(0.0))
-    return F.round(s * F.when(superseded, 0.5).otherwise(1.0) * recency(age_days), 4)
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, within: str | None = None, block: int = 1 << 22) -> DataFrame:
+    """query_id, vec_id, score and place of the k rows of ``corpus`` nearest to each query (in each value of the column ``within``, a text).
+
+    Queries go to the tasks in blocks of ``block`` numbers, and each task keeps
+    the k best of every query before anything is shuffled. A row is no answer
+    to itself; vectors that are null or of another length than the queries'
+    first are left out; ties go to the lower vec_id.
+    """
+    spark = queries.sparkSession
+    q = queries.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    head = q.select(F.size("q").alias("n")).first()
+    width = head.n if head else 1
+    q = q.where(F.size("q") == width)
+    blocks = max(1, -(-q.count() * width // block))
+    of = F.col(within) if within else F.lit("")
+    rows = corpus.where(F.size("embedding") == width).select(F.col("vec_id").cast("long"), of.cast("string").alias("of"), F.col("embedding").cast("array<double>"))
+    parts = []
+    for b in range(blocks):
+        table = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # one block
+        ids = table["query_id"].to_numpy()
+        sent = spark.sparkContext.broadcast((ids, np.asarray(table["q"].combine_chunks().flatten()).reshape(len(ids), width)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tops: dict[str | None, _Top] = {}
+            for x in batches:
+                names = np.array(x.column(1).to_pylist(), dtype=object)
+                vectors = np.asarray(x.column(2).flatten()).reshape(-1, width)
+                for name in set(names.tolist()):
+                    own = names == name
+                    tops.setdefault(name, _Top(*sent.value, k)).add(x.column(0).to_numpy()[own], vectors[own])
+            for name, top in tops.items():
+                query, vec, score = top.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array([name] * len(vec), pa.string()), pa.array(score)], names=["query_id", "vec_id", "of", "score"])
+
+        found = rows.mapInArrow(run, "query_id long, vec_id long, of string, score double")
+        parts.append(found if blocks == 1 else materialize(best(found, "query_id", "vec_id", k, "of").drop("place"), "nearest"))
+    scored = parts[0]
+    for more in parts[1:]:
+        scored = scored.unionByName(more)
+    out = best(scored, "query_id", "vec_id", k, "of")
+    return out.withColumnRenamed("of", within) if within else out.drop("of")
+
+
+def fuse(signals: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """One row for each id with every signal's best score, null where a signal missed it; ``signals`` have the keys and score."""
+    rows = None
+    for name, hits in signals.items():
+        own = hits.select(*keys, *((F.col("score") if s == name else F.lit(None).cast("double")).alias(s) for s in signals))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy(*keys).agg(*(F.max(s).alias(s) for s in signals))
+
+
+#: How much each signal counts in a search over all of them; a search by one signal takes it whole.
+WEIGHTS = {"semantic": 0.75, "keyword": 0.25, "image": 0.4}
+FLOOR = 0.05
+
+
+def hybrid_score(signals: dict[str, Column], superseded: Column, age_days: Column, mode: str = "hybrid") -> Column:
+    """The weighted strengths (four places each), halved for superseded notes, with the boost for recent ones."""
+    total = F.lit(0.0)
+    for name, score in signals.items():
+        total = total + (WEIGHTS[name] if mode == "hybrid" else 1.0) * F.coalesce(F.round(strength(score, name), 4), F.lit(0.0))
+    return total * F.when(superseded, 0.5).otherwise(1.0) * recency(age_days)
 
 
 def featurise(docs: DataFrame, key: str, buckets: int = 256) -> DataFrame:

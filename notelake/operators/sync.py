@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from notelake.functions.text import merge_tags
 from notelake.operators.filters import blank, may_see
 
-#: Fields whose two-sided change is a clash; tags are merged as sets.
-CONTENT = ["text", "kind", "asset", "status", "relation"]
+#: The fields that a person can change. A two-sided change is a clash; tags, the eighth field, are merged as sets.
+CONTENT = ["text", "kind", "asset", "status", "supersedes", "superseded_by", "relation"]
 
 
 def sides(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: str = "memory_id") -> DataFrame:
@@ -48,10 +48,11 @@ def three_way_merge(versions: DataFrame) -> DataFrame:
     return versions.select("memory_id", *(merged_field(c).alias(c) for c in CONTENT), F.array_join(merged_tags(), ",").alias("tags"), F.array_join(clashes(), ",").alias("clashes"))
 
 
-def same_content() -> Column:
-    out = F.col("mine.tag_text").eqNullSafe(F.col("theirs.tag_text"))
-    for c in CONTENT:
-        out = out & F.col(f"mine.{c}").eqNullSafe(F.col(f"theirs.{c}"))
+def same_content(mine: str = "mine", theirs: str = "theirs") -> Column:
+    """All content fields equal, null and null too."""
+    out = F.lit(True)
+    for c in [*CONTENT, "tag_text"]:
+        out = out & F.col(f"{mine}.{c}").eqNullSafe(F.col(f"{theirs}.{c}"))
     return out
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notelake.operators import chains
 from notelake.operators import filters as f
 from notelake.operators import sync as s
 from notelake.plans.registry import query
@@ -142,14 +143,8 @@ union all select c.head, n.memory_id, n.supersedes, c.depth + 1, list_append(c.p
 select head, memory_id, depth from c""")
 def history_chain(t):
     """Each active note's earlier versions; a chain never visits a note twice."""
-    t.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # chains of all notes at once
-    t.notes.select("memory_id", "supersedes", "status").createOrReplaceTempView("chain_notes")
-    return t.spark.sql(
-        """with recursive c(head, memory_id, supersedes, depth, path) as (
-        select memory_id, memory_id, supersedes, 0, array(memory_id) from chain_notes where status = 'active'
-        union all select c.head, n.memory_id, n.supersedes, c.depth + 1, array_append(c.path, n.memory_id) from c join chain_notes n on n.memory_id = c.supersedes where not array_contains(c.path, n.memory_id))
-        select head, memory_id, depth from c"""
-    )
+    heads = t.notes.where("status = 'active'").select(F.col("memory_id").alias("head"))
+    return chains.ancestors(t.notes).join(heads, "head", "left_semi").select("head", F.col("node").alias("memory_id"), "depth")
 
 
 @query("select r.memory_id, 'private' as scope, false as withdrawn, c.review_reason as reason, greatest(r.rev, c.rev) as rev from local_notes r join cloud_notes c using (memory_id) where c.status = 'deleted' and c.review = 'rejected'")
@@ -228,10 +223,20 @@ def media_receive(t):
     return rows.select("photo_id", "memory_id", F.when(F.col("held") == "queued", "replica").otherwise(F.col("held")).alias("held"), F.lit("shared").alias("scope"))
 
 
-@query("select n.memory_id, n.text, coalesce(p.photos, 0) as photos, coalesce(r.revisions, 0) as revisions, o.seq as open_seq from local_notes n left join (select memory_id, count(*) as photos from media where status = 'active' group by 1) p using (memory_id) left join (select memory_id, count(*) as revisions from revisions group by 1) r using (memory_id) left join (select memory_id, min(seq) as seq from outbox where state in ('pending', 'conflict') group by 1) o using (memory_id)")
+@query("""with recursive c as (select memory_id as head, memory_id, supersedes, [memory_id] as path from local_notes
+union all select c.head, n.memory_id, n.supersedes, list_append(c.path, n.memory_id) from c join local_notes n on n.memory_id = c.supersedes where not list_contains(c.path, n.memory_id)),
+h as (select head, count(*) as versions, min(memory_id) as oldest from c group by head),
+o as (select memory_id, min(seq) as open_seq, arg_min(op, seq) as open_op, arg_min(state, seq) as open_state from outbox where state in ('pending', 'conflict') group by 1),
+p as (select memory_id, count(*) as photos, max(photo_id) as newest_photo from media where status = 'active' group by 1), r as (select memory_id, count(*) as revisions from revisions group by 1)
+select n.memory_id, n.text, coalesce(photos, 0) as photos, newest_photo, coalesce(revisions, 0) as revisions, versions, oldest, open_seq, open_op, open_state
+from local_notes n left join p using (memory_id) left join r using (memory_id) left join o using (memory_id) left join h on h.head = n.memory_id""")
 def note_detail(t):
-    photos = t.media.where("status = 'active'").groupBy("memory_id").agg(F.count("*").alias("photos"))
+    photos = t.media.where("status = 'active'").groupBy("memory_id").agg(F.count("*").alias("photos"), F.max("photo_id").alias("newest_photo"))
     past = t.revisions.groupBy("memory_id").agg(F.count("*").alias("revisions"))
-    ops = t.outbox.where("state in ('pending', 'conflict')").groupBy("memory_id").agg(F.min("seq").alias("open_seq"))
-    df = t.local_notes.select("memory_id", "text").join(photos, "memory_id", "left").join(past, "memory_id", "left").join(ops, "memory_id", "left")
-    return df.select("memory_id", "text", F.coalesce("photos", F.lit(0)).alias("photos"), F.coalesce("revisions", F.lit(0)).alias("revisions"), "open_seq")
+    ops = t.outbox.where("state in ('pending', 'conflict')").groupBy("memory_id").agg(F.min("seq").alias("open_seq"), F.min_by("op", "seq").alias("open_op"), F.min_by("state", "seq").alias("open_state"))
+    chain = chains.ancestors(t.local_notes).groupBy(F.col("head").alias("memory_id")).agg(F.count("*").alias("versions"), F.min("node").alias("oldest"))
+    df = t.local_notes.select("memory_id", "text")
+    for part in (photos, past, chain, ops):
+        df = df.join(part, "memory_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return df.select("memory_id", "text", none("photos"), "newest_photo", none("revisions"), "versions", "oldest", "open_seq", "open_op", "open_state")

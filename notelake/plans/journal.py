@@ -44,9 +44,9 @@ def report_groups(t):
     return t.local_notes.where("status = 'active'").groupBy("device_id", "category").agg(n.alias("n"), F.concat(F.first("category"), F.lit(" ("), n, F.lit(")")).alias("header"))
 
 
-@query()
+@query("""select device_id, sum(length(to_json(struct_pack(memory_id := memory_id, "text" := text, kind := kind, asset := asset, status := status, rev := rev))::varchar) + 4 * 384 + 8 * len(list_distinct(string_split(lower(text), ' '))))::bigint as bytes from cloud_notes group by device_id""")
 def transfer_bytes(t):
-    row = F.length(F.to_json(F.struct("memory_id", "text", "kind", "asset", "status", "rev")))
+    row = F.length(F.to_json(F.struct("memory_id", "text", "kind", "asset", "status", "rev"), {"ignoreNullFields": "false"}))
     terms = F.size(F.array_distinct(F.split(F.lower("text"), " ")))
     return t.cloud_notes.groupBy("device_id").agg(F.sum(row + 4 * 384 + 8 * terms).alias("bytes"))
 
@@ -61,13 +61,24 @@ def cloud_totals(t):
     return t.cloud_notes.agg(F.count_if(F.col("status") != "deleted").alias("live"), F.count_if(F.col("status") == "deleted").alias("tombstones"))
 
 
-_PARTS = ["pushed", "pulled", "merged", "conflicts", "failed"]
+# How a run is told in words.
+_PARTS = {"pushed": "sent {}", "pulled": "received {}", "merged": "merged {}", "removed": "removed {}", "conflicts": "{} need a decision", "failed": "{} set aside after repeated failures"}
+_IDLE, _DONE = "Sync complete, already up to date.", "Sync complete: {}."
 
 
-@query("select run_id, status, pushed + pulled + merged as moved, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"case when {p} > 0 then {p} || ' {p}' end" for p in _PARTS) + "], lambda y: y is not null), ', '), ''), 'nothing to do') as summary from sync_runs")
+def _told(name, words):
+    before, after = words.split("{}")
+    return f"case when {name} > 0 then '{before}' || {name} || '{after}' end"
+
+
+_LISTED = "array_to_string(list_filter([" + ", ".join(_told(k, v) for k, v in _PARTS.items()) + "], lambda y: y is not null), ', ')"
+
+
+@query(f"select run_id, status, pushed, pulled, removed, merged, conflicts, failed, bytes_up + bytes_down as bytes, case when {_LISTED} = '' then '{_IDLE}' else 'Sync complete: ' || {_LISTED} || '.' end as summary from sync_runs")
 def run_summary(t):
-    parts = F.array_compact(F.array(*(F.when(F.col(p) > 0, F.concat(F.col(p), F.lit(f" {p}"))) for p in _PARTS)))
-    return t.sync_runs.select("run_id", "status", (F.col("pushed") + F.col("pulled") + F.col("merged")).alias("moved"), F.coalesce(F.nullif(F.array_join(parts, ", "), F.lit("")), F.lit("nothing to do")).alias("summary"))
+    parts = F.array_compact(F.array(*(F.when(F.col(k) > 0, F.format_string(v.replace("{}", "%s"), F.col(k))) for k, v in _PARTS.items())))
+    told = F.when(F.size(parts) == 0, _IDLE).otherwise(F.format_string(_DONE.replace("{}", "%s"), F.array_join(parts, ", ")))
+    return t.sync_runs.select("run_id", "status", "pushed", "pulled", "removed", "merged", "conflicts", "failed", (F.col("bytes_up") + F.col("bytes_down")).alias("bytes"), told.alias("summary"))
 
 
 @query("""with s as (select *, sum(case when approved then 0 else 1 end) over (partition by device_id order by decision_id) as island from reviews)
@@ -95,13 +106,31 @@ def learned_count(t):
     return t.embeddings.groupBy((F.col("label") % 5).alias("device")).agg(F.count("*").alias("learned"))
 
 
-@query("select id, device_id from (select id, device_id, row_number() over (partition by device_id order by id desc) as n from activity) where n <= 300 union all select seq, device_id from (select seq, device_id, state, row_number() over (partition by device_id, state in ('done', 'cancelled') order by seq desc) as n from outbox) where state not in ('done', 'cancelled') or n <= 50")
+#: Rows of each journal that a device keeps; an open outbox entry is never pruned.
+KEPT = {"events": 20_000, "runs": 2_000, "closed": 5_000}
+
+
+def _newest(source, key, n, where="true"):
+    return f"select '{source}' as journal, {key} as id, device_id from (select {key}, device_id, row_number() over (partition by device_id order by {key} desc) as n from {source} where {where}) where n <= {n}"
+
+
+_CLOSED = "state in ('done', 'cancelled')"
+
+
+@query(" union all ".join([_newest("activity", "id", KEPT["events"]), _newest("sync_runs", "run_id", KEPT["runs"]), _newest("outbox", "seq", KEPT["closed"], _CLOSED), f"select 'outbox', seq, device_id from outbox where not {_CLOSED}"]))
 def retention(t):
-    """Newest rows of each journal; an open outbox entry is never pruned."""
-    events = t.activity.withColumn("n", F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("id")))).where("n <= 300").select("id", "device_id")
-    closed = F.col("state").isin("done", "cancelled")
-    box = t.outbox.withColumn("closed", closed).withColumn("n", F.row_number().over(Window.partitionBy("device_id", "closed").orderBy(F.desc("seq"))))
-    return events.unionByName(box.where("not closed or n <= 50").select(F.col("seq").alias("id"), "device_id"))
+    return retained(t.activity, t.sync_runs, t.outbox, KEPT)
+
+
+def retained(activity, runs, outbox, kept):
+    """(journal, id, device_id) of the newest rows of each journal and of all open outbox entries."""
+
+    def newest(df, name, key, n):
+        place = F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc(key)))
+        return df.withColumn("n", place).where(F.col("n") <= n).select(F.lit(name).alias("journal"), F.col(key).alias("id"), "device_id")
+
+    still = outbox.where(f"not {_CLOSED}").select(F.lit("outbox").alias("journal"), F.col("seq").alias("id"), "device_id")
+    return newest(activity, "activity", "id", kept["events"]).unionByName(newest(runs, "sync_runs", "run_id", kept["runs"])).unionByName(newest(outbox.where(_CLOSED), "outbox", "seq", kept["closed"])).unionByName(still)
 
 
 _ORDER = "ts, line, part, supp, quantity"

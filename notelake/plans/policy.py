@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from notelake.functions import text as x
 from notelake.functions.spans import detect_spans as spans_of
-from notelake.functions.spans import mask_spans
+from notelake.functions.spans import kinds_of, mask_spans
 from notelake.operators import policy as p
 from notelake.operators import retrieval as r
 from notelake.plans.registry import query
@@ -24,10 +24,10 @@ def prototype_scores(t):
     return _scores(t).select("vec_id", F.explode("scores").alias("s")).select("vec_id", "s.label", "s.score")
 
 
-@query(f"with {_SC} select vec_id, max(score) as best, round(avg(score), 4) as mean from sc group by vec_id", name="category_score")
+@query(f"with {_SC} select vec_id, max(score) as best, round(avg(score), 9) as mean from sc group by vec_id", name="category_score")
 def category_score(t):
     each = F.transform("scores", lambda s: s["score"])
-    return _scores(t).select("vec_id", F.array_max(each).alias("best"), F.round(F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / F.size(each), 4).alias("mean"))
+    return _scores(t).select("vec_id", F.array_max(each).alias("best"), F.round(F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / F.size(each), 9).alias("mean"))
 
 
 _RANK = f"{_SC}, rk as (select *, row_number() over (partition by vec_id order by score desc, label) as n, max(score) over (partition by vec_id) as best from sc)"
@@ -49,34 +49,45 @@ def confidence(t):
     return p.classify(_scores(t)).select("vec_id", "confidence")
 
 
-@query(f"with {_CLASS} select vec_id, len(list_distinct(list_transform(string_split(near, ','), lambda y: (y::int % 3 = 0)))) > 1 as mixed from cl")
-def mixed_flag(t):
-    kinds = F.array_distinct(F.transform(F.split("near", ","), lambda y: y.cast("int") % 3 == 0))
-    return p.classify(_scores(t)).select("vec_id", (F.size(kinds) > 1).alias("mixed"))
+_NAMES = list(p.CATEGORIES)
+_SCOPE_OF = "[" + ", ".join(f"'{scope}'" for scope, _ in p.CATEGORIES.values()) + f"][y::int % {len(_NAMES)} + 1]"
+
 
+def _categories(near):
+    """The categories of the labels near the best, best first; a label stands for one by its number."""
+    return F.array_distinct(F.transform(F.split(near, ","), lambda y: F.get(F.array(*map(F.lit, _NAMES)), y.cast("int") % len(_NAMES))))
 
-_SIGNALS = "regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')"
-_CRED = "regexp_matches(lower(text), '(token|password|secret) ?[=:]')"
-_CAT = "['equipment_fault', 'safety_hazard', 'procedure', 'reading', 'personal_health', 'logistics', 'other'][doc_id % 7 + 1]"
 
+@query(f"with {_CLASS} select vec_id, len(list_distinct(list_transform(string_split(near, ','), lambda y: {_SCOPE_OF}))) > 1 as mixed from cl")
+def mixed_flag(t):
+    scopes = F.array_distinct(F.transform(_categories(F.col("near")), lambda c: x.in_words(c, {k: v[0] for k, v in p.CATEGORIES.items()})))
+    return p.classify(_scores(t)).select("vec_id", (F.size(scopes) > 1).alias("mixed"))
 
-def _judged(t):
-    category = F.get(F.array(*map(F.lit, ("equipment_fault", "safety_hazard", "procedure", "reading", "personal_health", "logistics", "other"))), (F.col("doc_id") % 7).cast("int"))
-    return t.documents.select("doc_id", category.alias("category"), F.lower("text").rlike("(token|password|secret) ?[=:]").alias("credential"), F.col("text").rlike(x.EMAIL).alias("signals"))
+
+def _decided(t, choice=None):
+    """The decision on every document that has a vector: its category from the vector, its signals from the text, the choice learned for the nearest known note."""
+    near = p.classify(_scores(t)).select(F.col("vec_id").alias("doc_id"), _categories(F.col("near")).alias("categories"), "confidence")
+    new, known = _halves(t)
+    scope = F.when(F.col("example") % 3 == 0, "private").when(F.col("example") % 3 == 1, "shared").otherwise("redacted")
+    learned = p.nearest_example(new, known, 0.4, "label").select(F.col("vec_id").alias("doc_id"), F.struct(scope.alias("scope"), "cosine").alias("learned"))
+    notes = t.documents.select("doc_id", "text", spans_of("text").alias("spans")).join(near, "doc_id").join(learned, "doc_id", "left")
+    return p.decide(notes.withColumn("choice", F.lit(None).cast("string") if choice is None else choice))
 
 
-_DECIDED = f"select doc_id, {_CAT} as category, {_CRED} as credential, {_SIGNALS} as signals, case when {_CRED} or {_CAT} in ('personal_health', 'other') then 'private' when {_SIGNALS} then 'redacted' else 'shared' end as scope from documents"
+def _shown():
+    return ["doc_id", F.col("categories")[0].alias("category"), "confidence", "scope", "priority", "review", "decided_by", F.array_join("reasons", " ").alias("reasons")]
 
 
-@query(_DECIDED)
+@query()
 def decide_scope(t):
-    return _judged(t).withColumn("scope", p.decide(F.col("credential"), F.col("category"), F.col("signals")))
+    return _decided(t).select(*_shown(), F.md5("shared_text").alias("shared_md5"))
 
 
-@query(f"select doc_id, case when choice is null or credential then scope when choice = 'shared' and signals then 'redacted' else choice end as scope, case when credential then 0 when category = 'safety_hazard' then 2 else 1 end as priority from (select *, case doc_id % 4 when 0 then 'shared' when 1 then 'private' end as choice from ({_DECIDED}))")
+@query()
 def apply_override(t):
-    d = decide_scope(t).withColumn("choice", F.when(F.col("doc_id") % 4 == 0, "shared").when(F.col("doc_id") % 4 == 1, "private"))
-    return d.select("doc_id", p.override(F.col("scope"), F.col("choice"), F.col("credential"), F.col("signals")).alias("scope"), F.when(F.col("credential"), 0).when(F.col("category") == "safety_hazard", 2).otherwise(1).alias("priority"))
+    """A person's choice for a half of the notes."""
+    choice = F.when(F.col("doc_id") % 4 == 0, "shared").when(F.col("doc_id") % 4 == 1, "private")
+    return _decided(t, choice).select(*_shown())
 
 
 def _halves(t):
@@ -117,25 +128,44 @@ def merge_examples(t):
     return old.unionByName(new).select("example", F.col("example").alias("learned_at")).orderBy(F.desc("learned_at")).limit(200)
 
 
-_REL = f"select a.vec_id, b.vec_id as other, round({_DOT.format(a='a', b='b')}, 6) as cosine from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id and b.vec_id >= a.vec_id - 200"
-
-
-@query(f"select vec_id, other, cosine, case when cosine >= 0.5 then 'duplicate' when cosine >= 0.4 then 'updates' else 'related' end as relation from (select *, row_number() over (partition by vec_id order by cosine desc, other) as n from ({_REL})) where n <= 3 and cosine >= 0.2")
+# The similarities of a rewording, a follow-up and a related note by a text model; the vectors of the given tables lie further apart, so the query has its own.
+BANDS = {"duplicate": 0.97, "updates": 0.80, "related": 0.60}
+_BANDS = {"duplicate": 0.5, "updates": 0.4, "related": 0.2}
+_RESOLVED = r"\b(" + "|".join(x.RESOLVED) + r")\b"
+_RELATED = f"""
+with m as (select vec_id, embedding, asset, status, kind, shard, n.text from embeddings e join notes n on n.memory_id = e.vec_id where asset is not null),
+s as (select a.vec_id, b.vec_id as other, b.shard, b.kind, a.text, round({_DOT.format(a='a', b='b')}, 6) as cosine from m a join m b on a.asset = b.asset and a.vec_id <> b.vec_id and b.status = 'active' where a.vec_id % 50 = 0),
+k as (select *, row_number() over (partition by vec_id, shard order by cosine desc, other) as n from s),
+o as (select *, row_number() over (partition by vec_id order by cosine desc, other) as place from k where n <= 3 and cosine >= {_BANDS['related']})
+select vec_id, other, cosine, case when kind = 'reference' then 'related' when cosine >= {_BANDS['duplicate']} then 'duplicate' when cosine >= {_BANDS['updates']} then case when regexp_matches(lower(text), '{_RESOLVED}') then 'resolves' else 'updates' end else 'related' end as relation from o where place <= 3"""
+
+
+def related(queries, notes, bands=BANDS, limit=3):
+    """Of the active notes on the same asset in each shard the ``limit`` most alike, and of all these above the lowest band again: vec_id, other, cosine, relation."""
+    b = notes.where("status = 'active'").select("asset", "shard", "kind", F.col("vec_id").alias("other"), F.col("embedding").alias("ov"))
+    near = queries.select("vec_id", "asset", "text", "embedding").where("asset is not null").join(b, "asset").where("other <> vec_id")
+    near = near.select("vec_id", "other", "shard", "kind", "text", F.round(r.dot(F.col("embedding"), F.col("ov")), 6).alias("cosine"))
+    order = [F.desc("cosine"), "other"]
+    top = near.withColumn("n", F.row_number().over(Window.partitionBy("vec_id", "shard").orderBy(*order))).where((F.col("n") <= limit) & (F.col("cosine") >= bands["related"]))
+    top = top.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(*order))).where(F.col("n") <= limit)
+    follow = F.when(x.says_resolved(F.col("text")), "resolves").otherwise("updates")
+    relation = F.when(F.col("kind") == "reference", "related").when(F.col("cosine") >= bands["duplicate"], "duplicate").when(F.col("cosine") >= bands["updates"], follow).otherwise("related")
+    return top.select("vec_id", "other", "cosine", relation.alias("relation"))
+
+
+@query(_RELATED)
 def related_notes(t):
-    """The three most alike of the earlier notes on one asset (here a label, the 200 ids before); bounds are parameters."""
-    b = t.embeddings.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("ov"))
-    near = t.embeddings.join(b, "label").where("other < vec_id and other >= vec_id - 200").select("vec_id", "other", F.round(r.dot(F.col("embedding"), F.col("ov")), 6).alias("cosine"))
-    top = near.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other"))).where("n <= 3 and cosine >= 0.2")
-    return top.select("vec_id", "other", "cosine", F.when(F.col("cosine") >= 0.5, "duplicate").when(F.col("cosine") >= 0.4, "updates").otherwise("related").alias("relation"))
+    """Queries are the notes whose id is divisible by 50, against all notes."""
+    m = t.embeddings.join(t.notes.where("asset is not null").select("memory_id", "asset", "status", "kind", "shard", "text"), F.col("vec_id") == F.col("memory_id"))
+    return related(m.where("vec_id % 50 = 0"), m, _BANDS)
 
 
 @query()
 def preview(t):
-    """Decision and masked text for each document; nothing is written."""
-    df = t.documents.select("doc_id", "text", spans_of("text").alias("spans"))
-    kinds = F.transform("spans", lambda s: s["kind"])
-    scope = F.when(F.array_contains(kinds, "credential"), "private").when(F.size("spans") > 0, "redacted").otherwise("shared")
-    return df.select("doc_id", scope.alias("scope"), F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("signals"), F.md5(mask_spans(F.col("text"), F.col("spans"))).alias("masked_md5"))
+    """Decision, related notes and masked text for each note; nothing is written."""
+    alike = related_notes(t).groupBy(F.col("vec_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), lambda v: v["other"]), ",").alias("related"))
+    shown = _decided(t).select(*_shown(), F.array_join(kinds_of(F.col("spans")), ",").alias("signals"), F.md5("shared_text").alias("shared_md5"))
+    return shown.join(alike, "doc_id", "left")
 
 
 @query()

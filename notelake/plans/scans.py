@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelake.operators import filters as f
+from notelake.operators import sync
 from notelake.plans.registry import query
 
 NOW = "1998-06-01 00:00:00"
@@ -79,7 +80,7 @@ def audit_export(t):
     return t.activity.select("id", "device_id", line.alias("line"))
 
 
-_RANK = "case category when 'safety_hazard' then 0 when 'equipment_fault' then 1 when 'reading' then 2 when 'procedure' then 3 when 'logistics' then 4 when 'personal_health' then 5 else 6 end"
+_RANK = "case category when 'safety_hazard' then 0 when 'equipment_fault' then 1 when 'routine_reading' then 2 when 'procedure_fix' then 3 when 'people_hr' then 4 when 'personal_health' then 5 else 6 end"
 
 
 @query(f"select device_id, memory_id, category, row_number() over (partition by device_id order by {_RANK}, priority desc, updated_at, memory_id) as place, '- [' || strftime(updated_at, '%H:%M') || '] ' || text as line from local_notes where status = 'active' and scope <> 'private' and updated_at >= timestamp '{NOW}' - interval '2000' hour")
@@ -89,15 +90,44 @@ def shift_report(t):
     return rows.select("device_id", "memory_id", "category", place.alias("place"), F.concat(F.lit("- ["), F.date_format("updated_at", "HH:mm"), F.lit("] "), "text").alias("line"))
 
 
-@query("select device_id, unnest(['notes_total', 'notes_pending', 'notes_private', 'max_rev']) as metric, unnest([count(*), count(*) filter (where sync_state = 'pending'), count(*) filter (where scope = 'private'), max(rev)])::double as value from notes group by device_id")
+# The numbers that a device reports, by the table that they come from.
+_GAUGES = {
+    "notes": {"memories_local": "shard = 'local'", "memories_replica": "shard = 'replica'", "memories_private": "sync_state = 'private'", "memories_conflict": "sync_state = 'conflict'", "memories_failed": "sync_state = 'failed'"},
+    "outbox": {"outbox_pending": "state = 'pending'", "outbox_failed": "state = 'failed'", "open_conflicts": "state = 'conflict'"},
+}
+_TOTALS = {"sync_runs_total": "1", "sync_pushed_total": "pushed", "sync_pulled_total": "pulled", "sync_merged_total": "merged", "sync_conflicts_total": "conflicts", "sync_bytes_up_total": "bytes_up", "sync_bytes_down_total": "bytes_down"}
+
+
+def _long(source: str, values: dict[str, str], where: str = "true") -> str:
+    return f"select device_id, unnest({list(values)}) as metric, unnest([{', '.join(f'({v})::double' for v in values.values())}]) as value from {source} where {where} group by device_id"
+
+
+_METRICS = [_long(name, {k: f"count(*) filter (where {c})" for k, c in own.items()}) for name, own in _GAUGES.items()]
+_METRICS += [_long("sync_runs", {k: f"sum({c})" for k, c in _TOTALS.items()} | {"last_sync_timestamp_seconds": "floor(epoch(max(started_at)))"}, "status = 'ok'"), _long("heartbeats", {"link_online": "arg_max(case when online then 1 else 0 end, id)"})]
+
+
+@query(" union all ".join(_METRICS))
 def fleet_metrics(t):
-    wide = t.notes.groupBy("device_id").agg(F.count("*").alias("a"), F.count_if(F.col("sync_state") == "pending").alias("b"), F.count_if(F.col("scope") == "private").alias("c"), F.max("rev").cast("long").alias("d"))
-    return wide.selectExpr("device_id", "stack(4, 'notes_total', cast(a as double), 'notes_pending', cast(b as double), 'notes_private', cast(c as double), 'max_rev', cast(d as double)) as (metric, value)")
+    """Counts, queue depths and totals of each device in long form; no note text is in them."""
+
+    def long(df, values):
+        wide = df.groupBy("device_id").agg(*(v.cast("double").alias(k) for k, v in values.items()))
+        return wide.unpivot("device_id", list(values), "metric", "value")
+
+    parts = [long(getattr(t, name), {k: F.count_if(F.expr(c)) for k, c in own.items()}) for name, own in _GAUGES.items()]
+    totals = {k: F.sum(F.expr(c)) for k, c in _TOTALS.items()} | {"last_sync_timestamp_seconds": F.max(F.unix_timestamp(F.col("started_at").cast("timestamp")))}
+    parts += [long(t.sync_runs.where("status = 'ok'"), totals), long(t.heartbeats, {"link_online": F.max_by(F.col("online").cast("int"), "id")})]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_PAYLOADS = ("base_payload", "local_payload", "cloud_payload")
 
 
-@query("select id, (data->>'k')::bigint as k from activity")
+@query("select id, (data->>'k')::bigint as k, " + ", ".join(f"{p}->>'text' as {p}_text, ({p}->>'rev')::int as {p}_rev" for p in _PAYLOADS) + ", array_to_string(from_json(fields, '[\"VARCHAR\"]'), ',') as fields from conflict_log")
 def json_columns(t):
-    return t.activity.select("id", F.from_json("data", "k bigint")["k"].alias("k"))
+    payloads = [F.from_json(p, "text string, rev int") for p in _PAYLOADS]
+    columns = [c for p, j in zip(_PAYLOADS, payloads, strict=True) for c in (j["text"].alias(f"{p}_text"), j["rev"].alias(f"{p}_rev"))]
+    return t.conflict_log.select("id", F.from_json("data", "k bigint")["k"].alias("k"), *columns, F.array_join(F.from_json("fields", "array<string>"), ",").alias("fields"))
 
 
 @query("select md5('manuals:' || p_partkey) as memory_id, p_name as text, 'reference' as kind, 'global' as site from part")
@@ -112,10 +142,22 @@ def bundle_export(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("select memory_id, case when sync_state in ('pending', 'failed') and scope <> 'private' then 'queued' else 'kept' end as state from cloud_notes where memory_id not in (select memory_id from local_notes)")
+@query("""with new as (select memory_id, sync_state in ('pending', 'failed') and scope <> 'private' as queued, priority, base_rev from cloud_notes where memory_id not in (select memory_id from local_notes)),
+old as (select memory_id, arg_max(op, seq) as op, arg_max(base_rev, seq) as base_rev from outbox where state in ('pending', 'failed') group by memory_id)
+select 'note' as part, memory_id as id, case when queued then 'pending' else 'kept' end as state, null as base_rev from new
+union all select 'outbox', memory_id, coalesce(old.op, 'upsert'), coalesce(old.base_rev, new.base_rev) from new left join old using (memory_id) where queued
+union all select 'example', id, 'learned', null from (select id from (select vec_id as id, 0 as fresh from embeddings where vec_id % 3 = 0 union all select vec_id, 1 from embeddings where vec_id % 2 = 0 and vec_id % 3 <> 0) order by fresh desc, id desc limit 200)""")
 def bundle_import(t):
-    new = t.cloud_notes.join(t.local_notes.select("memory_id"), "memory_id", "left_anti")
-    return new.select("memory_id", F.when(F.col("sync_state").isin("pending", "failed") & (F.col("scope") != "private"), "queued").otherwise("kept").alias("state"))
+    """A bundle's notes that are not here yet, the outbox entries of those to be sent, and its learned examples behind the known ones, the last 200 of which stay (the feature)."""
+    new = t.cloud_notes.join(t.local_notes.select("memory_id"), "memory_id", "left_anti").withColumn("queued", F.col("sync_state").isin("pending", "failed") & (F.col("scope") != "private"))
+    old = t.outbox.where("state in ('pending', 'failed')").groupBy("memory_id").agg(F.max_by("op", "seq").alias("op"), F.max_by("base_rev", "seq").alias("op_rev"))
+    none = F.lit(None).cast("int").alias("base_rev")
+    notes = new.select(F.lit("note").alias("part"), F.col("memory_id").alias("id"), F.when(F.col("queued"), "pending").otherwise("kept").alias("state"), none)
+    queued = new.where("queued").join(old, "memory_id", "left").select(F.lit("outbox").alias("part"), F.col("memory_id").alias("id"), F.coalesce("op", F.lit("upsert")).alias("state"), F.coalesce("op_rev", "base_rev").alias("base_rev"))
+    known = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"))
+    fresh = t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id")).join(known, "id", "left_anti")
+    kept = known.withColumn("fresh", F.lit(0)).unionByName(fresh.withColumn("fresh", F.lit(1))).orderBy(F.desc("fresh"), F.desc("id")).limit(200)
+    return notes.unionByName(queued).unionByName(kept.select(F.lit("example").alias("part"), "id", F.lit("learned").alias("state"), none))
 
 
 @query("""select id, type, '{"value":' || (value * 100)::bigint || '}' as data from activity union all select run_id, 'sync', '{"value":' || pushed || '}' from sync_runs""")
@@ -160,7 +202,7 @@ def site_scope(t):
     return t.notes.where(f.in_site("s3")).select("memory_id", "site")
 
 
-@query(f"select {_CLOUD}, case when scope = 'redacted' then coalesce(nullif(shared_text, ''), text) else text end as text, scope = 'redacted' as redacted from notes")
+@query(f"select memory_id, {_CLOUD}, case when scope = 'redacted' then coalesce(nullif(shared_text, ''), text) else text end as text, scope = 'redacted' as redacted from notes")
 def cloud_view(t):
     return f.cloud_view(t.notes)
 
@@ -188,15 +230,12 @@ def schema_gate(t):
     return f.schema_gate(t.notes)
 
 
-_CONTENT = ["text", "kind", "asset", "tag_text", "status", "supersedes", "relation", "category"]
+_CONTENT = ["text", "kind", "asset", "tag_text", "status", "supersedes", "superseded_by", "relation"]
 
 
 @query("select memory_id, " + " and ".join(f"a.{c} is not distinct from b.{c}" for c in _CONTENT) + " as same from local_notes a join cloud_notes b using (memory_id)")
 def same_content(t):
-    same = F.lit(True)
-    for c in _CONTENT:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return t.local_notes.alias("a").join(t.cloud_notes.alias("b"), "memory_id").select("memory_id", same.alias("same"))
+    return t.local_notes.alias("a").join(t.cloud_notes.alias("b"), "memory_id").select("memory_id", sync.same_content("a", "b").alias("same"))
 
 
 @query("select memory_id, a.base_rev = b.rev and a.text = b.text and (a.scope = 'redacted') = (b.scope = 'redacted') and b.status <> 'deleted' as payload_only from local_notes a join cloud_notes b using (memory_id)")

@@ -16,7 +16,7 @@ _NOTE = [
     "case o_orderkey % 8 when 0 then 'announcement' when 1 then 'reference' when 2 then 'photo' else 'observation' end as kind",
     "case when o_custkey % 7 = 0 then null else concat('P-', cast(o_custkey % 100 as string)) end as asset",
     "case o_orderkey % 3 when 0 then 'private' when 1 then 'shared' else 'redacted' end as scope",
-    "case o_custkey % 7 when 0 then 'equipment_fault' when 1 then 'safety_hazard' when 2 then 'procedure' when 3 then 'reading' when 4 then 'personal_health' when 5 then 'logistics' else 'other' end as category",
+    "case o_custkey % 7 when 0 then 'equipment_fault' when 1 then 'safety_hazard' when 2 then 'procedure_fix' when 3 then 'routine_reading' when 4 then 'personal_health' when 5 then 'people_hr' else 'scratch_note' end as category",
     "case substring(o_orderpriority, 1, 1) when '1' then 2 when '2' then 1 when '3' then 1 else 0 end as priority",
     "case o_orderstatus when 'O' then 'active' when 'F' then 'superseded' else 'deleted' end as status",
     "case o_orderkey % 6 when 0 then 'private' when 1 then 'pending' when 2 then 'synced' when 3 then 'conflict' when 4 then 'failed' else 'synced' end as sync_state",
@@ -26,7 +26,7 @@ _NOTE = [
     "cast(o_orderkey % 7 + 1 as int) as rev", "cast(o_orderkey % 4 as int) as base_rev", "case when o_orderkey % 10 < 6 then 'local' else 'replica' end as shard",
     "o_orderdate as created_at", "o_orderdate as updated_at", "case when o_orderkey % 8 = 0 then o_orderdate + interval '3' day end as expires_at",
     "o_orderkey % 11 = 0 as withdrawn", "case when o_orderkey % 13 = 0 then 'peer1' end as via_peer", "case o_orderkey % 17 when 0 then '99' when 1 then null when 2 then 'x' else '1' end as schema_text",
-    "case when o_orderkey % 5 <> 0 then o_orderkey - 1 end as supersedes", "case when o_orderkey % 2 = 0 then 'resolves' else 'updates' end as relation", "o_totalprice as amount",
+    "case when o_orderkey % 5 <> 0 then o_orderkey - 1 end as supersedes", "case when o_orderstatus = 'F' then o_orderkey + 1 end as superseded_by", "concat('worker', cast(o_custkey % 31 as string)) as author", "case when o_orderkey % 2 = 0 then 'resolves' else 'updates' end as relation", "o_totalprice as amount",
     "concat(substring(o_orderpriority, 3, 3), ',', lower(o_orderstatus), ',pump') as tag_text",
 ]
 _PLACES = "memory_id text shared_text kind asset scope category priority status sync_state review rev base_rev site device_id updated_at withdrawn via_peer tag_text".split()
@@ -51,7 +51,15 @@ TABLES: dict[str, tuple[str, list[str], str | None]] = {
         "events",
         [
             "event_id as run_id", "concat('d', cast(user_id % 20 as string)) as device_id", "case when event_type = 'click' then 'manual' else 'auto' end as run_trigger", "case when event_type = 'error' then 'failed' when event_type = 'signup' then 'running' else 'ok' end as status",
-            "cast(event_id % 4 as int) as pushed", "cast(event_id % 3 as int) as pulled", "case when event_id % 5 = 4 then 1 else 0 end as merged", "case when event_id % 11 = 10 then 1 else 0 end as conflicts", "case when event_id % 13 = 12 then 1 else 0 end as failed", "cast(user_id as bigint) * 100 as bytes_up", "event_id % 1000 as bytes_down", "ts as started_at", "cast(event_id % 2 as int) as waiting",
+            "cast(event_id % 4 as int) as pushed", "cast(event_id % 3 as int) as pulled", "case when event_id % 5 = 4 then 1 else 0 end as merged", "case when event_id % 11 = 10 then 1 else 0 end as conflicts", "case when event_id % 13 = 12 then 1 else 0 end as failed", "case when event_id % 9 = 8 then 2 else 0 end as removed", "cast(user_id as bigint) * 100 as bytes_up", "event_id % 1000 as bytes_down", "ts as started_at", "cast(event_id % 2 as int) as waiting",
+        ],
+        None,
+    ),
+    "conflict_log": (
+        "events",
+        [
+            "event_id as id", "props as data", "concat('{\"text\":\"', event_type, '\",\"rev\":', cast(event_id % 7 as string), '}') as base_payload", "concat('{\"text\":\"mine ', event_type, '\",\"rev\":', cast(event_id % 8 as string), '}') as local_payload",
+            "case when event_id % 5 <> 0 then concat('{\"text\":\"theirs\",\"rev\":', cast(event_id % 9 as string), '}') end as cloud_payload", "case when event_id % 3 = 0 then '[\"text\",\"tags\"]' when event_id % 3 = 1 then '[\"status\"]' end as fields",
         ],
         None,
     ),
