@@ -30,3 +30,16 @@ def test_notices_with_edits(spark):
 
 def test_empty_table(spark, empty):
     assert s.scan(empty).count() == 0
+
+
+def test_long_templates_from_a_table(spark):
+    long = words(400, 5).split()
+    parts = [long[i : i + 4] for i in range(0, 400, 4)]
+    mixed = [w for k in range(25) for p in parts[k::25] for w in p]  # the same runs in another order
+    table = spark.createDataFrame([("long", " ".join(long), False), ("long", " ".join(long), False), ("gone", None, False), ("short", "two words", True), ("base-long", words(80, 6), True)], "label string, text string, is_base boolean")
+    edited = [*long[:50], "one", "two", *long[50:120], *long[123:300], "three", *long[300:]]
+    docs = [(1, " ".join([*words(9, 7).split(), *long])), (2, " ".join(edited)), (3, " ".join(long[:100])), (4, " ".join(mixed)), (5, f"x {words(80, 6)} y {words(80, 6)}"), (6, None)]
+    for sent in (s.MAX_SENT, 0):
+        out = {r.doc_id: (r.labels, r.n_base, r.first_word, r.last_word, round(r.score, 2)) for r in s.scan(spark.createDataFrame(docs, "doc_id long, text string"), table, max_sent=sent).collect()}
+        assert out[1] == ("long", 0, None, None, 1.0) and out[2][0] == "long" and 0.9 < out[2][4] < 1
+        assert out[3][0] == "" and out[4][0] == "" and out[5] == ("base-long", 2, 1, 82, 1.0) and out[6] == ("", 0, None, None, 0.0)
