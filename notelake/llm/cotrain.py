@@ -1,21 +1,24 @@
 """A quality classifier by co-training two views.
 
-The content view is a linear model of hashed words and word shapes; the page
-view one of source, language, length and layout. Each is first fitted to the
-labelled training rows. In every round each view labels the rows of an
-unlabelled pool that it is surest of, and these join the *other* view's
-training rows. A third of the labelled rows is held out: on it each view is
-calibrated (Platt), the calibrated log-odds are added less the prior, and the
-cutoff is set so that at most ``MAX_LOSS`` of the good held-out rows fall
-below it.
-
-Fitting sees at most ``LABELLED`` labelled rows and ``POOL`` others, chosen by
-the hash of doc_id; scoring reads every document, with whole texts, against
-weights of fixed size.
+The content view is a linear model of hashed words and word shapes of the text;
+the page view one of metadata alone: source, language and length. Each is first
+fitted to the labelled training rows. In every round both score all documents
+on Spark, and of those that a view is sure of the surest in each stratum (a
+hash cell of source and language) and class join the *other* view's training
+rows. The labelled rows are dealt by hash: four sixths train, one calibrates
+each view (Platt), and on the last the cutoff of the added calibrated log-odds
+(less the prior) is set where ``MAX_LOSS`` of its good rows fall below.
+
+Fitting sees at most ``LABELLED`` labelled rows, chosen by the hash of doc_id,
+and in each round at most ``PSEUDO`` pseudo-labelled ones a view, chosen from
+all documents; what comes to the driver is bounded by rows, as one row stands
+for all that repeat a doc_id and text. Scoring reads every document, with whole
+texts, against weights of fixed size.
 
 Defined results: a null text is empty and its content score is the prior; null
 source, language or n_chars are values of their own; a document with several
-labels is good if any says so, and null labels are not used; with fewer than
+labels is good if any says so, and null labels are not used; of rows that
+repeat a labelled doc_id with other texts, one is fitted; with fewer than
 ``LEAST`` rows of either class all scores are 0.5 and all rows are kept;
 repeated rows are scored one by one; an empty table gives no rows; columns
 other than doc_id, text, source, lang and n_chars are not read.
@@ -31,9 +34,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-LABELLED, POOL, LEAST = 5_000, 4_000, 20
-ROUNDS, SURE = 4, 0.95
+from notelake.llm.words import chunks, split_words, strings
+from notelake.sources.scratch import materialize
+
+LABELLED, PSEUDO, LEAST = 5_000, 2_000, 20
+ROUNDS, SURE, CELLS = 3, 0.95, 16
 MAX_LOSS = 0.005
 WORDS, SHAPES, PAGE = 1 << 14, 1 << 10, 1 << 10
 #: Weight of a text's shapes beside its words.
@@ -51,19 +58,10 @@ def word_slots(word: str) -> tuple[int, int]:
     return _slot(word.lower(), WORDS, 1), _slot(shape, SHAPES, 2)
 
 
-_KINDS = np.full(256, 6, dtype=np.uint8)
-for _k, _chars in enumerate((b"\n", b" \t\r", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:'\"?!-()", b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))):
-    _KINDS[list(_chars)] = _k
-
-
-def page_slots(text: str, source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
-    """Hashed page values; shares and sizes go to steps of powers."""
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    counts = np.bincount(_KINDS[data], minlength=7)
-    n = max(1, len(data))
-    steps = [int(np.ceil(-2 * np.log2(c / n))) if c else 99 for c in counts]
-    values = [f"source={source}", f"lang={lang}", f"chars={'-' if n_chars is None else int(np.log2(max(1, n_chars)))}", f"line={int(np.log2(n / (counts[0] + 1)) * 2)}"]
-    return [_slot(v, PAGE, 3) for v in values + [f"share{k}={s}" for k, s in enumerate(steps)]]
+def page_slots(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
+    """Hashed metadata; the length goes to steps of powers of two."""
+    size = "-" if n_chars is None else int(np.log2(max(1, n_chars)))
+    return [_slot(v, PAGE, 3) for v in (f"source={source}", f"lang={lang}", f"chars={size}", f"source={source} lang={lang}")]
 
 
 @dataclass
@@ -140,111 +138,174 @@ class Model:
         return sigmoid(c), sigmoid(p), sigmoid(c + p - self.prior)
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
-    """Features of the labelled sample, then of the pool (null label), each in order of doc_id; both bounded."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("good"))
-    some = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(LABELLED)
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(POOL).distinct()
-    chosen = some.withColumn("labelled", F.lit(True)).unionByName(ids.join(some, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), F.lit(False).alias("labelled")))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long"))
+
+
+def _features(rows: DataFrame, keys: DataFrame) -> pa.Table:
+    """doc_id, h, slots, parts and page for each of ``keys`` (doc_id and h, the hash of the text; different, and bounded by their maker), in order."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, good, text, source, lang, n_chars in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, h, text, meta in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = (text or "").split()
                 pairs = [word_slots(w) for w in words]
                 w, wn = np.unique([p[0] for p in pairs], return_counts=True) if pairs else (np.zeros(0), np.zeros(0))
                 s, sn = np.unique([p[1] for p in pairs], return_counts=True) if pairs else (np.zeros(0), np.zeros(0))
                 n = max(1, len(words))
-                for k, x in enumerate((doc, good, [*w.tolist(), *(WORDS + s).tolist()], [*(wn / n).tolist(), *(SHAPE_SCALE * sn / n).tolist()], page_slots(text or "", source, lang, n_chars))):
+                for k, x in enumerate((doc, h, [*w.tolist(), *(WORDS + s).tolist()], [*(wn / n).tolist(), *(SHAPE_SCALE * sn / n).tolist()], page_slots(meta["source"], meta["lang"], meta["n_chars"]))):
                     out[k].append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "good", "slots", "parts", "page"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "h", "slots", "parts", "page"])
+
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    one = hashed.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.min(F.struct("source", "lang", "n_chars")).alias("meta"))
+    found = one.mapInArrow(run, "doc_id long, h long, slots array<int>, parts array<float>, page array<int>").toArrow()
+    return found.take(pc.sort_indices(found, sort_keys=[("doc_id", "ascending"), ("h", "ascending")]))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The keys of the labelled rows to fit and the class of each doc_id; ``LABELLED`` at most."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
+    some = materialize(known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(LABELLED), "labelled")
+    keys = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+    return materialize(keys, "labelled-keys"), {r.doc_id: r.good for r in some.collect()}
+
+
+class Scorer:
+    """Log-odds of both views for chunks of rows; each different piece of text is looked at once."""
+
+    def __init__(self, content: tuple[np.ndarray, float], page: tuple[np.ndarray, float], size: int = 400_000):
+        self.content, self.page, self.size = content, page, size
+        self.words, self.pieces, self.pages = {}, {}, {}
+
+    def _word(self, word: str) -> float:
+        a, s = word_slots(word)
+        return float(self.content[0][a] + SHAPE_SCALE * self.content[0][WORDS + s])
+
+    def _piece(self, piece: str) -> tuple[float, int]:
+        words, known = piece.split(), self.words
+        total = 0.0
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
+            total += known[w]
+        return total, len(words)
+
+    def __call__(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) + len(self.pieces) > self.size:
+            self.words, self.pieces = {}, {}
+        found, bounds = split_words(pc.fill_null(b.column(1), ""))
+        own = []
+        for p in strings(found.dictionary):
+            if p not in self.pieces:
+                self.pieces[p] = self._piece(p)
+            own.append(self.pieces[p])
+        value, n = np.array(own, dtype=np.float64).reshape(-1, 2)[np.asarray(found.indices)].T
+        text = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+        sums, counts = np.bincount(text, weights=value, minlength=b.num_rows), np.bincount(text, weights=n, minlength=b.num_rows)
+        zp = np.empty(b.num_rows)
+        for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
+            if key not in self.pages:
+                if len(self.pages) > self.size:
+                    self.pages = {}
+                self.pages[key] = float(self.page[0][page_slots(*key)].sum())
+            zp[i] = self.pages[key]
+        return self.content[1] + sums / np.maximum(counts, 1), self.page[1] + zp
+
+
+def _sure(rows: DataFrame, fitted: DataFrame, models: list, quota: list[tuple[int, int]]) -> list[dict[tuple[int, int], int]]:
+    """For each view the class of the rows (doc_id, h) that it is surest of among all that are not in ``fitted``; ``quota`` bounds the rows of both classes, and is shared among the strata."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
 
-    # LABELLED + POOL ids at most: a broadcast with a fixed bound.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "good", "text", "source", "lang", F.col("n_chars").cast("long"))
-    table = rows.mapInArrow(features, "doc_id long, good int, slots array<int>, parts array<float>, page array<int>")
-    found = table.toArrow()
-    order = pc.sort_indices(found, sort_keys=[("good", "ascending"), ("doc_id", "ascending")], null_placement="at_end")
-    labelled = pc.sum(pc.is_valid(found["good"])).as_py() or 0
-    found = found.take(order)
-    by_id = pc.sort_indices(found.slice(0, labelled), sort_keys=[("doc_id", "ascending")])
-    return pa.concat_tables([found.slice(0, labelled).take(by_id), found.slice(labelled)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(*sent.value)
+        for b in chunks(batches, 1):
+            for view, z in enumerate(score(b)):
+                p = sigmoid(z)
+                at = np.flatnonzero((p <= 1 - SURE) | (p >= SURE))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(5).take(pa.array(at)), b.column(6).take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array((p[at] >= SURE).astype(np.int32)), pa.array(-np.abs(z[at]))], names=["doc_id", "h", "cell", "view", "good", "rank"])
+
+    hashed = rows.where("doc_id is not null").withColumns({"h": F.xxhash64("text"), "cell": F.pmod(F.xxhash64("source", "lang"), F.lit(CELLS)).cast("int")})
+    found = hashed.mapInArrow(run, "doc_id long, h long, cell int, view int, good int, rank double")
+    found = found.join(F.broadcast(fitted.select("doc_id")), "doc_id", "left_anti")  # LABELLED rows at most
+    # Rows that repeat a document are one; the surest are cut inside the window, before its shuffle.
+    found = found.dropDuplicates(["doc_id", "h", "view"])
+    order = Window.partitionBy("view", "good", "cell").orderBy("rank", F.xxhash64("doc_id", "h"), "doc_id", "h")
+    most = F.lit(0)
+    for view, sizes in enumerate(quota):
+        for good, n in enumerate(sizes):
+            most = F.when((F.col("view") == view) & (F.col("good") == good), -(-n // CELLS)).otherwise(most)
+    top = found.withColumn("place", F.row_number().over(order)).where((F.col("place") <= max(1, -(-PSEUDO // CELLS))) & (F.col("place") <= most))
+    out: list[dict] = [{}, {}]
+    for r in top.select("doc_id", "h", "view", "good").collect():  # 2 views x 2 classes x CELLS x PSEUDO / CELLS rows at most
+        out[r.view][(r.doc_id, r.h)] = r.good
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit by co-training; None where a class has too few rows."""
-    rows = _sample(docs, labels).combine_chunks()
-    labelled = len(rows) - rows["good"].null_count
-    y = np.asarray(rows["good"][:labelled]).astype(np.int64)
+    rows = _rows(docs)
+    keys, good = _labelled(rows, labels)
+    table = _features(rows, keys).combine_chunks()
+    ids = table["doc_id"].to_pylist()
+    y = np.array([good[i] for i in ids], dtype=np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return None
-    col = lambda name: rows[name].combine_chunks()
-    content, page = _sparse(col("slots"), col("parts")), _sparse(col("page"), None)
-    held = np.array([xxhash.xxh3_64_intdigest(str(i), 5) % 3 == 0 for i in rows["doc_id"][:labelled].to_pylist()])
-    base, rest = np.flatnonzero(~held), np.arange(labelled, len(rows))
-    if any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
+    part = np.array([xxhash.xxh3_64_intdigest(str(i), 5) % 6 for i in ids])
+    base, tuning, last = np.flatnonzero(part > 1), np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    if any(len(np.unique(y[at])) < 2 for at in (base, tuning, last)):
         return None
-    views = ((content, WORDS + SHAPES), (page, PAGE))
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels that a view gets from the other
-    prior = y[~held].mean()
+    prior = y[base].mean()
+    extra: list[dict[tuple[int, int], int]] = [{}, {}]  # pseudo-labels that a view gets from the other
     for turn in range(ROUNDS + 1):
-        models = []
+        models, more = [], {}
+        if any(extra):
+            wanted = rows.sparkSession.createDataFrame(sorted({*extra[0], *extra[1]}), "doc_id long, h long")
+            added = _features(rows, wanted).combine_chunks()
+            more = {key: k for k, key in enumerate(zip(added["doc_id"].to_pylist(), added["h"].to_pylist(), strict=True))}
+            whole = pa.concat_tables([table, added]).combine_chunks()
+        else:
+            whole = table
+        views = ((_sparse(whole["slots"].combine_chunks(), whole["parts"].combine_chunks()), WORDS + SHAPES), (_sparse(whole["page"].combine_chunks(), None), PAGE))
         for (x, size), own in zip(views, extra, strict=True):
-            at = np.concatenate((base, np.array(sorted(own), dtype=np.int64)))
-            models.append(fit(x.pick(at), np.concatenate((y[base], np.array([own[i] for i in sorted(own)], dtype=np.int64))), size))
-        if turn == ROUNDS or not len(rest):
+            found = sorted(k for k in own if k in more)
+            at = np.concatenate((base, np.array([len(table) + more[k] for k in found], dtype=np.int64)))
+            models.append(fit(x.pick(at), np.concatenate((y[base], np.array([own[k] for k in found], dtype=np.int64))), size))
+        if turn == ROUNDS:
             break
-        share = (turn + 1) / (2 * ROUNDS)
-        for k, ((x, _), (w, b)) in enumerate(zip(views, models, strict=True)):
-            p = sigmoid(x.pick(rest).dot(w) + b)
-            order = np.argsort(p, kind="stable")
-            n = len(rest) * share
-            low = [i for i in order[: int(n * (1 - prior))] if p[i] <= 1 - SURE]
-            high = [i for i in order[::-1][: int(n * prior)] if p[i] >= SURE]
-            extra[1 - k] = {int(rest[i]): 0 for i in low} | {int(rest[i]): 1 for i in high}
-    at, truth = np.flatnonzero(held), y[held]
-    z = [x.pick(at).dot(w) + b for (x, _), (w, b) in zip(views, models, strict=True)]
-    odds = np.log(prior / (1 - prior))
-    out = Model(models[0], models[1], (platt(z[0], truth), platt(z[1], truth)), float(odds), 0.5)
-    good = np.sort(out.combine(*z)[2][truth == 1])
-    out.cutoff = float(min(0.5, good[int(MAX_LOSS * len(good))]))
+        n = PSEUDO * (turn + 1) / ROUNDS
+        sizes = (int(n * (1 - prior)), int(n * prior))
+        extra = _sure(rows, keys, models, [sizes, sizes])[::-1]
+    z = [x.dot(w) + b for (x, _), (w, b) in zip(views, models, strict=True)]
+    out = Model(models[0], models[1], tuple(platt(v[tuning], y[tuning]) for v in z), float(np.log(prior / (1 - prior))), 0.5)
+    best = np.sort(out.combine(*(v[last] for v in z))[2][y[last] == 1])
+    out.cutoff = float(min(0.5, best[int(MAX_LOSS * len(best))]))
     return out
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, content_score, page_score, score and kept for each row of ``docs``."""
-    return _scored(docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long")), train(docs, labels))
+    return scored(docs, train(docs, labels))
 
 
-def _scored(rows: DataFrame, model: Model | None) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    fields = "doc_id long, content_score double, page_score double, score double, kept boolean"
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``score`` with a model that is there."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "content_score", "page_score", "score", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = sent.value, {}
-        for b in batches:
-            doc, texts, sources, langs, chars = (b.column(k) for k in range(5))
+        m = sent.value
+        scorer = Scorer(m.content, m.page) if m else None
+        for b in chunks(batches, 1):
             n = b.num_rows
             if m is None:
                 half = pa.array([0.5] * n, pa.float64())
-                yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), half, half, half, pa.array([True] * n)], names=["doc_id", "content_score", "page_score", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0), half, half, half, pa.array([True] * n)], names=names)
                 continue
-            (w, wb), (p, pb) = m.content, m.page
-
-            def of(word: str, w=w) -> float:
-                a, s = word_slots(word)
-                value = float(w[a] + SHAPE_SCALE * w[WORDS + s])
-                if len(seen) < 300_000:
-                    seen[word] = value
-                return value
-
-            zc, zp = np.empty(n), np.empty(n)
-            for i, (t, s, lang, c) in enumerate(zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), chars.to_pylist(), strict=True)):
-                words = (t or "").split()
-                zc[i] = wb + sum([seen[x] if x in seen else of(x) for x in words]) / max(1, len(words))
-                zp[i] = pb + p[page_slots(t or "", s, lang, c)].sum()
-            a, q, both = m.combine(zc, zp)
-            yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), pa.array(a), pa.array(q), pa.array(both), pa.array(both >= m.cutoff)], names=["doc_id", "content_score", "page_score", "score", "kept"])
-
-    return rows.mapInArrow(run, fields)
+            a, q, both = m.combine(*scorer(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(q), pa.array(both), pa.array(both >= m.cutoff)], names=names)
+
+    return _rows(docs).mapInArrow(run, "doc_id long, content_score double, page_score double, score double, kept boolean")
