@@ -14,7 +14,9 @@ near its size: every member is compared with one centre, the member that meets
 most others over all buckets; what these links have joined needs no further
 comparison. Pairs in one bucket that are still in different classes, and
 neither of which is the centre, are then tested inside the join condition,
-which lets only true links out. Links have a plain Jaccard similarity of at
+which lets only true links out; a bucket of more than ``BLOCK`` members is
+tested in pairs of blocks, so many tasks share it, but a family of pages that
+are alike below the threshold still costs the square of its bucket. Links have a plain Jaccard similarity of at
 least the threshold; classes are their connected components.
 
 Defined results: words are runs without ASCII white space, lower-cased; a text
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from notelake.llm.shingles import mix, shingle_set
 from notelake.operators.components import connected_components
+from notelake.operators.skew import join_counted
 from notelake.sources.scratch import materialize
 
 THRESHOLD = 0.8
@@ -43,6 +46,8 @@ SPREAD, LONG = 1 / 16, 64
 #: A pair of plain similarity 0.8 has a weighted one of 0.8 / (0.8 + 0.2 (1 + SPREAD)) = 0.790 at least;
 #: 62 bands of 7 find it with probability 1 - 2e-6, and one of 0.3 with 0.013.
 BANDS, ROWS = 62, 7
+#: Members of a bucket that one task compares with each other.
+BLOCK = 500
 _BASE = -4  # the first rank cell is [0, 2**-4)
 _STRIPS = [(0.0, 1.0)] + [(float(2**v), float(2 ** (v + 1))) for v in range(7)]
 _cdf: dict[float, np.ndarray] = {}
@@ -139,8 +144,9 @@ def _similar(a: str, b: str, threshold: float):
 def classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rid, doc_id, key, class_id, class_size and kept for each row of ``signed``; kept marks the row of the least doc_id."""
     wordy = signed.where(F.size("sh") > 0)
-    first = wordy.groupBy("key").agg(F.min("rid").alias("node"))
-    member = materialize(signed.select("rid", "doc_id", "key").join(first, "key", "left").select("rid", "doc_id", "key", F.coalesce("node", "rid").alias("node")), "members")
+    first = materialize(wordy.groupBy("key").agg(F.min("rid").alias("node"), F.count("*").alias("n")).where("n > 1"), "copies")
+    member = join_counted(signed.select("rid", "doc_id", "key"), first, "key", "n")
+    member = materialize(member.select("rid", "doc_id", "key", F.coalesce("node", "rid").alias("node")), "members")
     banded = signed.select("rid", "bands").join(member.where("rid = node").select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     met = materialize(banded.join(sizes, "band"), "met")
@@ -160,15 +166,23 @@ def classes(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # What the centres leave apart: tested within its buckets, and only across classes.
     apart = spokes.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     split = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    left = materialize(apart.join(split, "band", "left_semi").join(texts, "node"), "apart")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & _similar("x.sh", "y.sh", threshold))
-    more = materialize(cross.select(F.col("x.label").alias("a"), F.col("y.label").alias("b")).distinct(), "links")
+    left = apart.join(split, "band", "left_semi")
+    size = left.groupBy("band").agg(F.count("*").alias("n"))
+    blocked = join_counted(left, size, "band", "n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = materialize(blocked.join(texts, "node").select("band", "blocks", "block", "node", "label", "sh"), "apart")
+    x = left.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).select("band", "block", "other", "label", "sh").alias("x")
+    y = left.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).select("band", F.col("other").alias("block"), F.col("block").alias("other"), "label", "sh").alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.other") == F.col("y.other"))
+    across = F.when(F.col("x.block") == F.col("x.other"), F.col("x.label") < F.col("y.label")).otherwise(F.col("x.label") != F.col("y.label"))
+    cross = x.join(y, same & across & _similar("x.sh", "y.sh", threshold))
+    more = materialize(cross.select(F.least("x.label", "y.label").alias("a"), F.greatest("x.label", "y.label").alias("b")).distinct(), "links")
     label = connected_components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     placed = member.join(label, "node", "left").select("rid", "doc_id", "key", F.coalesce("label", "node").alias("component"))
     of = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid"))["rid"].alias("first_rid"))
-    return placed.join(of, "component").select("rid", "doc_id", "key", "class_id", "class_size", (F.col("rid") == F.col("first_rid")).alias("kept"))
+    classed = join_counted(materialize(placed, "placed"), materialize(of, "classes"), "component", "class_size")
+    return classed.select("rid", "doc_id", "key", "class_id", "class_size", (F.col("rid") == F.col("first_rid")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,13 +191,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` less all but one of each class; rows without words all stay."""
+    """The rows of ``docs`` less all but one of each class, with their own columns; rows without words all stay."""
+    columns = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))
     has = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
     wordy = docs.where(has)
-    kept = classes(sign(wordy), threshold).where("kept").select(F.col("doc_id").alias("_dm_id"), F.col("key").alias("_dm_key")).distinct()
-    keyed = wordy.withColumn("_dm_row_key", F.unhex(F.md5("text")))
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_dm_id")) & (F.col("_dm_row_key") == F.col("_dm_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_dm_row_key"]).drop("_dm_row_key").unionByName(docs.where(~has))
+    kept = classes(sign(wordy), threshold).where("kept").select(F.concat_ws(":", F.col("doc_id").cast("string"), F.lower(F.hex("key"))).alias("at"))
+    # Of rows equal in doc_id and text one stays, the least by the hash of all columns; they are combined before the shuffle.
+    one = wordy.select(key.alias("at"), row.alias("row"), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns)).alias("rank")).groupBy("at").agg(F.min_by("row", "rank").alias("row"))
+    return one.join(kept, "at", "left_semi").select("row.*").unionByName(docs.where(~has))
 
 
 def sql(threshold: float = THRESHOLD) -> str:

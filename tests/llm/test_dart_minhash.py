@@ -102,3 +102,36 @@ def test_bands_fit_the_worst_weights():
     assert w.max() <= w.min() * (1 + d.SPREAD) + 1e-12
     worst = d.THRESHOLD / (d.THRESHOLD + (1 - d.THRESHOLD) * (1 + d.SPREAD))
     assert (1 - worst**d.ROWS) ** d.BANDS < 2e-6
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_recall_of_near_copies(spark):
+    """Planted pairs of similarity 0.8 to 0.95: nearly all are found, and none below 0.8 is linked."""
+    rng, documents, true = random.Random(8), [], []
+    for i in range(600):
+        w = words(rng.randint(60, 400), 5000 + i).split()
+        v = list(w)
+        goal = rng.uniform(0.76, 0.95)
+        while similarity(w, v) > goal:
+            v[rng.randrange(len(v))] = f"new{rng.randrange(10**9)}"
+        documents += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        true.append(similarity(w, v) >= 0.8)
+    got = {r.doc_id: r.class_size for r in d.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string")).collect()}
+    found = [got[2 * i] == 2 for i in range(600)]
+    assert sum(f for f, t in zip(found, true, strict=True) if t) >= 0.99 * sum(true) > 200
+    assert not any(f for f, t in zip(found, true, strict=True) if not t)
+
+
+def test_crowded_buckets_and_hot_classes(spark, monkeypatch):
+    """Blocks of a bucket and hot keys give what all pairs give."""
+    from notelake.operators import skew
+
+    monkeypatch.setattr(d, "BLOCK", 7)
+    monkeypatch.setattr(skew.join_counted, "__defaults__", (5, skew.MAX_HOT))
+    documents = cloud() + [(900 + i, words(50, 20)) for i in range(40)]
+    got = d.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=str) == brute(documents)
