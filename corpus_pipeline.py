@@ -5,8 +5,14 @@ the columns of ``documents``: quality rules drop rejected documents, near
 duplicates leave one document of each class, contaminated documents go, the mix
 takes blocks of words by source weight, and what is left is encoded into token
 shards, whose documents are returned as read back from the files.
+
+Defined results: a null or empty text fails the quality rules and goes; a null
+doc_id, source or language is a value like any other; of rows equal in doc_id
+and text one stays; other columns than those of ``documents`` are carried
+through unchanged up to the mix, whatever their names; empty tables give no rows.
 """
 
+import contextvars
 import functools
 
 import public_tokenizers
@@ -15,7 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from notelake.llm import dart_minhash, decontaminate, mixing, quality_rules, token_planes
 from notelake.sources.scratch import drop_paths, materialize, recording
 
-_made: list[str] = []
+#: Scratch paths of the stage before, for stages called one by one; each thread of work has its own.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def _own() -> list[str]:
+    if _made.get() is None:
+        _made.set([])
+    return _made.get()
 
 
 def _stage(f):
@@ -23,14 +36,13 @@ def _stage(f):
 
     @functools.wraps(f)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_paths(spark, _made)
-        with recording(_made):
+        drop_paths(spark, _own())
+        with recording(_own()):
             return f(spark, docs, sf_dir)
 
     return begin
 
 
-
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality rules reject."""
@@ -57,7 +69,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token shards, which stay, and return doc_id, start, n_tokens and ids_crc32 from the files."""
-    drop_paths(spark, _made)
+    drop_paths(spark, _own())
     return token_planes.read_tokens(token_planes.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -68,12 +80,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next reads it."""
+    """All stages over ``documents``, each written before the next reads it; what a stage leaves behind is dropped once the next is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        now, out = stage(spark, docs, sf_dir), []
-        with recording(out):
-            docs = materialize(now, name.replace(" ", "-"))
-        drop_paths(spark, before)
-        before = out
-    return STAGES[-1][1](spark, docs, sf_dir)
+    outer = _made.set([])
+    try:
+        for name, stage in STAGES[:-1]:
+            now, out = stage(spark, docs, sf_dir), []
+            with recording(out):
+                docs = materialize(now, name.replace(" ", "-"))
+            drop_paths(spark, before)
+            before = out
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _made.reset(outer)
