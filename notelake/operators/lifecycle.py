@@ -1,7 +1,9 @@
 """Ordered folds and edits over notes."""
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,35 +16,60 @@ def apply_edits(notes: DataFrame, edits: DataFrame) -> DataFrame:
     return df.select("memory_id", F.coalesce("e_text", "text").alias("text"), (F.col("rev") + 1).alias("rev"), F.when(private, "private").otherwise("pending").alias("sync_state"), F.when(~private, "upsert").alias("op"))
 
 
+class AssetFold:
+    """One asset's notes in time order: what was dropped or replaced is no candidate later. Holds the active notes only."""
+
+    def __init__(self, same: float, follows: float):
+        self.same, self.follows = same, follows
+        self.ids: list[int] = []
+        self.vectors = np.zeros((0, 0))
+
+    def add(self, i: int, vector: np.ndarray) -> tuple[int, str, int | None]:
+        n = len(self.ids)
+        if n == len(self.vectors):
+            grown = np.zeros((max(16, 2 * n), len(vector)))
+            grown[:n] = self.vectors[:n] if n else 0
+            self.vectors = grown
+        cos = self.vectors[:n] @ vector
+        best = int(np.argmax(cos)) if n else -1
+        if best >= 0 and cos[best] >= self.same:
+            return i, "duplicate", self.ids[best]
+        out = (i, "stored", None)
+        if best >= 0 and cos[best] >= self.follows:
+            out = (i, "supersedes", self.ids.pop(best))
+            self.vectors[best : n - 1] = self.vectors[best + 1 : n]
+            n -= 1
+        self.ids.append(i)
+        self.vectors[n] = vector
+        return out
+
+
 def fold_asset(at: np.ndarray, ids: np.ndarray, vectors: np.ndarray, same: float, follows: float) -> list[tuple[int, str, int | None]]:
-    """(id, outcome, other) of one asset's notes in time order: what was dropped or replaced is no candidate later."""
-    out: list = []
-    active: list[int] = []
-    for i in np.lexsort((ids, at)):
-        cos = vectors[active] @ vectors[i] if active else np.zeros(0)
-        best = int(np.argmax(cos)) if len(cos) else -1
-        if best >= 0 and cos[best] >= same:
-            out.append((int(ids[i]), "duplicate", int(ids[active[best]])))
-            continue
-        if best >= 0 and cos[best] >= follows:
-            out.append((int(ids[i]), "supersedes", int(ids[active[best]])))
-            active.pop(best)
-        else:
-            out.append((int(ids[i]), "stored", None))
-        active.append(i)
-    return out
+    """(id, outcome, other) of one asset's notes in time order."""
+    fold = AssetFold(same, follows)
+    return [fold.add(int(ids[i]), vectors[i]) for i in np.lexsort((ids, at))]
 
 
 def capture(notes: DataFrame, same: float = 0.97, follows: float = 0.80) -> DataFrame:
     """memory_id, outcome (stored, duplicate, supersedes) and other.
 
-    The fold is in order within one asset, so an asset is one group; notes
-    without an asset need no fold and never enter a group.
+    The fold is in order within one asset, so an asset is one task's work; its
+    notes pass by in order and only the active ones are held. Notes without an
+    asset need no fold.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = fold_asset(pdf["at"].to_numpy(), pdf["memory_id"].to_numpy(), np.stack(pdf["embedding"].to_numpy()), same, follows)
-        return pd.DataFrame(rows, columns=["memory_id", "outcome", "other"]).astype({"other": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold = None, AssetFold(same, follows)
+        for b in batches:
+            out = []
+            vectors = b.column(2)
+            for k, (asset, i) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if asset != now:
+                    now, fold = asset, AssetFold(same, follows)
+                out.append(fold.add(i, np.asarray(vectors[k].values, dtype=np.float64)))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["memory_id", "outcome", "other"])
 
-    tagged = notes.where("asset is not null").groupBy("asset").applyInPandas(fold, "memory_id long, outcome string, other long")
+    tagged = notes.where("asset is not null").select("asset", F.col("memory_id").cast("long"), F.col("embedding").cast("array<double>"), "at")
+    tagged = tagged.repartition("asset").sortWithinPartitions("asset", "at", "memory_id").mapInArrow(run, "memory_id long, outcome string, other long")
     return tagged.unionByName(notes.where("asset is null").select("memory_id", F.lit("stored").alias("outcome"), F.lit(None).cast("long").alias("other")))

@@ -1,5 +1,8 @@
 """Reconciling device copies with the shared table: merge, plans, guarded writes."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,19 +114,22 @@ def review_plan(decisions: DataFrame, cloud: DataFrame) -> DataFrame:
 def guarded_writes(writes: DataFrame) -> DataFrame:
     """Fold each id's writes in order of seq: a write lands if it expects nothing, the row is absent, or the revision is the expected one.
 
-    The fold runs over one id's writes as an array, in one row.
+    An id's writes pass by in order in one task, which holds one revision.
     """
-    step = F.struct("seq", "expect_rev", "rev")
-    rows = writes.groupBy("memory_id").agg(F.array_sort(F.collect_list(step)).alias("w"))
-    folded = F.aggregate(
-        "w",
-        F.struct(F.lit(None).cast("int").alias("rev"), F.array().cast("array<struct<seq:bigint,landed:boolean,rev:int>>").alias("log")),
-        lambda a, x: F.struct(
-            F.when(x["expect_rev"].isNull() | a["rev"].isNull() | (x["expect_rev"] == a["rev"]), x["rev"]).otherwise(a["rev"]).alias("rev"),
-            F.concat(a["log"], F.array(F.struct(x["seq"].alias("seq"), (x["expect_rev"].isNull() | a["rev"].isNull() | (x["expect_rev"] == a["rev"])).alias("landed"), x["rev"].alias("rev")))).alias("log"),
-        ),
-    )
-    return rows.select("memory_id", F.explode(folded["log"]).alias("x")).select("memory_id", "x.seq", "x.landed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
+        for b in batches:
+            landed = []
+            for key, expect, rev in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if key != now:
+                    now, at = key, None
+                landed.append(expect is None or at is None or expect == at)
+                at = rev if landed[-1] else at
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(landed, pa.bool_())], names=["memory_id", "seq", "landed"])
+
+    rows = writes.select(F.col("memory_id").cast("long"), F.col("seq").cast("long"), F.col("expect_rev").cast("int"), F.col("rev").cast("int"))
+    return rows.repartition("memory_id").sortWithinPartitions("memory_id", "seq", "rev").mapInArrow(run, "memory_id long, seq long, landed boolean")
 
 
 def apply_cloud_content(local: DataFrame, cloud: DataFrame) -> DataFrame:

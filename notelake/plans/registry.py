@@ -35,6 +35,6 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-for _module in ("scans", "functions", "joins", "journal", "retrieval", "policy", "lifecycle", "streams"):
+for _module in ("scans", "functions", "joins", "journal", "retrieval", "policy", "lifecycle", "streams", "hooks"):
     if importlib.util.find_spec(f"notelake.plans.{_module}"):
         importlib.import_module(f"notelake.plans.{_module}")
