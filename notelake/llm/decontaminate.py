@@ -52,10 +52,18 @@ from notelake.sources.scratch import materialize
 WINDOW, LITERAL, SHORTEST = 8, 4, 4
 COVER, RUN = 0.5, 40
 MAX_SENT = 1_000_000
-# Words that are numbers, and units.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+# Words that are numbers, and units, in English, German, French and Spanish; words that mostly mean something else (one as an article, once, an) are left out.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante soixante cent mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split()
+)
 UNITS = frozenset(
-    "% $ € £ mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres percent dollar dollars cent cents euro euros degree degrees mph kph watt watts volt volts hz".split()
+    "% $ € £ mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres percent dollar dollars cent cents euro euros degree degrees mph kph watt watts volt volts hz "
+    "zoll meile meilen gramm kilogramm pfund sekunde sekunden stunde stunden tag tage tagen woche wochen monat monate jahr jahre jahren prozent grad "
+    "mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes seconde secondes heure heures jour jours semaine semaines mois année années degré degrés "
+    "metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados".split()
 )
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_][^\W_]*(?:['’-][^\W_]+)*|[$€£%]|[.!?\n]")
 _WORD, _NUMBER, _UNIT, _NAME, _MARK = range(5)

@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
 from notelake.llm import decontaminate as d
 from tests.llm.conftest import rows, words
 
@@ -102,3 +107,36 @@ def test_values_clash_across_diagonals(spark):
     for i, _, cover in cases:
         assert got[i][0] == ("2" if i == 4 else "1")
         assert (got[i][1] == 1.0) == (cover == 1.0), (i, got[i])
+
+
+def test_windows_of_a_chunk_equal_one_text_at_a_time():
+    """Every window under every reading, against looking each up in the benchmark by itself."""
+    rng = random.Random(6)
+    parts = ["the", "hens", "Alice", "Bob", "12", "3.5", "kg", "drei", "Stunden", "barn", "walks,", "near", "town.", "Then", "x1", "don't", "?", "over\nthe", "", "%"]
+    make = lambda n: " ".join(rng.choice(parts) for _ in range(n))
+    items = [make(rng.randint(4, 14)) for _ in range(60)]
+    texts = [make(rng.randint(0, 60)) + " " + (rng.choice(items) if rng.random() < 0.7 else "") + " unknown Words here " + make(9) for _ in range(300)] + ["", None, "\n", "Alice"]
+    known, words_, sizes = set(), set(), set()
+    for item in items:
+        kinds, hashes, capital, values = d.canonical(item)
+        size = min(d.WINDOW, len(kinds))
+        if size >= d.SHORTEST:
+            sizes.add(size)
+            words_ |= set(values)
+            for own in d.readings(kinds, capital):
+                known |= set(d.template_windows(own, hashes, size)[0].tolist())
+    want = set()
+    for k, text in enumerate(texts):
+        kinds, hashes, capital, values = d.canonical(text or "")
+        for own in d.readings(kinds, capital):
+            for size in sizes:
+                for p, h in enumerate(d.template_windows(own, hashes, size)[0].tolist()):
+                    if h in known:
+                        want.add((k, p, int(np.uint64(h).view(np.int64)), tuple(values[p : p + size])))
+    reader = d.Reader((np.array(sorted(known), dtype=np.uint64), frozenset(words_)), sorted(sizes))
+    n, rows_ = reader.read(pa.array(texts, pa.string()))
+    assert n.tolist() == [len(d.canonical(t or "")[0]) for t in texts]
+    assert {(k, p, h, tuple(v)) for k, p, h, v in rows_} == want and len(want) > 500
+    # Without the benchmark's words every window is given.
+    _, every = d.Reader(None, sorted(sizes)).read(pa.array(texts, pa.string()))
+    assert want <= {(k, p, h, tuple(v)) for k, p, h, v in every}
