@@ -12,8 +12,9 @@ each view (Platt), and on the last the cutoff of the added calibrated log-odds
 Fitting sees at most ``LABELLED`` labelled rows, chosen by the hash of doc_id,
 and in each round at most ``PSEUDO`` pseudo-labelled ones a view, chosen from
 all documents; what comes to the driver is bounded by rows, as one row stands
-for all that repeat a doc_id and text. Scoring reads every document, with whole
-texts, against weights of fixed size.
+for all that repeat a doc_id and text. Whole texts are read once: each
+document's hashed words with their counts are written to shared scratch space,
+and the rounds and the last scoring read these against weights of fixed size.
 
 Defined results: a null text is empty and its content score is the prior; null
 source, language or n_chars are values of their own; a document with several
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.llm.words import chunks, split_words, strings
+from notelake.llm.words import chunks, gather, split_words, strings
 from notelake.sources.scratch import materialize
 
 LABELLED, PSEUDO, LEAST = 5_000, 2_000, 20
@@ -83,12 +84,6 @@ class Sparse:
         return Sparse(self.slot[use], self.value[use], to[self.row[use]], len(rows))
 
 
-def _sparse(slots: pa.ListArray, values: pa.ListArray | None) -> Sparse:
-    sizes = np.asarray(slots.value_lengths())
-    slot = np.asarray(slots.flatten()).astype(np.int32)
-    return Sparse(slot, np.ones(len(slot), np.float32) if values is None else np.asarray(values.flatten()), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes))
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -138,107 +133,117 @@ class Model:
         return sigmoid(c), sigmoid(p), sigmoid(c + p - self.prior)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long"))
-
-
-def _features(rows: DataFrame, keys: DataFrame) -> pa.Table:
-    """doc_id, h, slots, parts and page for each of ``keys`` (doc_id and h, the hash of the text; different, and bounded by their maker), in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, h, text, meta in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = (text or "").split()
-                pairs = [word_slots(w) for w in words]
-                w, wn = np.unique([p[0] for p in pairs], return_counts=True) if pairs else (np.zeros(0), np.zeros(0))
-                s, sn = np.unique([p[1] for p in pairs], return_counts=True) if pairs else (np.zeros(0), np.zeros(0))
-                n = max(1, len(words))
-                for k, x in enumerate((doc, h, [*w.tolist(), *(WORDS + s).tolist()], [*(wn / n).tolist(), *(SHAPE_SCALE * sn / n).tolist()], page_slots(meta["source"], meta["lang"], meta["n_chars"]))):
-                    out[k].append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "h", "slots", "parts", "page"])
-
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    one = hashed.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.min(F.struct("source", "lang", "n_chars")).alias("meta"))
-    found = one.mapInArrow(run, "doc_id long, h long, slots array<int>, parts array<float>, page array<int>").toArrow()
-    return found.take(pc.sort_indices(found, sort_keys=[("doc_id", "ascending"), ("h", "ascending")]))
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """The keys of the labelled rows to fit and the class of each doc_id; ``LABELLED`` at most."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
-    some = materialize(known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(LABELLED), "labelled")
-    keys = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
-    return materialize(keys, "labelled-keys"), {r.doc_id: r.good for r in some.collect()}
-
-
-class Scorer:
-    """Log-odds of both views for chunks of rows; each different piece of text is looked at once."""
-
-    def __init__(self, content: tuple[np.ndarray, float], page: tuple[np.ndarray, float], size: int = 400_000):
-        self.content, self.page, self.size = content, page, size
-        self.words, self.pieces, self.pages = {}, {}, {}
+class Featuriser:
+    """Hashed words and shapes of many texts with their counts; each different piece of text is looked at once."""
 
-    def _word(self, word: str) -> float:
-        a, s = word_slots(word)
-        return float(self.content[0][a] + SHAPE_SCALE * self.content[0][WORDS + s])
+    def __init__(self, size: int = 400_000):
+        self.size, self.words, self.pieces = size, {}, {}
 
-    def _piece(self, piece: str) -> tuple[float, int]:
-        words, known = piece.split(), self.words
-        total = 0.0
-        for w in words:
+    def _piece(self, piece: str) -> bytes:
+        out, known = b"", self.words
+        for w in piece.split():
             if w not in known:
-                known[w] = self._word(w)
-            total += known[w]
-        return total, len(words)
+                a, s = word_slots(w)
+                known[w] = np.array([a, WORDS + s], dtype=np.int32).tobytes()
+            out += known[w]
+        return out
 
-    def __call__(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(slots, counts, bounds, words): each text's different slots in order with their counts, where each text's begin, and its number of words."""
         if len(self.words) + len(self.pieces) > self.size:
             self.words, self.pieces = {}, {}
-        found, bounds = split_words(pc.fill_null(b.column(1), ""))
+        found, bounds = split_words(pc.fill_null(texts, ""))
         own = []
         for p in strings(found.dictionary):
             if p not in self.pieces:
                 self.pieces[p] = self._piece(p)
             own.append(self.pieces[p])
-        value, n = np.array(own, dtype=np.float64).reshape(-1, 2)[np.asarray(found.indices)].T
-        text = np.repeat(np.arange(b.num_rows), np.diff(bounds))
-        sums, counts = np.bincount(text, weights=value, minlength=b.num_rows), np.bincount(text, weights=n, minlength=b.num_rows)
-        zp = np.empty(b.num_rows)
-        for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
-            if key not in self.pages:
-                if len(self.pages) > self.size:
-                    self.pages = {}
-                self.pages[key] = float(self.page[0][page_slots(*key)].sum())
-            zp[i] = self.pages[key]
-        return self.content[1] + sums / np.maximum(counts, 1), self.page[1] + zp
-
-
-def _sure(rows: DataFrame, fitted: DataFrame, models: list, quota: list[tuple[int, int]]) -> list[dict[tuple[int, int], int]]:
-    """For each view the class of the rows (doc_id, h) that it is surest of among all that are not in ``fitted``; ``quota`` bounds the rows of both classes, and is shared among the strata."""
-    sent = rows.sparkSession.sparkContext.broadcast(models)
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        flat, at = gather(np.frombuffer(b"".join(own), dtype=np.int32), sizes, np.asarray(found.indices))
+        n = np.diff(at[bounds])
+        width = WORDS + SHAPES
+        keys, counts = np.unique(np.repeat(np.arange(len(n)), n) * width + flat, return_counts=True)
+        return keys % width, counts, np.searchsorted(keys, np.arange(len(n) + 1) * width), n // 2
+
+
+def featurise(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), cell (of source and language), page, slots, counts and n_words for each row of ``docs``, written once."""
+    names, types = ["doc_id", "h", "cell", "page", "slots", "counts", "n_words"], (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(*sent.value)
+        read, pages = Featuriser(), {}
         for b in chunks(batches, 1):
-            for view, z in enumerate(score(b)):
+            slots, counts, bounds, n = read(b.column(1))
+            page = []
+            for key in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if key not in pages:
+                    if len(pages) > 400_000:
+                        pages = {}
+                    pages[key] = page_slots(*key)
+                page.append(pages[key])
+            lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (slots, counts))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), b.column(6), pa.array(page, types[3]), *lists, pa.array(n, pa.int64())], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long"))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "cell": F.pmod(F.xxhash64("source", "lang"), F.lit(CELLS)).cast("int")})
+    return materialize(rows.mapInArrow(run, "doc_id long, h long, cell int, page array<int>, slots array<int>, counts array<int>, n_words long"), "document-features")
+
+
+def _sparse(slots: pa.ListArray, values: np.ndarray) -> Sparse:
+    sizes = np.asarray(slots.value_lengths())
+    return Sparse(np.asarray(slots.flatten()), values.astype(np.float32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes))
+
+
+def _views(t: pa.Table | pa.RecordBatch) -> tuple[Sparse, Sparse]:
+    """Both views of rows of ``featurise``."""
+    one = lambda name: c.combine_chunks() if isinstance(c := t.column(name), pa.ChunkedArray) else c
+    slots, page = one("slots"), one("page")
+    at = np.asarray(slots.flatten())
+    scale = np.where(at < WORDS, 1.0, SHAPE_SCALE) / np.repeat(np.maximum(np.asarray(t.column("n_words")), 1), np.asarray(slots.value_lengths()))
+    return _sparse(slots, np.asarray(one("counts").flatten()) * scale), _sparse(page, np.ones(len(page.flatten())))
+
+
+def _log_odds(t: pa.Table | pa.RecordBatch, models: list) -> list[np.ndarray]:
+    return [x.dot(w) + b for x, (w, b) in zip(_views(t), models, strict=True)]
+
+
+def _fetch(found: DataFrame, keys: DataFrame) -> pa.Table:
+    """The features of ``keys`` (doc_id and h; different, and bounded by their maker), in order; of rows that repeat one, the least."""
+    rest = F.struct("page", "slots", "counts", "n_words")
+    table = found.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min(rest).alias("x")).select("doc_id", "h", "x.*").toArrow()
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("h", "ascending")]))
+
+
+def _labelled(found: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The keys of the labelled rows to fit and the class of each doc_id; ``LABELLED`` at most."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
+    some = materialize(known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(LABELLED), "labelled")
+    keys = found.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"))
+    return materialize(keys, "labelled-keys"), {r.doc_id: r.good for r in some.collect()}
+
+
+def _sure(found: DataFrame, fitted: DataFrame, models: list, quota: list[tuple[int, int]]) -> list[dict[tuple[int, int], int]]:
+    """For each view the class of the rows (doc_id, h) that it is surest of among all that are not in ``fitted``; ``quota`` bounds the rows of both classes, and is shared among the strata."""
+    sent = found.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for view, z in enumerate(_log_odds(b, sent.value)):
                 p = sigmoid(z)
                 at = np.flatnonzero((p <= 1 - SURE) | (p >= SURE))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(5).take(pa.array(at)), b.column(6).take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array((p[at] >= SURE).astype(np.int32)), pa.array(-np.abs(z[at]))], names=["doc_id", "h", "cell", "view", "good", "rank"])
+                own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), view, np.int32)), pa.array((p[at] >= SURE).astype(np.int32)), pa.array(-np.abs(z[at]))], names=["doc_id", "h", "cell", "view", "good", "rank"])
 
-    hashed = rows.where("doc_id is not null").withColumns({"h": F.xxhash64("text"), "cell": F.pmod(F.xxhash64("source", "lang"), F.lit(CELLS)).cast("int")})
-    found = hashed.mapInArrow(run, "doc_id long, h long, cell int, view int, good int, rank double")
-    found = found.join(F.broadcast(fitted.select("doc_id")), "doc_id", "left_anti")  # LABELLED rows at most
-    # Rows that repeat a document are one; the surest are cut inside the window, before its shuffle.
-    found = found.dropDuplicates(["doc_id", "h", "view"])
-    order = Window.partitionBy("view", "good", "cell").orderBy("rank", F.xxhash64("doc_id", "h"), "doc_id", "h")
+    sure = found.where("doc_id is not null").mapInArrow(run, "doc_id long, h long, cell int, view int, good int, rank double")
+    sure = sure.join(F.broadcast(fitted.select("doc_id")), "doc_id", "left_anti")  # LABELLED rows at most
     most = F.lit(0)
     for view, sizes in enumerate(quota):
         for good, n in enumerate(sizes):
             most = F.when((F.col("view") == view) & (F.col("good") == good), -(-n // CELLS)).otherwise(most)
-    top = found.withColumn("place", F.row_number().over(order)).where((F.col("place") <= max(1, -(-PSEUDO // CELLS))) & (F.col("place") <= most))
+    # Rows that repeat a document are one; the surest are cut inside the window, before its shuffle.
+    sure = sure.groupBy("doc_id", "h", "view").agg(F.min(F.struct("rank", "cell", "good")).alias("x")).select("doc_id", "h", "view", "x.*")
+    order = Window.partitionBy("view", "good", "cell").orderBy("rank", F.xxhash64("doc_id", "h"), "doc_id", "h")
+    top = sure.withColumn("place", F.row_number().over(order)).where((F.col("place") <= max(1, -(-PSEUDO // CELLS))) & (F.col("place") <= most))
     out: list[dict] = [{}, {}]
     for r in top.select("doc_id", "h", "view", "good").collect():  # 2 views x 2 classes x CELLS x PSEUDO / CELLS rows at most
         out[r.view][(r.doc_id, r.h)] = r.good
@@ -247,9 +252,12 @@ def _sure(rows: DataFrame, fitted: DataFrame, models: list, quota: list[tuple[in
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit by co-training; None where a class has too few rows."""
-    rows = _rows(docs)
-    keys, good = _labelled(rows, labels)
-    table = _features(rows, keys).combine_chunks()
+    return _train(featurise(docs), labels)
+
+
+def _train(found: DataFrame, labels: DataFrame) -> Model | None:
+    keys, good = _labelled(found, labels)
+    table = _fetch(found, keys)
     ids = table["doc_id"].to_pylist()
     y = np.array([good[i] for i in ids], dtype=np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
@@ -261,24 +269,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     prior = y[base].mean()
     extra: list[dict[tuple[int, int], int]] = [{}, {}]  # pseudo-labels that a view gets from the other
     for turn in range(ROUNDS + 1):
-        models, more = [], {}
+        models, more, whole = [], {}, table
         if any(extra):
-            wanted = rows.sparkSession.createDataFrame(sorted({*extra[0], *extra[1]}), "doc_id long, h long")
-            added = _features(rows, wanted).combine_chunks()
+            added = _fetch(found, found.sparkSession.createDataFrame(sorted({*extra[0], *extra[1]}), "doc_id long, h long"))
             more = {key: k for k, key in enumerate(zip(added["doc_id"].to_pylist(), added["h"].to_pylist(), strict=True))}
-            whole = pa.concat_tables([table, added]).combine_chunks()
-        else:
-            whole = table
-        views = ((_sparse(whole["slots"].combine_chunks(), whole["parts"].combine_chunks()), WORDS + SHAPES), (_sparse(whole["page"].combine_chunks(), None), PAGE))
+            whole = pa.concat_tables([table, added])
+        views = tuple(zip(_views(whole), (WORDS + SHAPES, PAGE), strict=True))
         for (x, size), own in zip(views, extra, strict=True):
-            found = sorted(k for k in own if k in more)
-            at = np.concatenate((base, np.array([len(table) + more[k] for k in found], dtype=np.int64)))
-            models.append(fit(x.pick(at), np.concatenate((y[base], np.array([own[k] for k in found], dtype=np.int64))), size))
+            lent = sorted(k for k in own if k in more)
+            at = np.concatenate((base, np.array([len(table) + more[k] for k in lent], dtype=np.int64)))
+            models.append(fit(x.pick(at), np.concatenate((y[base], np.array([own[k] for k in lent], dtype=np.int64))), size))
         if turn == ROUNDS:
             break
         n = PSEUDO * (turn + 1) / ROUNDS
         sizes = (int(n * (1 - prior)), int(n * prior))
-        extra = _sure(rows, keys, models, [sizes, sizes])[::-1]
+        extra = _sure(found, keys, models, [sizes, sizes])[::-1]
     z = [x.dot(w) + b for (x, _), (w, b) in zip(views, models, strict=True)]
     out = Model(models[0], models[1], tuple(platt(v[tuning], y[tuning]) for v in z), float(np.log(prior / (1 - prior))), 0.5)
     best = np.sort(out.combine(*(v[last] for v in z))[2][y[last] == 1])
@@ -288,24 +293,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, content_score, page_score, score and kept for each row of ``docs``."""
-    return scored(docs, train(docs, labels))
+    found = featurise(docs)
+    return _scored(found, _train(found, labels))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """``score`` with a model that is there."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(featurise(docs), model)
+
+
+def _scored(found: DataFrame, model: Model | None) -> DataFrame:
+    sent = found.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "content_score", "page_score", "score", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        scorer = Scorer(m.content, m.page) if m else None
-        for b in chunks(batches, 1):
-            n = b.num_rows
+        for b in batches:
             if m is None:
-                half = pa.array([0.5] * n, pa.float64())
-                yield pa.RecordBatch.from_arrays([b.column(0), half, half, half, pa.array([True] * n)], names=names)
+                half = pa.array(np.full(b.num_rows, 0.5))
+                yield pa.RecordBatch.from_arrays([b.column(0), half, half, half, pa.array(np.ones(b.num_rows, bool))], names=names)
                 continue
-            a, q, both = m.combine(*scorer(b))
+            a, q, both = m.combine(*_log_odds(b, [m.content, m.page]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(q), pa.array(both), pa.array(both >= m.cutoff)], names=names)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, content_score double, page_score double, score double, kept boolean")
+    return found.mapInArrow(run, "doc_id long, content_score double, page_score double, score double, kept boolean")
