@@ -32,8 +32,8 @@ from notelake.sources.scratch import materialize
 WEIGHTS = (3, 1, 2)
 SHARE, STOP = 1.5, 2
 BLOCK, SHARD, ROUNDS, SEED = 256, 4096, 24, 7
-#: Documents in a bucket of the prefix sums, and grid cells of an interval join.
-BUCKET, CELLS = 4_000, 1024
+#: Documents in a bucket of the prefix sums; grid cells of an interval join (at least), and the widest cell, so that cells grow in number with the data.
+BUCKET, CELLS, WIDEST = 4_000, 1024, 1 << 16
 #: Share of a source's blocks by which its draws may miss them.
 TOLERANCE = 0.02
 
@@ -81,7 +81,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, stop: float
 
 def _place(points: DataFrame, x: str, intervals: DataFrame, span: int) -> DataFrame:
     """``points`` joined with the interval [lo, hi) that holds ``x``; intervals are disjoint parts of [0, span)."""
-    width = max(1, -(-span // CELLS))
+    width = max(1, min(-(-span // CELLS), WIDEST))
     cut = intervals.where("lo < hi").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     return points.withColumn("_cell", F.floor(F.col(x) / width)).join(cut, "_cell").where((F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))).drop("_cell", "lo", "hi")
 
