@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.functions import spans, text
-from notelake.operators import chains, components, filters, grounding, lifecycle, policy, retrieval, sync
+from notelake.operators import chains, components, filters, grounding, lifecycle, policy, retrieval, skew, sync
 
 NOTE = "memory_id long, base_rev int, mine struct<text:string,kind:string,asset:string,status:string,supersedes:long,superseded_by:long,relation:string,tag_text:string,scope:string,rev:int>, theirs struct<text:string,kind:string,asset:string,status:string,supersedes:long,superseded_by:long,relation:string,tag_text:string,scope:string,rev:int>, base struct<text:string,kind:string,asset:string,status:string,supersedes:long,superseded_by:long,relation:string,tag_text:string,scope:string,rev:int>"
 
@@ -278,3 +278,12 @@ def test_nearest_rows_in_blocks_equal_brute_force(spark):
         for (q, shard), found in got.items():
             want = sorted(((round(float(v[q] @ v[i]), 6), -i) for i in v if i != q and (not shard or "ab"[i % 2] == shard)), reverse=True)[:5]
             assert [(-i, s) for s, i in want] == found
+
+
+@pytest.mark.parametrize("hot, most", [(2, 100), (2, 0), (1000, 100)])
+def test_joins_with_a_counted_table(spark, hot, most):
+    rows = [(i, k) for i, k in enumerate(["a"] * 9 + ["b"] * 2 + ["c", None, None, "d"])]
+    df = spark.createDataFrame(rows, "i long, k string")
+    table = spark.createDataFrame([("a", 9, "x"), ("b", 2, "y"), ("c", 1, "z"), (None, 5, "never")], "k string, n long, v string")
+    got = sorted((r.i, r.k, r.v) for r in skew.join_counted(df, table, "k", "n", hot, most).collect())
+    assert got == [(i, k, {"a": "x", "b": "y", "c": "z"}.get(k)) for i, k in rows]
