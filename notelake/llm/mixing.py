@@ -13,8 +13,8 @@ takes the block that the source's pseudorandom permutation of block numbers
 joined with the blocks by number. No block is taken more often than twice.
 
 Every step is DataFrame functions. Positions within a source come from prefix
-sums over buckets of documents, so a source with a third of all rows is spread
-over many tasks; the slots' sources are found by joining on grid cells.
+sums over buckets of its documents, so a source with a third of all rows is
+spread over many tasks; the slots' sources are found by joining on grid cells.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
 source of its own, last in order; rows that repeat a doc_id are separate
@@ -32,8 +32,8 @@ from notelake.sources.scratch import materialize
 WEIGHTS = (3, 1, 2)
 SHARE, STOP = 1.5, 2
 BLOCK, SHARD, ROUNDS, SEED = 256, 4096, 24, 7
-#: Documents in a bucket of the prefix sums; grid cells of an interval join (at least), and the widest cell, so that cells grow in number with the data.
-BUCKET, CELLS, WIDEST = 4_000, 1024, 1 << 16
+#: A source's documents in a bucket of its prefix sums; grid cells of an interval join (at least), and the widest cell, so that cells grow in number with the data.
+BUCKET, CELLS, WIDEST = 1_000, 1024, 1 << 16
 #: Share of a source's blocks by which its draws may miss them.
 TOLERANCE = 0.02
 
@@ -51,14 +51,14 @@ def sizes(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, stop: float = STOP) -> DataFrame:
-    """A row for each source: source, sid, source_size, target, blocks and quota.
+    """A row for each source: source, sid, source_size, n_docs (with words), target, blocks and quota.
 
     Weights repeat over the sources in code point order. A target above
     ``stop`` times its source's size stops there, and the rest is shared by
     weight among the others: sorted by the level at which they stop, the ones
     that stop are a prefix, so running sums find the common level.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
     s = s.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") - 1) % len(weights) + 1).cast("double")).withColumn("cap", F.col("source_size") * float(stop))
     every = Window.partitionBy()
@@ -76,7 +76,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, stop: float
     s = s.withColumn("target", F.least(F.col("cap"), F.col("common") * F.col("w")))
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).otherwise(0)
-    return s.select("source", "sid", "source_size", "target", "blocks", quota.cast("long").alias("quota"))
+    return s.select("source", "sid", "source_size", "n_docs", "target", "blocks", quota.cast("long").alias("quota"))
 
 
 def _place(points: DataFrame, x: str, intervals: DataFrame, span: int) -> DataFrame:
@@ -138,9 +138,9 @@ def plan(sources: DataFrame, seed: int = SEED) -> DataFrame:
 
 def _laid_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """rid, sid and start (words of the source before the document) for documents with words."""
-    n = -(-max(1, sized.count()) // BUCKET)
-    ids = sized.where("size > 0").join(sources.select("source", "sid"), sized["source"].eqNullSafe(sources["source"])).select("rid", "doc_id", "size", "sid")
-    ids = ids.withColumn("bucket", F.pmod(_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")), F.lit(n)))
+    sids = sources.select("source", "sid", F.greatest(F.ceil(F.col("n_docs") / BUCKET), F.lit(1)).alias("buckets"))
+    ids = sized.where("size > 0").join(sids, sized["source"].eqNullSafe(sids["source"])).select("rid", "doc_id", "size", "sid", "buckets")
+    ids = ids.withColumn("bucket", F.pmod(_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")), F.col("buckets"))).drop("buckets")
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = ids.groupBy("sid", "bucket").agg(F.sum("size").alias("all")).select("sid", "bucket", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
     own = Window.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
@@ -197,12 +197,12 @@ def sql(weights=WEIGHTS, share: float = SHARE, stop: float = STOP, seed: int = S
 
     return rf"""
 with d as (select row_number() over () as rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
-s0 as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as sid from d group by source),
+s0 as (select source, sum(size)::bigint as source_size, count(*) filter (where size > 0) as n_docs, row_number() over (order by source nulls last) as sid from d group by source),
 s1 as (select *, ([{', '.join(f'{w}.0::double' for w in weights)}])[(sid - 1) % {len(weights)} + 1] as w, source_size * {float(stop)}::double as cap from s0),
 s2 as (select *, (sum(source_size) over ())::double * {share}::double as wanted, (sum(w) over ()) - coalesce(sum(w) over o, 0) as rest, coalesce(sum(cap) over o, 0) as stopped from s1 window o as (order by cap / w, sid rows between unbounded preceding and 1 preceding)),
 s3 as (select *, (wanted - stopped) / rest as level from s2),
 s4 as (select *, (select level from s3 where level <= cap / w order by cap / w, sid limit 1) as common from s3),
-s as (select source, sid, source_size, least(cap, common * w) as target, ceil(source_size / {BLOCK}.0)::bigint as blocks from s4),
+s as (select source, sid, source_size, n_docs, least(cap, common * w) as target, ceil(source_size / {BLOCK}.0)::bigint as blocks from s4),
 q as (select *, case when source_size > 0 then floor(target * blocks / source_size + 0.5)::bigint else 0 end as quota from s),
 shares as (select sid, quota, sum(quota) over (order by sid)::bigint as hi, (select sum(quota) from q)::bigint as total from q),
 slots as (select unnest(range(0, (select coalesce(max(total), 0) from shares))) as i),
@@ -213,7 +213,7 @@ j as (select sid, blocks, unnest(range(0, count)) as j from c where count > 0),
 p as (select sid, list_reduce(list_prepend(j % blocks, range(0, {ROUNDS})), lambda x, r: case when ascii(substr(md5('order:{seed}:' || sid || ':' || r || ':' || greatest(x, ((({h(f"'key:{seed}:' || sid || ':' || r")} % blocks) - x) % blocks + blocks) % blocks)), 1, 1)) % 2 = 1
   then ((({h(f"'key:{seed}:' || sid || ':' || r")} % blocks) - x) % blocks + blocks) % blocks else x end) as block from j),
 uses as (select sid, block, count(*) as uses from p group by all),
-b as (select d.rid, d.doc_id, d.size, q.sid, {h("coalesce(doc_id::varchar, '') || ':' || size")} % (select ceil(count(*) / {BUCKET}.0)::bigint from d) as bucket from d join q on d.source is not distinct from q.source where size > 0),
+b as (select d.rid, d.doc_id, d.size, q.sid, {h("coalesce(doc_id::varchar, '') || ':' || size")} % greatest(1, ceil(n_docs / {BUCKET}.0)::bigint) as bucket from d join q on d.source is not distinct from q.source where size > 0),
 l as (select rid, sid, size, coalesce(sum(size) over (partition by sid order by bucket, doc_id nulls first, size, rid rows between unbounded preceding and 1 preceding), 0)::bigint as start from b),
 cut as (select rid, sid, size, start, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) as block from l),
 t as (select rid, sum((least((c.block + 1) * {BLOCK}, start + size) - greatest(c.block * {BLOCK}, start)) * coalesce(uses, 0)) as taken from cut c left join uses u on u.sid = c.sid and u.block = c.block group by rid)
