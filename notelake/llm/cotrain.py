@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.llm.words import chunks, gather, split_words, strings
+from notelake.llm.words import CHUNK, chunks, gather, split_words, strings
 from notelake.sources.scratch import materialize
 
 LABELLED, PSEUDO, LEAST = 5_000, 2_000, 20
@@ -136,7 +136,7 @@ class Model:
 class Featuriser:
     """Hashed words and shapes of many texts with their counts; each different piece of text is looked at once."""
 
-    def __init__(self, size: int = 400_000):
+    def __init__(self, size: int = 200_000):
         self.size, self.words, self.pieces = size, {}, {}
 
     def _piece(self, piece: str) -> bytes:
@@ -172,12 +172,12 @@ def featurise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, pages = Featuriser(), {}
-        for b in chunks(batches, 1):
+        for b in chunks(batches, 1, CHUNK // 4):  # sorting takes some ten times the chunk
             slots, counts, bounds, n = read(b.column(1))
             page = []
             for key in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 if key not in pages:
-                    if len(pages) > 400_000:
+                    if len(pages) > 100_000:
                         pages = {}
                     pages[key] = page_slots(*key)
                 page.append(pages[key])
