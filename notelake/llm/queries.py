@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import chat_views, cotrain, dart_minhash, decontaminate, importance, license_scan, mixing, quality_rules, token_planes, toxicity, url_rules, warc_zst
+from notelake.llm import chat_views, collocations, cotrain, dart_minhash, decontaminate, importance, license_scan, mixing, quality_rules, token_planes, toxicity, url_rules, warc_zst
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_decontaminate": op2_decontaminate, "op3_token_planes": op3_token_planes, "op4_cotraining": op4_cotraining, "op5_dart_minhash": op5_dart_minhash, "op6_warc_zst": op6_warc_zst, "op7_license_scan": op7_license_scan, "op8_url_rules": op8_url_rules, "op9_mixing": op9_mixing, "op10_chat_views": op10_chat_views, "op11_toxicity": op11_toxicity, "op13_importance_resampling": op13_importance_resampling}
-ORACLES = {"op1_quality_rules": quality_rules.sql(), "op5_dart_minhash": dart_minhash.sql(), "op7_license_scan": license_scan.sql(), "op8_url_rules": url_rules.sql(), "op9_mixing": mixing.sql(), "op10_chat_views": chat_views.sql(), "op13_importance_resampling": importance.sql()}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_decontaminate": op2_decontaminate, "op3_token_planes": op3_token_planes, "op4_cotraining": op4_cotraining, "op5_dart_minhash": op5_dart_minhash, "op6_warc_zst": op6_warc_zst, "op7_license_scan": op7_license_scan, "op8_url_rules": op8_url_rules, "op9_mixing": op9_mixing, "op10_chat_views": op10_chat_views, "op11_toxicity": op11_toxicity, "op12_collocations": op12_collocations, "op13_importance_resampling": op13_importance_resampling}
+ORACLES = {"op1_quality_rules": quality_rules.sql(), "op5_dart_minhash": dart_minhash.sql(), "op7_license_scan": license_scan.sql(), "op8_url_rules": url_rules.sql(), "op9_mixing": mixing.sql(), "op10_chat_views": chat_views.sql(), "op12_collocations": collocations.sql(), "op13_importance_resampling": importance.sql()}
