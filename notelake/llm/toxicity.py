@@ -49,8 +49,8 @@ STEEP = 50
 MARGIN = 1.0
 #: Added to the counts of a slot in both classes.
 SMOOTH = 0.5
-#: Characters whose runs are hashed at once.
-SLICE = 1 << 19
+#: Characters whose runs are hashed at once, and words whose runs are counted at once.
+SLICE, TOKENS = 1 << 18, 1 << 15
 _STEP, _BLANKS = np.uint64(0x100000001B3), np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
 
 
@@ -83,10 +83,19 @@ def features(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarra
         use = slice(None) if kept is None else np.flatnonzero(kept[slot])
         pairs.append(np.searchsorted(ends, at[use], side="right") * SLOTS + slot[use])
     pairs = np.unique(np.concatenate(pairs))
-    flat, at = gather((pairs % SLOTS).astype(np.int32), np.bincount(pairs // SLOTS, minlength=len(words)), np.asarray(found.indices))
-    n = np.diff(at[bounds])
-    keys, counts = np.unique(np.repeat(np.arange(len(n)), n) * SLOTS + flat, return_counts=True)
-    return keys // SLOTS, keys % SLOTS, np.minimum(1, np.log1p(STEEP * counts / np.diff(bounds)[keys // SLOTS]))
+    slots, sizes = (pairs % SLOTS).astype(np.int32), np.bincount(pairs // SLOTS, minlength=len(words))
+    codes, rows = np.asarray(found.indices), np.repeat(np.arange(len(texts)), np.diff(bounds))
+    keys, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for lo in range(0, len(codes), TOKENS):
+        flat, at = gather(slots, sizes, codes[lo : lo + TOKENS])
+        some = np.unique(np.repeat(rows[lo : lo + TOKENS], np.diff(at)) * SLOTS + flat, return_counts=True)
+        keys.append(some[0])
+        counts.append(some[1])
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.diff(every[order], prepend=-1))
+    own, n = every[order][first], np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else np.zeros(0, dtype=np.int64)
+    return own // SLOTS, own % SLOTS, np.minimum(1, np.log1p(STEEP * n / np.diff(bounds)[own // SLOTS]))
 
 
 @dataclass
@@ -125,7 +134,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select("toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6)) == 0).alias("tuning"), "text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 2, CHUNK // 8):
+        for b in chunks(batches, 2, CHUNK // 16):
             row, slot, value = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *_lists(row, b.num_rows, slot, value)], names=["toxic", "tuning", "doc_id", "slots", "values"])
 
@@ -186,7 +195,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in chunks(batches, 2, CHUNK // 4):
+        for b in chunks(batches, 2, CHUNK // 8):
             p = np.full(b.num_rows, 0.5) if m is None else m.score(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= CUTOFF).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
