@@ -27,13 +27,14 @@ count, then phrase; an empty table gives no rows; only text and lang are read.
 A block holds whole pieces, so a text without marks or line ends is one block.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,15 +145,16 @@ def count_block(lang: str, words: list[bytes], codes: np.ndarray, reached: list[
         number[at] = back
 
 
-def _scan(part: DataFrame, reached: list[np.ndarray], step: int, shards: int) -> DataFrame:
-    sent = part.sparkSession.sparkContext.broadcast(reached)
+def _scan(part: DataFrame, sent: Broadcast, step: int, shards: int) -> DataFrame:
+    """lang, n, phrase, start and f (in each block) of what is counted in ``step``; ``sent`` has the packed tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = [np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in sent.value]
         for b in batches:
             for lang, packed, codes in zip(*(b.column(k) for k in range(3)), strict=True):
                 lang, words = lang.as_py(), packed.as_py().split(b"\n")
                 pool = pa.array([b"", *words])
-                for n, own, start, counts in count_block(lang, words, np.frombuffer(codes.as_py(), dtype="<i4"), sent.value, step, shards):
+                for n, own, start, counts in count_block(lang, words, np.frombuffer(codes.as_py(), dtype="<i4"), reached, step, shards):
                     phrase = pc.binary_join_element_wise(*(pool.take(pa.array(own[:, j])) for j in range(n)), b" ")
                     size = len(counts)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, n, np.int32)), phrase.cast(pa.string()), pa.array(start, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "n", "phrase", "start", "f"])
@@ -184,11 +186,13 @@ def phrase_counts(spark: SparkSession, stored: DataFrame, threshold: int = THRES
     reached = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(LONGEST - 1)]
     table, old, step, end = spark.createDataFrame([], f"{_COUNTS}, before long"), [], 0, shards
     while step < end:
-        scanned, made = _scan(stored.where(F.col("shard") == step % shards), reached, step, shards), []
+        sent, made = spark.sparkContext.broadcast([zlib.compress(x, 1) for x in reached]), []
+        scanned = _scan(stored.where(F.col("shard") == step % shards), sent, step, shards)
         rows = table.select("lang", "n", "phrase", "start", "f", F.col("f").alias("before")).unionByName(scanned.withColumn("before", F.lit(0).cast("long")))
         rows = rows.groupBy("lang", "n", "phrase").agg(F.min("start").alias("start"), F.sum("f").alias("f"), F.sum("before").alias("before"))
         with recording(made):
             table = materialize(rows.where((F.col("f") >= threshold) | (F.col("start") + shards - 1 > step)), "phrase-counts")
+        sent.destroy()  # what was counted with it is written
         drop_paths(spark, old)
         old = made
         new = table.where((F.col("f") >= threshold) & (F.col("before") < threshold) & (F.col("n") < LONGEST))
