@@ -4,7 +4,7 @@
 row, so nothing is shuffled. ``select_cutoffs`` tests every cutoff of a fixed
 grid on the labelled rows: the null hypothesis is that the rule rejects at
 least ``alpha / rules`` of a stratum's good documents, its p-value is the exact
-binomial tail, and Holm's step-down over all cells keeps the chance of any
+binomial tail over distinct texts, and Holm's step-down over all cells keeps the chance of any
 invalid cutoff at ``delta``. The grid is fixed beforehand, so every labelled
 row is a holdout row. Of a rule's
 valid cutoffs the one with the best balance of bad and good documents rejected
@@ -13,7 +13,10 @@ of its stratum.
 
 Defined results: a null text has no words and fails the base rule; rows that
 repeat a doc_id are judged one by one; a document with several labels counts as
-good if any of them says so; labels with a null are not used; a stratum with
+good if any of them says so; labels with a null are not used; in the holdout a
+doc_id counts once (with its text of the least md5), and so does a text, which
+is good if any of its labels says so and stands in the stratum of its least
+doc_id; a stratum with
 too few labels gets no cutoff, so its rules stay off; empty tables give empty
 results. Columns other than those named here are carried through untouched
 unless they are metrics of the same name, which are replaced.
@@ -44,7 +47,7 @@ _TMP = ("_q_text", "_q_words", "_q_lines", "_q_wins", "_q_sorted")
 
 
 def measure(docs: DataFrame, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, base_failed and stratum."""
+    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, text_md5, base_failed and stratum."""
     d = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
     if drop_text:
         d = d.drop(text)
@@ -54,6 +57,7 @@ def measure(docs: DataFrame, text: str = "text", drop_text: bool = False) -> Dat
             "_q_words": F.array_remove(F.split(t, "[ \\t-\\r]+"), ""),
             "_q_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]")),
             "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+            "text_md5": F.md5(t),
             "n_upper": (F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}", ""))).cast("long"),
         }
     ).drop("_q_text")
@@ -125,7 +129,11 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
     """One row for each stratum with labels: stratum and, for each rule, its cutoff or null. ``measured`` needs doc_id."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).alias("_good"))
-    rows = measured.where(~F.col("base_failed")).select("doc_id", "stratum", *(ratio(r).alias(r) for r in grid)).join(good, "doc_id")
+    own = F.struct("stratum", *(ratio(r).alias(r) for r in grid))
+    rows = measured.where(~F.col("base_failed")).select("doc_id", F.struct("text_md5", own.alias("own")).alias("x")).join(good, "doc_id")
+    # A trial is a text: rows that repeat a doc_id, and copies under other ids, are not independent of each other.
+    rows = rows.groupBy("doc_id", "_good").agg(F.min("x").alias("x"))
+    rows = rows.groupBy("x.text_md5").agg(F.max("_good").alias("_good"), F.min(F.struct("doc_id", "x.own")).alias("x")).select("_good", "x.own.*")
     cells = [(r, c) for r in grid for c in grid[r]]
     counts = rows.groupBy("stratum").agg(
         F.count_if("_good").alias("n"),
@@ -187,7 +195,9 @@ m as (select w.r, doc_id, stratum, len(words) as n_words, coalesce(list_sum(list
   len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join cover using (r)),
 d as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
 good as (select doc_id, max(quality) = 1 as good from labels where quality is not null group by doc_id),
-lab as (select stratum, good, {', '.join(f'{e} as {r}' for r, e in ratios.items())} from d join good using (doc_id) where not base_failed),
+lab1 as (select doc_id, md5(t) as h, stratum, good, {', '.join(f'{e} as {r}' for r, e in ratios.items())} from d join good using (doc_id) where not base_failed),
+lab2 as (select * from lab1 qualify row_number() over (partition by doc_id order by h, stratum) = 1),
+lab as (select * exclude (good), max(good) over (partition by h) as good from lab2 qualify row_number() over (partition by h order by doc_id) = 1),
 tests as ({tests}),
 tail as (select *, (select coalesce(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a}))), 0) from range(0, k + 1) as s(i)) as p from tests),
 holm as (select *, p * ({m} + 1 - row_number() over (order by p, stratum, rule, cutoff)) as h from tail),

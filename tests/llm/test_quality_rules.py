@@ -57,3 +57,17 @@ def test_odd_inputs(spark, docs, empty):
     assert kept.columns == docs.columns
     assert kept.count() == q.judge(docs, labels.limit(0)).where("kept").count()
     assert q.judge(empty, labels).count() == 0
+
+
+def test_repeats_and_copies_change_no_cutoff(spark):
+    good = [(i, " ".join(f"g{i}q{j}" for j in range(40)), "en") for i in range(1500)]
+    bad = [(5000 + i, " ".join(f"b{i}q{j}###" for j in range(40)), "en") for i in range(300)]
+    label = lambda rows: spark.createDataFrame([(i, int(i < 5000 or i >= 10_000), 0) for i, *_ in rows], LABELS)
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cut = lambda rows: sorted(map(str, q.select_cutoffs(q.measure(docs(rows)), label(rows)).collect()))
+    want = cut(good + bad)
+    assert len(want) == 1 and "cut_symbol_ratio=None" not in want[0]
+    copies = [(10_000 + i, good[0][1], "en") for i in range(2000)] + [good[1]] * 500
+    assert cut(good + bad + copies) == want
+    # One good text, however often it stands there, proves nothing.
+    assert cut([good[0]] * 2000 + bad[:1]) == [] == cut([(10_000 + i, good[0][1], "en") for i in range(2000)] + bad[:1])
