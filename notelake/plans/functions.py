@@ -24,7 +24,7 @@ def find_asset(t):
 
 @query()
 def detect_spans(t):
-    found = t.documents.select("doc_id", s.detect_spans("text").alias("spans"))
+    found = s.with_spans(t.documents.select("doc_id", "text"))
     return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*", x.in_words(F.col("span.kind"), s.GROUPS).alias("group"))
 
 
@@ -38,7 +38,7 @@ def merge_spans(t):
 
 @query()
 def mask_all(t):
-    found = t.documents.select("doc_id", "text", s.detect_spans("text").alias("spans"))
+    found = s.with_spans(t.documents.select("doc_id", "text"))
     return found.select("doc_id", s.mask_spans(F.col("text"), F.col("spans")).alias("masked"))
 
 
@@ -161,7 +161,7 @@ def subset_test(t):
 
 @query()
 def signal_types(t):
-    return t.documents.select("doc_id", F.array_join(s.kinds_of(s.detect_spans("text")), ",").alias("types"))
+    return s.with_spans(t.documents.select("doc_id", "text")).select("doc_id", F.array_join(s.kinds_of(F.col("spans")), ",").alias("types"))
 
 
 @query("""with c as (select memory_id, text, instr(text, 'rea') as p from notes where contains(text, 'rea'))

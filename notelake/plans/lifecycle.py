@@ -4,16 +4,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelake.operators import lifecycle as m
+from notelake.plans.policy import decided
 from notelake.plans.registry import query
 
 NOW = "timestamp '1998-06-01 00:00:00'"
 
 
+def _to_capture(t):
+    """Every document that has a vector as a new note: decided, about the label as its asset, in the order of its id."""
+    notes = t.embeddings.select(F.col("vec_id").alias("memory_id"), F.col("label").cast("string").alias("asset"), F.col("vec_id").alias("at"), "embedding")
+    said = decided(t).select(F.col("doc_id").alias("memory_id"), "text", "scope", "priority")
+    return notes.join(said, "memory_id", "left").join(t.notes.select("memory_id", "kind"), "memory_id", "left")
+
+
 @query()
 def capture_batch(t):
-    """Notes in time order within an asset: a duplicate is dropped, a follow-up supersedes."""
-    notes = t.embeddings.select(F.col("vec_id").alias("memory_id"), F.col("label").alias("asset"), F.col("vec_id").alias("at"), "embedding")
-    return m.capture(notes, same=0.5, follows=0.35)
+    """Notes in time order within an asset: a duplicate is dropped, a follow-up supersedes, all else is stored; what is not private is queued."""
+    return m.capture(_to_capture(t), same=0.5, follows=0.35)
+
+
+@query()
+def capture_revisions(t):
+    return m.captured_revisions(m.capture(_to_capture(t), same=0.5, follows=0.35))
 
 
 @query("select n.memory_id, o.memory_id as replaces from notes n join notes o on o.memory_id = n.supersedes where o.kind <> 'reference' and not (n.scope <> 'private' and o.scope = 'private')")

@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelake.functions import text as x
-from notelake.functions.spans import detect_spans as spans_of
-from notelake.functions.spans import kinds_of, mask_spans
+from notelake.functions.spans import kinds_of, mask_spans, with_spans
 from notelake.operators import policy as p
 from notelake.operators import retrieval as r
 from notelake.plans.registry import query
@@ -64,13 +63,13 @@ def mixed_flag(t):
     return p.classify(_scores(t)).select("vec_id", (F.size(scopes) > 1).alias("mixed"))
 
 
-def _decided(t, choice=None):
+def decided(t, choice=None):
     """The decision on every document that has a vector: its category from the vector, its signals from the text, the choice learned for the nearest known note."""
     near = p.classify(_scores(t)).select(F.col("vec_id").alias("doc_id"), _categories(F.col("near")).alias("categories"), "confidence")
     new, known = _halves(t)
     scope = F.when(F.col("example") % 3 == 0, "private").when(F.col("example") % 3 == 1, "shared").otherwise("redacted")
     learned = p.nearest_example(new, known, 0.4, "label").select(F.col("vec_id").alias("doc_id"), F.struct(scope.alias("scope"), "cosine").alias("learned"))
-    notes = t.documents.select("doc_id", "text", spans_of("text").alias("spans")).join(near, "doc_id").join(learned, "doc_id", "left")
+    notes = with_spans(t.documents.select("doc_id", "text")).join(near, "doc_id").join(learned, "doc_id", "left")
     return p.decide(notes.withColumn("choice", F.lit(None).cast("string") if choice is None else choice))
 
 
@@ -80,14 +79,14 @@ def _shown():
 
 @query()
 def decide_scope(t):
-    return _decided(t).select(*_shown(), F.md5("shared_text").alias("shared_md5"))
+    return decided(t).select(*_shown(), F.md5("shared_text").alias("shared_md5"))
 
 
 @query()
 def apply_override(t):
     """A person's choice for a half of the notes."""
     choice = F.when(F.col("doc_id") % 4 == 0, "shared").when(F.col("doc_id") % 4 == 1, "private")
-    return _decided(t, choice).select(*_shown())
+    return decided(t, choice).select(*_shown())
 
 
 def _halves(t):
@@ -164,12 +163,12 @@ def related_notes(t):
 def preview(t):
     """Decision, related notes and masked text for each note; nothing is written."""
     alike = related_notes(t).groupBy(F.col("vec_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), lambda v: v["other"]), ",").alias("related"))
-    shown = _decided(t).select(*_shown(), F.array_join(kinds_of(F.col("spans")), ",").alias("signals"), F.md5("shared_text").alias("shared_md5"))
+    shown = decided(t).select(*_shown(), F.array_join(kinds_of(F.col("spans")), ",").alias("signals"), F.md5("shared_text").alias("shared_md5"))
     return shown.join(alike, "doc_id", "left")
 
 
 @query()
 def masked_vector(t):
     """Features of the masked text, so that a vector tells no more than what is shared."""
-    masked = t.documents.select("doc_id", "text", spans_of("text").alias("spans")).where("size(spans) > 0").select("doc_id", mask_spans(F.col("text"), F.col("spans")).alias("text"))
+    masked = with_spans(t.documents.select("doc_id", "text")).where("size(spans) > 0").select("doc_id", mask_spans(F.col("text"), F.col("spans")).alias("text"))
     return r.featurise(masked, "doc_id")

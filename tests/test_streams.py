@@ -70,12 +70,23 @@ def test_capture_in_batches_and_as_a_stream(spark):
     assert {k for k, _ in want.values()} >= {"stored", "supersedes"}
 
 
+def plain_spans(text):
+    """The raw hits, resolved on a line of half places: persons that touch share one, and a person is free if no place of its letters is another kind's."""
+    raw = [x for x in spans.find_raw(text) if x[2] != "tag"]
+    taken = {i for a, b, k in raw if k != "person" for i in range(a, b)}
+    marks = sorted({i for a, b, k in raw if k == "person" for i in range(2 * a, 2 * b + 1)})
+    starts = [i for i in marks if i - 1 not in marks]
+    ends = [i for i in marks if i + 1 not in marks]
+    people = [(a // 2, b // 2, "person") for a, b in zip(starts, ends, strict=True)]
+    return sorted([x for x in raw if x[2] != "person"] + [p for p in people if not taken & set(range(*p[:2]))])
+
+
 def test_masked_texts(spark):
     docs = read("documents")
     got = {r.doc_id: r.masked for r in QUERIES["mask_all"](spark, SF).collect()}
     kinds = {r.doc_id: r.types for r in QUERIES["signal_types"](spark, SF).collect()}
     for i, text in zip(docs.doc_id, docs.text, strict=True):
-        found = spans.find_spans(text)
+        found = plain_spans(text)
         for a, b, k in reversed(found):
             text = f"{text[:a]}[{k} removed]{text[b:]}"
         assert got[i] == text and kinds[i] == ",".join(sorted({k for *_, k in found}))
