@@ -134,7 +134,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select("toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6)) == 0).alias("tuning"), "text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 2, CHUNK // 16):
+        for b in chunks(batches, 2, CHUNK // 64):
             row, slot, value = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *_lists(row, b.num_rows, slot, value)], names=["toxic", "tuning", "doc_id", "slots", "values"])
 
