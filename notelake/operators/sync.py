@@ -112,23 +112,26 @@ def review_plan(decisions: DataFrame, cloud: DataFrame) -> DataFrame:
 
 
 def guarded_writes(writes: DataFrame) -> DataFrame:
-    """Fold each id's writes in order of seq: a write lands if it expects nothing, the row is absent, or the revision is the expected one.
+    """Fold each id's writes in order of seq: a write (or tombstone) lands if it expects nothing, the row is absent, or the revision is the expected one.
 
-    An id's writes pass by in order in one task, which holds one revision.
+    A patch (``kind``, where there is such a column) lands only on a row that
+    is there with the expected revision. An id's writes pass by in order in one
+    task, which holds one revision.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, None
         for b in batches:
             landed = []
-            for key, expect, rev in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            for key, expect, rev, patch in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if key != now:
                     now, at = key, None
-                landed.append(expect is None or at is None or expect == at)
+                landed.append(at is not None and expect == at if patch else expect is None or at is None or expect == at)
                 at = rev if landed[-1] else at
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(landed, pa.bool_())], names=["memory_id", "seq", "landed"])
 
-    rows = writes.select(F.col("memory_id").cast("long"), F.col("seq").cast("long"), F.col("expect_rev").cast("int"), F.col("rev").cast("int"))
+    patch = F.coalesce(F.col("kind") == "patch", F.lit(False)) if "kind" in writes.columns else F.lit(False)
+    rows = writes.select(F.col("memory_id").cast("long"), F.col("seq").cast("long"), F.col("expect_rev").cast("int"), F.col("rev").cast("int"), patch.alias("patch"))
     return rows.repartition("memory_id").sortWithinPartitions("memory_id", "seq", "rev").mapInArrow(run, "memory_id long, seq long, landed boolean")
 
 

@@ -164,12 +164,14 @@ def resolve_conflicts(t):
 
 
 @query(
-    """with recursive w as (select memory_id, seq, case when seq % 5 = 0 then null else base_rev end as expect, base_rev + 1 as rev, row_number() over (partition by memory_id order by seq) as n from outbox where op = 'upsert'),
-f as (select memory_id, seq, n, true as landed, rev from w where n = 1 union all select w.memory_id, w.seq, w.n, w.expect is null or w.expect = f.rev, case when w.expect is null or w.expect = f.rev then w.rev else f.rev end from f join w on w.memory_id = f.memory_id and w.n = f.n + 1)
+    """with recursive w as (select memory_id, seq, case when seq % 5 = 0 then null else base_rev end as expect, base_rev + 1 as rev, seq % 6 = 0 as patch, row_number() over (partition by memory_id order by seq) as n from outbox where op = 'upsert'),
+f as (select memory_id, seq, n, not patch as landed, case when not patch then rev end as rev from w where n = 1 union all select w.memory_id, w.seq, w.n, case when w.patch then coalesce(w.expect = f.rev, false) else f.rev is null or w.expect is null or w.expect = f.rev end,
+  case when case when w.patch then coalesce(w.expect = f.rev, false) else f.rev is null or w.expect is null or w.expect = f.rev end then w.rev else f.rev end from f join w on w.memory_id = f.memory_id and w.n = f.n + 1)
 select memory_id, seq, landed from f"""
 )
 def cas_apply(t):
-    w = t.outbox.where("op = 'upsert'").select("memory_id", "seq", F.when(F.col("seq") % 5 != 0, F.col("base_rev")).alias("expect_rev"), (F.col("base_rev") + 1).cast("int").alias("rev"))
+    kind = F.when(F.col("seq") % 6 == 0, "patch").when(F.col("seq") % 6 == 1, "tombstone").otherwise("write")
+    w = t.outbox.where("op = 'upsert'").select("memory_id", "seq", kind.alias("kind"), F.when(F.col("seq") % 5 != 0, F.col("base_rev")).alias("expect_rev"), (F.col("base_rev") + 1).cast("int").alias("rev"))
     return s.guarded_writes(w)
 
 

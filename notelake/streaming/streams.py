@@ -1,20 +1,22 @@
-"""Structured Streaming forms of the change feed, link state, trust, outbox, expiry and capture.
+"""Structured Streaming forms of the change feed, trust and the drain of a queue; ``stateful`` has the keyed state machines.
 
 Each takes a streaming (or batch) frame and returns one; state is keyed, so it
-is spread over the cluster, and ordered folds get one key's rows at a time.
+is spread over the cluster.
 """
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
-from notelake.operators.lifecycle import fold_asset
-from notelake.sources.scratch import scratch_path
+from notelake.sources.scratch import materialize, scratch_path
+
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, exprs: list[str]) -> DataFrame:
@@ -29,9 +31,15 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, exprs: list[str])
     return raw.selectExpr(*exprs)
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Streams that start from now on keep their state in RocksDB, which the keyed state machines need."""
+    spark.conf.set(*_STORE)
+
+
 def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return what it wrote."""
     spark = df.sparkSession
+    keep_state_on_disk(spark)
     out = scratch_path(spark, "stream")
     writer = df.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
     if mode == "append":
@@ -45,15 +53,33 @@ def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(StructType([*df.schema.fields, StructField("batch", IntegerType())])).parquet(out)
 
 
-def pull_changes(changes: DataFrame, late: str = "5 minutes") -> DataFrame:
-    """A re-delivered (memory_id, rev) is dropped as long as it comes within the overlap."""
-    return changes.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(["memory_id", "rev"])
+def run_by_clock(df: DataFrame, out: str, every: str = "200 milliseconds", until: Callable[[], bool] | None = None, patience: float = 10) -> DataFrame:
+    """Run a stream with timers of the clock, which never ends by itself, until a micro-batch brings nothing new and ``until`` (if given) holds."""
+    spark = df.sparkSession
+    keep_state_on_disk(spark)
+    q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").trigger(processingTime=every).start(out)
+    seen, since = None, time.monotonic()
+    while q.isActive:
+        last = q.lastProgress
+        if last is not None and last["batchId"] != seen:
+            seen, since = last["batchId"], time.monotonic()
+        idle = last is not None and last["numInputRows"] == 0 or time.monotonic() - since > patience and not q.status["isDataAvailable"]
+        if idle and (until is None or until()):
+            break
+        time.sleep(0.1)
+    if (error := q.exception()) is not None:
+        raise error
+    q.stop()
+    return spark.read.schema(df.schema).parquet(out)
 
 
-def link_sessions(beats: DataFrame, gap: str = "6 hours", late: str = "5 minutes") -> DataFrame:
-    """Online sessions of each device: heartbeats not further apart than ``gap``."""
-    s = beats.withWatermark("ts", late).groupBy("device_id", F.session_window("ts", gap)).agg(F.count("*").alias("beats"))
-    return s.select("device_id", F.col("session_window.start").alias("since"), F.col("session_window.end").alias("until"), "beats")
+def pull_changes(changes: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """A re-delivered (memory_id, rev) is dropped as long as it comes within the overlap.
+
+    What lies further back than ``late`` behind the newest row is evicted from
+    the state, and a row that comes later than that is left to the full listing.
+    """
+    return changes.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(["memory_id", "rev"])
 
 
 def trust(decisions: DataFrame, needed: int = 10) -> DataFrame:
@@ -70,62 +96,30 @@ def trust(decisions: DataFrame, needed: int = 10) -> DataFrame:
     return decisions.groupBy("device_id").applyInPandasWithState(fold, "device_id string, streak long, decisions long, trusted boolean", "streak long, decisions long", "update", GroupStateTimeout.NoTimeout)
 
 
-def outbox(entries: DataFrame) -> DataFrame:
-    """One state machine for each device and note: edits collapse, closes end an entry."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, op, priority, edits, closed = state.get if state.exists else (None, None, 0, 0, 0)
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if first is None:
-                first, priority, edits = int(r.seq), int(r.priority), 0
-            op, priority, edits = r.op, max(priority, int(r.priority)), edits + 1
-            if r.state in ("done", "cancelled"):
-                first, closed = None, closed + 1
-        state.update((first, op, priority, edits, closed))
-        yield pd.DataFrame({"device_id": [key[0]], "memory_id": [key[1]], "open_seq": pd.array([first], dtype="Int64"), "op": [op], "priority": [priority], "edits": [edits], "closed": [closed]})
+def drain(entries: DataFrame, out: str, cap: int) -> Callable[[DataFrame, int], None]:
+    """The body of a ``foreachBatch`` that sends ``cap`` entries of each device in a micro-batch, the urgent ones first, and keeps the others.
 
-    return entries.groupBy("device_id", "memory_id").applyInPandasWithState(
-        fold, "device_id string, memory_id long, open_seq long, op string, priority int, edits long, closed long", "first long, op string, priority int, edits long, closed long", "update", GroupStateTimeout.NoTimeout
-    )
+    ``entries`` (the stream) has device_id, seq and priority. What waits is a
+    table of its own for each micro-batch, so a micro-batch that runs again
+    after a failure finds what it found before, and what it wrote is replaced.
+    """
+    spark, schema = entries.sparkSession, entries.schema
 
+    def kept(n: int) -> DataFrame:
+        path = f"{out}/waiting/{n}"
+        return spark.read.schema(schema).parquet(path) if n >= 0 else spark.createDataFrame([], schema)
 
-def expiry(notes: DataFrame) -> DataFrame:
-    """Announcements that end, told when event time passes their end, even without a further row of their own."""
+    def step(batch: DataFrame, n: int) -> None:
+        every = materialize(batch.unionByName(kept(n - 1)), "drain")
+        order = Window.partitionBy("device_id").orderBy(F.desc("priority"), "seq")
+        ahead = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+        ahead.write.mode("overwrite").parquet(f"{out}/sent/batch={n}")
+        sent = spark.read.parquet(f"{out}/sent/batch={n}").select("device_id", "seq")
+        every.join(sent, ["device_id", "seq"], "left_anti").write.mode("overwrite").parquet(f"{out}/waiting/{n}")
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (at,) = state.get
-            state.remove()
-            yield pd.DataFrame({"memory_id": [key[0]], "expired_at": [pd.Timestamp(at, unit="ms", tz="UTC")]})
-            return
-        ends = max(b["expires_at"].max() for b in batches)
-        at = int(pd.Timestamp(ends).timestamp() * 1000)
-        if at <= state.getCurrentWatermarkMs():
-            yield pd.DataFrame({"memory_id": [key[0]], "expired_at": [pd.Timestamp(at, unit="ms", tz="UTC")]})
-            return
-        state.update((at,))
-        state.setTimeoutTimestamp(at)
+    return step
 
-    return notes.withWatermark("updated_at", "0 seconds").groupBy("memory_id").applyInPandasWithState(fold, "memory_id long, expired_at timestamp", "at long", "append", GroupStateTimeout.EventTimeTimeout)
 
-
-def capture(notes: DataFrame, same: float, follows: float) -> DataFrame:
-    """Outcome of each note against the active notes of its asset, which are the state (as bytes of their ids and vectors)."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values(["at", "memory_id"])
-        ids, vectors = new["memory_id"].to_numpy(), np.stack(new["embedding"].to_numpy()).astype(np.float64)
-        if state.exists:
-            old_ids, old = state.get
-            old_ids = np.frombuffer(old_ids, dtype=np.int64)
-            ids, vectors = np.concatenate([old_ids, ids]), np.concatenate([np.frombuffer(old, dtype=np.float64).reshape(len(old_ids), -1), vectors])
-        known = len(ids) - len(new)
-        # What is active was found different before, and is so again: only the new rows can change an outcome.
-        rows = fold_asset(np.arange(len(ids)), ids, vectors, same, follows)
-        gone = {r[2] for r in rows if r[1] == "supersedes"} | {r[0] for r in rows if r[1] == "duplicate"}
-        keep = np.array([i not in gone for i in ids])
-        state.update((ids[keep].tobytes(), vectors[keep].tobytes()))
-        out = pd.DataFrame([r for r in rows[known:]], columns=["memory_id", "outcome", "other"]).astype({"other": "Int64"})
-        yield out
-
-    return notes.groupBy("asset").applyInPandasWithState(fold, "memory_id long, outcome string, other long", "ids binary, vectors binary", "append", GroupStateTimeout.NoTimeout)
+def drained(spark: SparkSession, out: str) -> DataFrame:
+    """What ``drain`` has sent, with its micro-batch."""
+    return spark.read.parquet(f"{out}/sent")

@@ -2,14 +2,11 @@
 
 import os
 
-import numpy as np
 import pandas as pd
 import pytest
 
 from notelake.functions import spans
-from notelake.operators.lifecycle import capture
 from notelake.plans.registry import QUERIES
-from notelake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
@@ -19,57 +16,6 @@ def read(name):
     return pd.read_parquet(f"{SF}/{name}.parquet")
 
 
-def test_link_sessions(spark):
-    e = read("events")
-    e = e[e.event_type != "error"].assign(device_id="d" + (e.user_id % 20).astype(str)).sort_values("ts")
-    last, want = e.ts.max() - pd.Timedelta(minutes=5), set()
-    for device, ts in e.groupby("device_id").ts:
-        run = (ts.diff() >= pd.Timedelta(hours=6)).cumsum()
-        for _, own in ts.groupby(run):
-            until = own.max() + pd.Timedelta(hours=6)
-            if until <= last:  # later ones are still open
-                want.add((device, own.min(), until, len(own)))
-    got = {(r.device_id, pd.Timestamp(r.since), pd.Timestamp(r.until), r.beats) for r in QUERIES["stream_link"](spark, SF).collect()}
-    assert {(d, a.floor("us"), b.floor("us"), n) for d, a, b, n in want} <= got and len(got) <= len(want) + 20
-
-
-def test_expiry(spark):
-    o = read("orders")
-    o = o[o.o_orderkey % 9 == 0]
-    day = pd.to_datetime(o.o_orderdate)
-    ends = day + pd.Timedelta(days=3)
-    got = {r.memory_id: pd.Timestamp(r.expired_at).tz_localize(None) for r in QUERIES["stream_expiry"](spark, SF).collect()}
-    sure = dict(zip(o.o_orderkey[ends < day.max()], ends[ends < day.max()], strict=True))
-    late = set(o.o_orderkey[ends > day.max()])
-    assert sure and all(got[i] == at for i, at in sure.items()) and not late & set(got)
-
-
-def outcomes(rows, same, follows):
-    """The fold, note by note."""
-    out, active = {}, {}
-    for asset, i, v in rows:
-        own = active.setdefault(asset, [])
-        best = max(own, key=lambda x: float(x[1] @ v), default=None)
-        cos = float(best[1] @ v) if best else -2
-        if cos >= same:
-            out[i] = ("duplicate", best[0])
-            continue
-        out[i] = ("supersedes", best[0]) if cos >= follows else ("stored", None)
-        if cos >= follows:
-            active[asset] = own = [x for x in own if x[0] != best[0]]
-        own.append((i, v))
-    return out
-
-
-def test_capture_in_batches_and_as_a_stream(spark):
-    e = read("embeddings").sort_values("vec_id")
-    want = outcomes([(a, int(i), np.array(v, dtype=float)) for a, i, v in zip(e.label, e.vec_id, e.embedding, strict=True)], 0.5, 0.35)
-    for name in ("capture_batch", "stream_capture"):
-        got = {r.memory_id: (r.outcome, r.other) for r in QUERIES[name](spark, SF).collect()}
-        assert got == want
-    assert {k for k, _ in want.values()} >= {"stored", "supersedes"}
-
-
 def plain_spans(text):
     """The raw hits, resolved on a line of half places: persons that touch share one, and a person is free if no place of its letters is another kind's."""
     raw = [x for x in spans.find_raw(text) if x[2] != "tag"]
@@ -111,11 +57,3 @@ def test_masked_vectors_follow_the_masked_text(spark):
         assert {b: round(n / size, 4) for b, n in counts.items()} == {b: round(w, 4) for b, w in got[i].items()}
 
 
-def test_stream_of_part_files_keeps_its_state(spark, tmp_path):
-    rows = [(i, i % 3, i, [1.0, i / 40]) for i in range(30)]
-    df = spark.createDataFrame(rows, "memory_id long, asset long, at long, embedding array<double>")
-    for k in range(3):  # later files are later micro-batches
-        df.where(f"at between {10 * k} and {10 * k + 9}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/notes.parquet")
-    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/notes.parquet")
-    got = sorted(map(str, streams.run_to_end(streams.capture(feed, 1.4, 1.1)).collect()))
-    assert got == sorted(map(str, capture(df, 1.4, 1.1).collect()))
