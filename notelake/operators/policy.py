@@ -6,7 +6,8 @@ from pyspark.sql.window import Window
 
 from notelake.functions.spans import kinds_of, mask_spans
 from notelake.functions.text import CATEGORY_WORDS, SCOPE_WORDS, in_words
-from notelake.operators.retrieval import dot
+from notelake.operators.retrieval import dot, nearest_within
+from notelake.sources.scratch import materialize
 
 NEAR = 0.03
 # The categories with their default scope and priority.
@@ -30,32 +31,45 @@ REASONS = {
     "user masked": "Personal details are still masked in the cloud copy.",
 }
 LEARNED_REASON = "A note like this one ({}% similar) was set to {} by hand before, so this one follows it."
-#: Labels whose prototypes may be sent to every task.
+#: Labels whose prototypes are sent to every task at once.
 MAX_LABELS = 2_000
 
 
-def prototypes(vectors: DataFrame, per_label: int = 5) -> DataFrame:
-    """The first vectors of each label, as one row with an array: labels x per_label entries, of ``MAX_LABELS`` labels at most (they are counted)."""
-    if vectors.select("label").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+def prototypes(vectors: DataFrame, per_label: int = 5, max_labels: int = MAX_LABELS) -> DataFrame:
+    """The first vectors of each label, in blocks of some ``max_labels`` labels: block and an array of (label, vectors)."""
     order = Window.partitionBy("label").orderBy("vec_id")
-    rows = vectors.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
-    return rows.agg(F.array_sort(F.collect_list(F.struct("label", "vec_id", F.col("embedding").alias("v")))).alias("protos"))
+    rows = vectors.where("label is not null and embedding is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
+    own = F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").alias("v"))))  # per_label vectors at most
+    per = materialize(rows.groupBy("label").agg(F.transform(own, lambda x: x["v"]).alias("vs")), "label-prototypes")
+    blocks = max(1, -(-per.count() // max_labels))
+    per = per.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
+    return materialize(per.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("label", "vs"))).alias("protos")), "prototypes")
 
 
 def category_scores(vectors: DataFrame, protos: DataFrame) -> DataFrame:
-    """vec_id and scores, an array of (score, label): 0.7 of the best and 0.3 of the mean cosine with a label's prototypes."""
-    df = vectors.select("vec_id", "embedding").join(F.broadcast(protos))  # one row
-    cos = F.transform("protos", lambda p: F.struct(p["label"].alias("label"), dot(F.col("embedding"), p["v"]).alias("c")))
-    df = df.withColumn("cos", cos).drop("embedding", "protos")
+    """vec_id and scores, an array of (score, label): 0.7 of the best and 0.3 of the mean cosine with a label's prototypes.
 
-    def score(label: Column) -> Column:
-        own = F.transform(F.filter("cos", lambda x: x["label"] == label), lambda x: x["c"])
-        mean = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)
-        return F.struct(F.round(0.7 * F.array_max(own) + 0.3 * mean, 6).alias("score"), label.alias("label"))
+    One block of ``protos`` is sent to the tasks at a time; with several, the
+    scores of a vec_id (which is unique) are put together again.
+    """
 
-    labels = F.array_distinct(F.transform("cos", lambda x: x["label"]))
-    return df.select("vec_id", F.transform(labels, score).alias("scores"))
+    def score(p: Column) -> Column:
+        cos = F.transform(p["vs"], lambda v: dot(F.col("embedding"), v))
+        mean = F.aggregate(cos, F.lit(0.0), lambda a, x: a + x) / F.size(cos)
+        return F.struct(F.round(0.7 * F.array_max(cos) + 0.3 * mean, 6).alias("score"), p["label"].alias("label"))
+
+    parts = []
+    for r in protos.select("block").collect():  # labels / max_labels rows
+        one = protos.where(F.col("block") == r.block).select("protos")
+        parts.append(vectors.select("vec_id", "embedding").join(F.broadcast(one)).select("vec_id", F.transform("protos", score).alias("scores")))  # one row
+    if not parts:
+        return vectors.select("vec_id", F.array().cast("array<struct<score:double,label:int>>").alias("scores"))
+    if len(parts) == 1:
+        return parts[0]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("vec_id").agg(F.flatten(F.collect_list("scores")).alias("scores"))  # a number for each label
 
 
 def classify(scored: DataFrame) -> DataFrame:
@@ -128,7 +142,6 @@ def decide(notes: DataFrame) -> DataFrame:
 
 
 def nearest_example(vectors: DataFrame, examples: DataFrame, least: float, same: str) -> DataFrame:
-    """For each vector the nearest example of its group at or above ``least``: an equi-join on the group."""
-    e = examples.select(same, F.col("vec_id").alias("example"), F.col("embedding").alias("ev"))
-    scored = vectors.join(e, same).select("vec_id", "example", F.round(dot(F.col("embedding"), F.col("ev")), 6).alias("c")).where(F.col("c") >= least)
-    return scored.groupBy("vec_id").agg(F.max(F.struct("c", (-F.col("example")).alias("e"))).alias("b")).select("vec_id", (-F.col("b.e")).alias("example"), F.col("b.c").alias("cosine"))
+    """vec_id, example and cosine: for each vector the nearest example of its group at or above ``least``."""
+    near = nearest_within(vectors, examples, same, 1, least)
+    return near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("example"), F.col("score").alias("cosine"))

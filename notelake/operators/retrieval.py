@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notelake.functions.text import recency, strength
+from notelake.operators.skew import join_counted
 from notelake.sources.scratch import materialize
 
 #: The published BM25 constants.
@@ -68,34 +69,53 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Scores that a task computes at once.
+SCORES = 1 << 21
+
+
 class _Top:
-    """The k best rows seen so far for each query."""
+    """The k best rows seen so far for each query; what a slice of rows adds waits until there is enough to sort."""
 
     def __init__(self, query_ids: np.ndarray, vectors: np.ndarray, k: int):
         self.query_ids, self.vectors, self.k = query_ids, vectors, k
-        self.scores, self.ids = np.full((0, len(query_ids)), -np.inf), np.zeros((0, len(query_ids)), np.int64)
+        self.floor = np.full(len(query_ids), -np.inf)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, scores = ids[order], np.round(vectors[order] @ self.vectors.T, 6)
-        scores[ids[:, None] == self.query_ids[None, :]] = -np.inf  # a row is no answer to itself
-        top = np.argsort(-scores, axis=0, kind="stable")[: self.k]
-        scores, ids = np.concatenate((self.scores, np.take_along_axis(scores, top, 0))), np.concatenate((self.ids, ids[top]))
-        order = np.lexsort((ids, -scores), axis=0)[: self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, 0), np.take_along_axis(ids, order, 0)
+        step, k = max(1, SCORES // max(1, len(self.query_ids))), self.k
+        for lo in range(0, len(ids), step):
+            own = ids[lo : lo + step]
+            scores = np.round(vectors[lo : lo + step] @ self.vectors.T, 6)
+            scores[own[:, None] == self.query_ids[None, :]] = -np.inf  # a row is no answer to itself
+            least = np.maximum(self.floor, np.partition(scores, len(own) - k, axis=0)[len(own) - k]) if len(own) > k else self.floor
+            row, query = np.nonzero((scores >= least) & (scores > -np.inf))  # ties with the last place may yet come before it
+            self.found.append((query, scores[row, query], own[row]))
+            if sum(len(x[0]) for x in self.found[1:]) > 4 * k * len(self.query_ids) + SCORES // 8:
+                self._sort()
+
+    def _sort(self) -> None:
+        query, score, vec = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        order = np.lexsort((vec, -score, query))
+        query, score, vec = query[order], score[order], vec[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.k
+        self.floor[query[place == self.k - 1]] = score[place == self.k - 1]
+        self.found = [(query[keep], score[keep], vec[keep])]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        real = np.isfinite(self.scores)
-        return np.broadcast_to(self.query_ids, self.scores.shape)[real], self.ids[real], self.scores[real]
+        self._sort()
+        query, score, vec = self.found[0]
+        return self.query_ids[query], vec, score
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, within: str | None = None, block: int = 1 << 22) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, within: str | None = None, block: int = 1 << 20) -> DataFrame:
     """query_id, vec_id, score and place of the k rows of ``corpus`` nearest to each query (in each value of the column ``within``, a text).
 
     Queries go to the tasks in blocks of ``block`` numbers, and each task keeps
     the k best of every query before anything is shuffled. A row is no answer
-    to itself; vectors that are null or of another length than the queries'
-    first are left out; ties go to the lower vec_id.
+    to itself; rows whose vec_id or vector is null, or whose vector is of
+    another length than the queries' first, are left out; ties go to the lower
+    vec_id. A task holds ``SCORES`` scores, one block and the best so far.
     """
     spark = queries.sparkSession
     q = queries.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
@@ -104,7 +124,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, within: str | Non
     q = q.where(F.size("q") == width)
     blocks = max(1, -(-q.count() * width // block))
     of = F.col(within) if within else F.lit("")
-    rows = corpus.where(F.size("embedding") == width).select(F.col("vec_id").cast("long"), of.cast("string").alias("of"), F.col("embedding").cast("array<double>"))
+    rows = corpus.where((F.size("embedding") == width) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), of.cast("string").alias("of"), F.col("embedding").cast("array<double>"))
     parts = []
     for b in range(blocks):
         table = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # one block
@@ -132,6 +152,46 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, within: str | Non
     return out.withColumnRenamed("of", within) if within else out.drop("of")
 
 
+def nearest_within(queries: DataFrame, corpus: DataFrame, group: str, k: int, least: float = -2.0, per: bool = False, block: int = 2_000) -> DataFrame:
+    """query_id, vec_id and score of the ``k`` rows of ``corpus`` nearest to each query among those of its group, at ``least`` or above.
+
+    A query may ask in several groups, and with ``per`` gets k rows of each.
+    Both sides have vec_id, ``group`` and embedding. A group's rows are dealt
+    into parts of some ``block`` on each side, and a task compares one part of
+    the queries with one of the corpus and keeps the k best, so a group with
+    most rows is the work of many tasks. A row is no answer to itself; null
+    ids, groups and vectors are left out; vectors of another length are of
+    another group; ties go to the lower vec_id.
+    """
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        of = F.concat_ws(":", F.size("embedding").cast("string"), F.col(group).cast("string"))
+        return df.where(f"vec_id is not null and `{group}` is not null and embedding is not null").select(F.lit(side).alias("side"), F.col("vec_id").cast("long").alias("id"), of.alias("of"), F.col("embedding").cast("array<double>").alias("v"))
+
+    sides = [dealt(queries, 0), dealt(corpus, 1)]
+    sizes = sides[0].unionByName(sides[1]).groupBy("of").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"), F.count("*").alias("n"))
+    parts = []
+    for side, df in enumerate(sides):
+        df = join_counted(df, sizes.where("n0 > 0 and n1 > 0"), "of", "n").where("n is not null")
+        mine, other = (F.ceil(F.col(f"n{s}") / block).cast("int") for s in (side, 1 - side))
+        df = df.withColumns({"mine": F.pmod(F.xxhash64("id", F.lit(side)), mine).cast("int"), "other": F.explode(F.sequence(F.lit(0), other - 1))})
+        at = ("mine", "other") if side == 0 else ("other", "mine")
+        parts.append(df.select("side", "id", "of", "v", F.col(at[0]).alias("p"), F.col(at[1]).alias("q")))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        vectors = np.asarray(t["v"].combine_chunks().flatten()).reshape(len(ids), -1)
+        top = _Top(ids[side == 0], vectors[side == 0], k)
+        top.add(ids[side == 1], vectors[side == 1])
+        query, vec, score = top.rows()
+        use = score >= least
+        return pa.table({"query_id": query[use], "of": pa.array([t["of"][0].as_py()] * use.sum(), pa.string()), "vec_id": vec[use], "score": score[use]})
+
+    found = parts[0].unionByName(parts[1]).groupBy("of", "p", "q").applyInArrow(compare, "query_id long, of string, vec_id long, score double")
+    return best(found, "query_id", "vec_id", k, *(["of"] if per else [])).drop("of")
+
+
 def fuse(signals: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """One row for each id with every signal's best score, null where a signal missed it; ``signals`` have the keys and score."""
     rows = None

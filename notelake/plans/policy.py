@@ -140,13 +140,19 @@ select vec_id, other, cosine, case when kind = 'reference' then 'related' when c
 
 
 def related(queries, notes, bands=BANDS, limit=3):
-    """Of the active notes on the same asset in each shard the ``limit`` most alike, and of all these above the lowest band again: vec_id, other, cosine, relation."""
-    b = notes.where("status = 'active'").select("asset", "shard", "kind", F.col("vec_id").alias("other"), F.col("embedding").alias("ov"))
-    near = queries.select("vec_id", "asset", "text", "embedding").where("asset is not null").join(b, "asset").where("other <> vec_id")
-    near = near.select("vec_id", "other", "shard", "kind", "text", F.round(r.dot(F.col("embedding"), F.col("ov")), 6).alias("cosine"))
+    """Of the active notes on the same asset in each shard the ``limit`` most alike, and of all these above the lowest band again: vec_id, other, cosine, relation.
+
+    An asset and shard is a group; a query looks into every shard that there is.
+    """
+    active = notes.where("status = 'active' and asset is not null and shard is not null")
+    shards = F.array(*map(F.lit, ("local", "replica")))
+    place = lambda shard: F.concat_ws(":", shard, F.col("asset"))
+    asked = queries.where("asset is not null").select("vec_id", "asset", "embedding", F.explode(shards).alias("in")).select("vec_id", place(F.col("in")).alias("place"), "embedding")
+    near = r.nearest_within(asked, active.select("vec_id", place(F.col("shard")).alias("place"), "embedding"), "place", limit, bands["related"], per=True)
     order = [F.desc("cosine"), "other"]
-    top = near.withColumn("n", F.row_number().over(Window.partitionBy("vec_id", "shard").orderBy(*order))).where((F.col("n") <= limit) & (F.col("cosine") >= bands["related"]))
+    top = near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other"), F.col("score").alias("cosine"))
     top = top.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(*order))).where(F.col("n") <= limit)
+    top = top.join(queries.select("vec_id", "text"), "vec_id").join(active.select(F.col("vec_id").alias("other"), "kind"), "other")
     follow = F.when(x.says_resolved(F.col("text")), "resolves").otherwise("updates")
     relation = F.when(F.col("kind") == "reference", "related").when(F.col("cosine") >= bands["duplicate"], "duplicate").when(F.col("cosine") >= bands["updates"], follow).otherwise("related")
     return top.select("vec_id", "other", "cosine", relation.alias("relation"))
