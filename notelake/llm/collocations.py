@@ -43,7 +43,7 @@ from notelake.llm.shingles import _ODD, mix
 from notelake.llm.words import chunks
 from notelake.sources.scratch import drop_paths, materialize, recording, scratch_path
 
-LONGEST, THRESHOLD, SHARDS = 4, 30, 4
+LONGEST, THRESHOLD, SHARDS = 4, 30, 3
 INSIDE, TOP, SCALE = 80, 2_000, 2_000_000
 #: Bytes of text in a block; bytes of the table of frequent phrases of a length.
 BLOCK, SLOTS = 8 << 20, 1 << 23
