@@ -6,21 +6,23 @@ from pyspark.sql import functions as F
 from notelake.sources.scratch import materialize
 
 
-def ancestors(notes: DataFrame, key: str = "memory_id", before: str = "supersedes") -> DataFrame:
-    """(head, node, depth) for each note and every earlier version of it, itself at depth 0; a chain that turns back on itself ends where it would repeat.
+def ancestors(notes: DataFrame, key: str = "memory_id", before: str = "supersedes", heads: DataFrame | None = None) -> DataFrame:
+    """(head, node, depth) for each note (or each of ``heads``, a table with ``key``) and every earlier version of it, itself at depth 0; a chain that turns back on itself ends where it would repeat.
 
-    ``key`` is unique. Each round doubles the length of what is known, so a
-    chain of n versions takes log2(n) rounds, each written to shared scratch
-    space; a chain is rows, never one growing array.
+    Of rows that repeat a key that with the least ``before`` counts. Each round
+    doubles the length of what is known, so a chain of n versions takes log2(n)
+    rounds, each written to shared scratch space; a chain is rows, never one
+    growing array, and only chains of the heads are followed.
     """
-    known = notes.select(F.col(key).alias("key_")).where("key_ is not null")
-    step = notes.select(F.col(key).alias("node"), F.col(before).alias("next")).join(known, F.col("next") == F.col("key_"), "left_semi")
-    reach = known.select(F.col("key_").alias("head"), F.col("key_").alias("node"), F.lit(0).cast("long").alias("depth"))
-    jump, span = materialize(step.where("node is not null"), "chain-jump"), 1  # where a note stands after ``span`` steps
-    reach = materialize(reach, "chain-reach")
+    rows = notes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("node")).agg(F.min(before).alias("next"))
+    rows = materialize(rows, "chain-notes")
+    known = rows.select(F.col("node").alias("next"))
+    jump, span = materialize(rows.join(known, "next", "left_semi").select("node", "next"), "chain-jump"), 1  # where a note stands after ``span`` steps
+    first = rows if heads is None else rows.join(heads.select(F.col(key).alias("node")).distinct(), "node", "left_semi")
+    reach = materialize(first.select(F.col("node").alias("head"), "node", F.lit(0).cast("long").alias("depth")), "chain-reach")
     size = reach.count()
     while True:
-        far = jump.withColumnRenamed("node", "start").join(reach.withColumnRenamed("head", "next"), "next").select(F.col("start").alias("head"), "node", (F.col("depth") + span).alias("depth"))
+        far = reach.join(jump, "node").select("head", F.col("next").alias("node"), (F.col("depth") + span).alias("depth"))
         reach = materialize(reach.unionByName(far).groupBy("head", "node").agg(F.min("depth").alias("depth")), "chain-reach")
         grown = reach.count()
         if grown == size:

@@ -143,8 +143,7 @@ union all select c.head, n.memory_id, n.supersedes, c.depth + 1, list_append(c.p
 select head, memory_id, depth from c""")
 def history_chain(t):
     """Each active note's earlier versions; a chain never visits a note twice."""
-    heads = t.notes.where("status = 'active'").select(F.col("memory_id").alias("head"))
-    return chains.ancestors(t.notes).join(heads, "head", "left_semi").select("head", F.col("node").alias("memory_id"), "depth")
+    return chains.ancestors(t.notes, heads=t.notes.where("status = 'active'")).select("head", F.col("node").alias("memory_id"), "depth")
 
 
 @query("select r.memory_id, 'private' as scope, false as withdrawn, c.review_reason as reason, greatest(r.rev, c.rev) as rev from local_notes r join cloud_notes c using (memory_id) where c.status = 'deleted' and c.review = 'rejected'")
