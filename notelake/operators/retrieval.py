@@ -35,23 +35,62 @@ def bm25_stats(tf: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame
     return df, length, length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, max_sent: int = 200_000) -> DataFrame:
-    """query, document and score of every pair that shares a term.
+def _postings(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, max_sent: int, *carry: str) -> tuple[DataFrame, DataFrame]:
+    """(query and term; term, document, ``carry`` and the term's weight in the document), each for the terms that some query has.
 
-    Only terms that some query has are joined and weighed. Where the queries
-    have at most ``max_sent`` terms (counted) these and their document counts
-    are sent to the tasks, so that a frequent term is no hot key.
+    Counts and lengths are those of all documents. Where the queries have at
+    most ``max_sent`` terms (counted) these and their document counts are sent
+    to the tasks, so that a frequent term is no hot key.
     """
     asked = terms(queries, query_key).select(query_key, "term")
     sent = F.broadcast if asked.limit(max_sent + 1).count() <= max_sent else lambda df: df
     used = terms(docs, doc_key, only=sent(asked.select("term").distinct()))
-    length = docs.select(doc_key, F.size(_words("text")).cast("long").alias("dl")).where("dl > 0").groupBy(doc_key).agg(F.sum("dl").alias("dl"))
+    length = docs.select(doc_key, *carry, F.size(_words("text")).cast("long").alias("dl")).where("dl > 0").groupBy(doc_key).agg(F.sum("dl").alias("dl"), *(F.min(c).alias(c) for c in carry))
     total = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weigh = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = used.join(sent(df), "term").join(length, doc_key).join(F.broadcast(total)).select("term", doc_key, weigh.alias("w"))  # totals: one row
-    return weighed.join(sent(asked), "term").groupBy(query_key, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
+    weighed = used.join(sent(df), "term").join(length, doc_key).join(F.broadcast(total)).select("term", doc_key, *carry, weigh.alias("w"))  # totals: one row
+    return asked, weighed
+
+
+#: Added to a bound before a score is held against it: sums in another order may differ in their last bits.
+_SLACK = 1e-6
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int, within: str | None = None, only: str = "true", same: bool = False, max_sent: int = 200_000) -> DataFrame:
+    """query, document, score and place of the k best documents of each query (in each value of ``within``), exactly, without scoring every pair that shares a term.
+
+    ``only`` says which documents may be found; all count in the statistics.
+    The k heaviest documents of each of a query's terms give a score that the
+    k-th best must reach. Of a query's terms, those of the least greatest
+    weight whose sum stays below that score cannot bring a document in alone:
+    only documents that hold one of the other terms are candidates, and of
+    these only they whose weights so far and the greatest possible rest reach
+    the score. Common words so never pair all queries with all documents. With
+    ``same`` queries are documents too, and none is an answer to itself.
+    """
+    group = [within] if within else []
+    open_ = docs.withColumn("_open", F.coalesce(F.expr(only), F.lit(False)))
+    asked, weighed = _postings(queries, open_, query_key, doc_key, max_sent, *group, "_open")
+    asked, weighed = materialize(asked, "bm25-asked"), materialize(weighed.where("_open").drop("_open"), "bm25-postings")
+    other = F.col(query_key) != F.col(doc_key) if same else F.lit(True)
+    heavy = weighed.withColumn("_n", F.row_number().over(Window.partitionBy("term", *group).orderBy(F.desc("w"), doc_key))).where(F.col("_n") <= k + 1)
+    seen = asked.join(heavy.drop("_n"), "term").where(other).groupBy(query_key, *group, doc_key).agg(F.sum("w").alias("score"))
+    seen = seen.withColumn("_n", F.row_number().over(Window.partitionBy(query_key, *group).orderBy(F.desc("score")))).where(F.col("_n") <= k)
+    least = seen.groupBy(query_key, *group).agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("least"))
+
+    most = weighed.groupBy("term", *group).agg(F.max("w").alias("most"))
+    ranked = asked.join(most, "term").join(least, [query_key, *group])
+    order = Window.partitionBy(query_key, *group).orderBy("most", "term")  # one query's terms
+    ranked = materialize(ranked.withColumn("upto", F.sum("most").over(order)).withColumn("weak", F.col("upto") < F.col("least") - _SLACK), "bm25-terms")
+    rest = ranked.groupBy(query_key, *group).agg(F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("rest"), F.max("least").alias("least"))
+    strong = ranked.where("not weak").select(query_key, *group, "term").join(weighed, ["term", *group]).where(other)
+    found = strong.groupBy(query_key, *group, doc_key).agg(F.sum("w").alias("part")).join(rest, [query_key, *group])
+    found = materialize(found.where(F.col("part") + F.col("rest") >= F.col("least") - _SLACK).select(query_key, *group, doc_key, "part"), "bm25-candidates")
+    more = found.join(ranked.where("weak").select(query_key, *group, "term"), [query_key, *group]).join(weighed, ["term", *group, doc_key]).select(query_key, *group, doc_key, "w")
+    scored = found.withColumnRenamed("part", "w").unionByName(more).groupBy(query_key, *group, doc_key).agg(F.round(F.sum("w"), 6).alias("score"))
+    return best(scored, query_key, doc_key, k, *group)
 
 
 def best(scored: DataFrame, query_key: str, doc_key: str, k: int, *within: str) -> DataFrame:
@@ -60,11 +99,6 @@ def best(scored: DataFrame, query_key: str, doc_key: str, k: int, *within: str)
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
-    """query, document, score and place of the k best documents of each query."""
-    return best(bm25_scores(queries, docs, query_key, doc_key), query_key, doc_key, k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
