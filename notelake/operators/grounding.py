@@ -29,7 +29,10 @@ def check(answers: DataFrame, notes: DataFrame) -> DataFrame:
     is not there fails; so does a cited sentence whose verdicts all differ from
     those of its notes, if these have any. For sentences without a citation the
     first note of each fact is looked up, so notes are not multiplied by answers.
+    answer_id is unique; a null set_id is a set like any other.
     """
+    # Structs are equal where their nulls are.
+    answers, notes = (df.withColumn("set_id", F.struct(F.col("set_id").alias("id"))) for df in (answers, notes))
     rows = answers.select("answer_id", "set_id", "upto", F.coalesce("question", F.lit("")).alias("question"), F.posexplode(sentences(F.coalesce("answer", F.lit("")))).alias("s", "sentence"))
     cited = F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit(CITATION), F.lit(1)), lambda x: x.try_cast("long")))
     plain = F.regexp_replace("sentence", CITATION, " ")

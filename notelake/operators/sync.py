@@ -1,13 +1,13 @@
 """Reconciling device copies with the shared table: merge, plans, guarded writes."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import merge_tags
-from notelake.operators.filters import blank, may_see
+from notelake.operators.filters import blank, latest, may_see
 
 #: The fields that a person can change. A two-sided change is a clash; tags, the eighth field, are merged as sets.
 CONTENT = ["text", "kind", "asset", "status", "supersedes", "superseded_by", "relation"]
@@ -141,3 +141,10 @@ def apply_cloud_content(local: DataFrame, cloud: DataFrame) -> DataFrame:
     df = local.join(c, "memory_id")
     text = F.when(F.col("c_text").eqNullSafe(blank(F.col("shared_text"))), F.col("text")).otherwise(F.col("c_text"))
     return df.select("memory_id", text.alias("text"), F.col("c_status").alias("status"))
+
+
+def fetch_from_peer(plan: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of a peer that ``plan`` (memory_id, rev, action) asks for: ``fetch`` gets the memory_ids and returns the peer's rows, of which those as new as the plan said are taken, once each."""
+    wanted = plan.where(F.col("action").isin("new", "newer")).select("memory_id", F.col("rev").alias("_rev")).distinct()
+    got = fetch(wanted.select("memory_id"))
+    return latest(got.join(wanted, "memory_id").where(F.col("rev") >= F.col("_rev")).drop("_rev").withColumn("_old", -F.col("rev")), ["memory_id"], "_old").drop("_old")

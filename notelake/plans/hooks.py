@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from notelake.functions import spans
 from notelake.operators import hooks as h
 from notelake.operators import retrieval as r
 from notelake.plans.registry import query
@@ -49,3 +50,13 @@ def example_store(t):
     versions.upsert(t.spark, root, rows.where("example % 3 = 0").withColumn("newer", F.lit(False)), ["example"])
     versions.upsert(t.spark, root, rows.where("example % 2 = 0").withColumn("newer", F.lit(True)), ["example"], rows.where("example % 10 = 0").select("example"))
     return versions.read(t.spark, root)
+
+
+@query()
+def add_names(t):
+    """Detected spans with a name model's as persons; the model is one that takes the first ``stupid`` or ``Licensed`` of a text for a name."""
+    raw = t.documents.select("doc_id", "text", spans.raw_spans("text").alias("raw"))
+    at = lambda w: F.instr("text", w) - 1
+    names = F.filter(F.array(*(F.struct(at(w).alias("start"), (at(w) + len(w)).alias("end")) for w in ("stupid", "Licensed"))), lambda n: n["start"] >= 0)
+    found = raw.select("doc_id", h.add_names(F.col("raw"), names).alias("spans")).where("size(spans) > 0")
+    return found.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*")

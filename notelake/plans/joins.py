@@ -110,6 +110,13 @@ def peer_records(t):
     return t.local_notes.where(f.shareable()).join(asked, "memory_id", "left_semi").select("memory_id", f.outgoing_text().alias("text"), (F.col("scope") == "redacted").alias("redacted"))
 
 
+@query("select memory_id, c.rev as rev, case when c.scope = 'redacted' then coalesce(nullif(c.shared_text, ''), c.text) else c.text end as text from cloud_notes c left join replica_notes r using (memory_id) where memory_id not in (select memory_id from local_notes) and c.status <> 'deleted' and (c.review is distinct from 'pending' or c.priority >= 2) and (r.memory_id is null or c.rev > r.rev)")
+def peer_fetch(t):
+    """The rows of ``peer_plan`` as the peer gives them: masked where they are shared masked."""
+    peer = lambda ids: t.cloud_notes.join(ids, "memory_id", "left_semi").select("memory_id", "rev", f.outgoing_text().alias("text"))
+    return s.fetch_from_peer(peer_plan(t), peer)
+
+
 @query("select photo_id, case when m.status = 'deleted' and held = 'replica' then 'remove' when m.status = 'deleted' then 'gone' when n.memory_id is null then 'gone' when held = 'queued' then 'fetch' else 'keep' end as action from media m left join replica_notes n using (memory_id)")
 def media_plan(t):
     known = t.replica_notes.select("memory_id").withColumn("known", F.lit(True))

@@ -286,3 +286,18 @@ def test_joins_with_a_counted_table(spark, hot, most):
     table = spark.createDataFrame([("a", 9, "x"), ("b", 2, "y"), ("c", 1, "z"), (None, 5, "never")], "k string, n long, v string")
     got = sorted((r.i, r.k, r.v) for r in skew.join_counted(df, table, "k", "n", hot, most).collect())
     assert got == [(i, k, {"a": "x", "b": "y", "c": "z"}.get(k)) for i, k in rows]
+
+
+def test_repeated_answers_and_a_null_conversation(spark):
+    from notelake.operators import grounding
+
+    answers = spark.createDataFrame([(1, 7, 1, "", "P-1 reads 5"), (2, 7, 1, "", "P-1 reads 6"), (3, None, 1, "", "P-2 reads 8"), (4, None, 1, "", "P-2 reads 9")], "answer_id long, set_id long, upto long, question string, answer string")
+    notes = spark.createDataFrame([(7, 1, "P-1 reads 5"), (None, 1, "P-2 reads 9")], "set_id long, n long, text string")
+    assert {r.answer_id: r.grounded for r in grounding.check(answers, notes).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_what_a_peer_gives(spark):
+    plan = spark.createDataFrame([(1, 3, "new"), (2, 5, "newer"), (3, 1, "drop"), (4, 2, "new")], "memory_id long, rev int, action string")
+    peer = spark.createDataFrame([(1, 3, "a"), (1, 3, "a"), (2, 4, "old"), (3, 1, "gone"), (4, 3, "since changed"), (9, 1, "not asked")], "memory_id long, rev int, text string")
+    got = sync.fetch_from_peer(plan, lambda ids: peer.join(ids, "memory_id", "left_semi"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, "a"), (4, 3, "since changed")]
