@@ -23,9 +23,13 @@ other columns are not read.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from notelake.operators.ranks import ranked
+from notelake.sources.scratch import materialize
 
 PART = 512
+#: Crowded parts whose numbers are sent to every task.
+MAX_SENT = 200_000
 END = "<|end|>\n"
 
 
@@ -35,12 +39,34 @@ def _opening(speaker: Column, viewer: Column) -> Column:
     return F.when(speaker == "system", F.lit("<|system|>\n")).when(speaker == viewer, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
 
 
+def _pieces(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with piece: 0, but where a conversation's part has more than ``size`` rows, the number of the ``size`` rows that a row stands among.
+
+    Parts are counted first. Only rows of crowded ones are put in order, all
+    together over ranges, so that one turn number with a third of all rows is
+    the work of many tasks.
+    """
+    key = F.struct("conv_id", "part")  # equal where both conv_id are null
+    crowded = rows.groupBy(key.alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > size).select("of")
+    crowded = materialize(crowded.withColumn("crowded", F.lit(True)), "crowded-parts")
+    n = crowded.limit(MAX_SENT + 1).count()
+    if n == 0:
+        return rows.withColumn("piece", F.lit(0).cast("long"))
+    sent = F.broadcast if n <= MAX_SENT else lambda df: df
+    marked = rows.withColumn("of", key).join(sent(crowded), "of", "left")
+    placed, _ = ranked(materialize(marked.where("crowded").drop("crowded"), "crowded-turns"), F.col("conv_id"), F.col("part"), F.col("turn"), F.col("by"), F.col("text"))
+    placed = materialize(placed, "crowded-places")
+    first = placed.groupBy("of").agg(F.min("rank").alias("first"))
+    placed = placed.join(sent(first), "of").withColumn("piece", F.floor((F.col("rank") - F.col("first")) / size))
+    return marked.where("crowded is null").select(*rows.columns, F.lit(0).cast("long").alias("piece")).unionByName(placed.select(*rows.columns, "piece"))
+
+
 def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, speaker, part, piece, n_turns (of the part), rendered and spans (array of start, end in code points) for each participant and part."""
     speaker = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown"))
     rows = turns.select(F.col("conv_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), speaker.alias("by"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("text"))
     rows = rows.withColumn("part", F.greatest(F.floor(F.col("turn") / part), F.lit(0)).cast("long"))
-    rows = rows.withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "by", "text")) - 1) / part))
+    rows = _pieces(rows, part)
     people = rows.where("by <> 'system'").select(F.col("conv_id").alias("of"), F.col("by").alias("speaker")).distinct()
     leads = rows.where("by = 'system'").groupBy(F.col("conv_id").alias("led")).agg(F.array(F.min(F.struct("turn", "text", "part", "piece"))).alias("leads"))
     parts = rows.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "by", "text"))).alias("turns"))

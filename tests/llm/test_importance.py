@@ -4,7 +4,6 @@ import re
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from notelake.llm import importance
 
@@ -60,13 +59,5 @@ def test_ties_get_ranks_by_doc_id(spark):
     assert order == sorted(order, key=lambda r: (-r.score, r.doc_id is None, r.doc_id or 0))
 
 
-def test_many_equal_rows_are_ranked_over_many_tasks(spark):
-    rows = spark.range(20_000).selectExpr("cast(null as long) doc_id", "7L as n_features", "0L as weight", "5L as score")
-    from notelake.sources.scratch import materialize
-
-    out, total = importance.ranked(materialize(rows, "equal"), F.col("score").desc())
-    assert total == 20_000 and out.selectExpr("min(rank)", "max(rank)", "count(distinct rank)").first()[:] == (1, 20_000, 20_000)
-
-
 def test_empty(spark, empty):
     assert importance.resample(empty, spark.createDataFrame([], "text string")).collect() == []
