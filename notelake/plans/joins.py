@@ -6,7 +6,9 @@ from pyspark.sql.window import Window
 from notelake.operators import chains
 from notelake.operators import filters as f
 from notelake.operators import sync as s
-from notelake.plans.registry import query
+from notelake.plans.registry import ORACLES, query
+from notelake.plans.scans import payload_only
+from notelake.sources.tables import with_tables
 
 _FIELDS = [*s.CONTENT, "tag_text", "scope", "rev"]
 
@@ -248,3 +250,39 @@ def note_detail(t):
         df = df.join(part, "memory_id", "left")
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return df.select("memory_id", "text", none("photos"), "newest_photo", none("revisions"), "versions", "oldest", "open_seq", "open_op", "open_state")
+
+
+# Bytes of a dense vector and of each entry of a sparse one, and what leaves a device of a note and of one that is gone.
+DENSE, ENTRY = 4 * 384, 8
+SENT = ["kind", "asset", "tag_text", "site", "category", "priority", "device_id", "origin_device", "author", "status", "rev", "supersedes", "superseded_by", "relation", "review"]
+_OUT = "case when scope = 'redacted' then coalesce(nullif(shared_text, ''), text) else text end"
+_PACK = lambda text, side: f"length(to_json(struct_pack(\"text\" := {text}, redacted := scope = 'redacted', {', '.join(f'{c} := {side}.{c}' for c in SENT)}))::varchar)"
+_TERMS = lambda text: f"{ENTRY} * len(list_distinct(string_split(lower({text}), ' ')))"
+
+
+def note_bytes(text, fields, vectors):
+    """Bytes of a note on its way: its fields as JSON, and 8 for each term of the sparse vector and 1536 for the dense one where they go along."""
+    body = F.length(F.to_json(F.struct(text.alias("text"), (F.col("scope") == "redacted").alias("redacted"), *fields), {"ignoreNullFields": "false"}))
+    return body if vectors is None else body + ENTRY * F.size(F.array_distinct(F.split(F.lower(text), " "))) + F.when(vectors, DENSE).otherwise(0)
+
+
+@query()
+def transfer_bytes(t):
+    """Bytes of each device and direction: notes and removals that its queue writes, and notes that its pull brings."""
+    sends = push_plan(t).where("action in ('create', 'write', 'restore', 'merge')").select("memory_id")
+    light = payload_only(t).where("payload_only").select("memory_id", F.lit(True).alias("light"))
+    up = t.local_notes.join(sends, "memory_id").join(light, "memory_id", "left").select("device_id", F.lit("up").alias("direction"), note_bytes(f.outgoing_text(), SENT, F.col("light").isNull()).alias("bytes"))
+    gone = removal_plan(t).where("action = 'tombstone'").select("seq", "memory_id", F.col("rev").alias("to")).join(t.cloud_notes, "memory_id").join(t.outbox.select("seq", F.col("device_id").alias("by")), "seq")
+    fields = [F.col("to").alias("rev"), "site", "asset", F.col("by").alias("device_id"), "origin_device"]
+    removed = gone.select(F.col("by").alias("device_id"), F.lit("up").alias("direction"), note_bytes(F.lit(""), fields, None).alias("bytes"))
+    brings = pull_plan(t).where("action in ('fetch', 'refresh')").select("memory_id")
+    down = t.cloud_notes.join(brings, "memory_id").select("device_id", F.lit("down").alias("direction"), note_bytes(F.col("text"), SENT, F.lit(True)).alias("bytes"))
+    return up.unionByName(removed).unionByName(down).groupBy("device_id", "direction").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
+
+
+ORACLES["transfer_bytes"] = with_tables(f"""with push as ({ORACLES['push_plan']}), pull as ({ORACLES['pull_plan']}), thin as ({ORACLES['payload_only']}), gone as ({ORACLES['removal_plan']}),
+u as (select l.device_id, 'up' as direction, {_PACK(_OUT, 'l')} + {_TERMS(_OUT)} + case when coalesce(thin.payload_only, false) then 0 else {DENSE} end as bytes from local_notes l join push using (memory_id) left join thin using (memory_id) where push.action in ('create', 'write', 'restore', 'merge')),
+g as (select o.device_id as sender, c.scope, gone.rev as new_rev, c.site, c.asset, c.origin_device from gone join cloud_notes c using (memory_id) join outbox o using (seq) where gone.action = 'tombstone'),
+x as (select sender as device_id, 'up' as direction, length(to_json(struct_pack("text" := '', redacted := scope = 'redacted', rev := new_rev, site := site, asset := asset, device_id := sender, origin_device := origin_device))::varchar) as bytes from g),
+d as (select c.device_id, 'down' as direction, {_PACK('text', 'c')} + {_TERMS('text')} + {DENSE} as bytes from cloud_notes c join pull using (memory_id) where pull.action in ('fetch', 'refresh'))
+select device_id, direction, sum(bytes)::bigint as bytes, count(*) as "rows" from (select * from u union all select * from x union all select * from d) group by device_id, direction""")

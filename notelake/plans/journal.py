@@ -44,13 +44,6 @@ def report_groups(t):
     return t.local_notes.where("status = 'active'").groupBy("device_id", "category").agg(n.alias("n"), F.concat(F.first("category"), F.lit(" ("), n, F.lit(")")).alias("header"))
 
 
-@query("""select device_id, sum(length(to_json(struct_pack(memory_id := memory_id, "text" := text, kind := kind, asset := asset, status := status, rev := rev))::varchar) + 4 * 384 + 8 * len(list_distinct(string_split(lower(text), ' '))))::bigint as bytes from cloud_notes group by device_id""")
-def transfer_bytes(t):
-    row = F.length(F.to_json(F.struct("memory_id", "text", "kind", "asset", "status", "rev"), {"ignoreNullFields": "false"}))
-    terms = F.size(F.array_distinct(F.split(F.lower("text"), " ")))
-    return t.cloud_notes.groupBy("device_id").agg(F.sum(row + 4 * 384 + 8 * terms).alias("bytes"))
-
-
 @query("select device_id, greatest(max(updated_at), timestamp '1999-01-01') as cursor from cloud_notes group by device_id")
 def pull_cursor(t):
     return t.cloud_notes.groupBy("device_id").agg(F.greatest(F.max("updated_at"), F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")).alias("cursor"))
