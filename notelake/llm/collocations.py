@@ -80,7 +80,7 @@ def _cut(data: bytes, block: int) -> Iterator[bytes]:
 
 def blocks(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
     """shard, lang, size (words), words (the different ones, a line each) and codes (little-endian 32-bit numbers of words from 1, 0 between pieces), written once by shard."""
-    names = ["shard", "lang", "size", "words", "codes"]
+    kinds = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("words", pa.binary()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -95,12 +95,12 @@ def blocks(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFra
                     words = list(codes)[2:]
                     if words:
                         shard += 1
-                        yield pa.RecordBatch.from_pylist([{"shard": shard % shards, "lang": lang, "size": int((found > 0).sum()), "words": b"\n".join(words), "codes": found.astype("<i4").tobytes()}], schema=pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("words", pa.binary()), ("codes", pa.binary())]))
+                        yield pa.RecordBatch.from_pylist([{"shard": shard % shards, "lang": lang, "size": int((found > 0).sum()), "words": b"\n".join(words), "codes": found.astype("<i4").tobytes()}], schema=kinds)
 
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "phrase-blocks")
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows.mapInArrow(run, "shard int, lang string, size long, words binary, codes binary").write.option("parquet.page.size.row.check.min", "2").partitionBy("shard").parquet(path)
-    return spark.read.schema(f"{names[1]} string, size long, words binary, codes binary, shard int").parquet(path)
+    return spark.read.schema("lang string, size long, words binary, codes binary, shard int").parquet(path)
 
 
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
