@@ -19,7 +19,7 @@ def _exprs(name: str, time: str | None) -> list[str]:
 @query("select distinct memory_id, rev from cloud_notes where bucket <> 3")
 def stream_pull(t):
     """The change feed delivered twice; each revision arrives once. A note's time of change follows its number, as rows arrive."""
-    exprs = ["o_orderkey as memory_id", "cast(o_orderkey % 7 + o_orderkey % 3 as int) as rev", "timestamp_seconds(o_orderkey) as updated_at", "explode(array(1, 2)) as delivery"]
+    exprs = ["o_orderkey as memory_id", "cast(o_orderkey % 7 + o_orderkey % 3 as int) as rev", "timestamp_seconds(1700000000 + o_orderkey) as updated_at", "explode(array(1, 2)) as delivery"]
     feed = st.stream_table(t.spark, t.sf_dir, "orders", exprs).where("memory_id % 10 <> 3")
     return st.run_to_end(st.pull_changes(feed, "1 hour")).select("memory_id", "rev")
 
