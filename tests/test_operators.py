@@ -162,7 +162,7 @@ def test_capture(spark):
     v = [[1.0, 0.0], [0.99, 0.14], [0.6, 0.8], [0.0, 1.0]]
     notes = spark.createDataFrame([(i, "P-1", i, x) for i, x in enumerate(v)] + [(9, None, 0, [1.0, 0.0])], "memory_id long, asset string, at long, embedding array<double>")
     got = {r.memory_id: (r.outcome, r.other) for r in lifecycle.capture(notes, 0.95, 0.79).collect()}
-    assert got == {0: ("stored", None), 1: ("duplicate", 0), 2: ("stored", None), 3: ("supersedes", 2), 9: ("stored", None)}
+    assert got == {0: ("stored", None), 1: ("duplicate", 0), 2: ("stored", None), 3: ("updates", 2), 9: ("stored", None)}
 
 
 def test_connected_components(spark):
