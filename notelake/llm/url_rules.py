@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from notelake.sources.scratch import materialize
 
 #: The production rules: verdict, host, path.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DEFAULT = "allow"
 #: Rules that the sweep may send to every task: some tens of MB at most.
 MAX_SWEPT = 200_000
