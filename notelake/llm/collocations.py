@@ -15,7 +15,8 @@ Counts are summed by Spark from rows that each block has summed before; a
 phrase that ends its cycle below the threshold leaves the table. Tasks learn
 which phrases have reached the threshold, and when, from a table of ``SLOTS``
 bytes for each length, which phrases are hashed into: its size is fixed, and two
-phrases that share a slot only make longer ones be counted that need not be.
+phrases that share a slot only make longer ones be counted that need not be: a
+longer one never begins before its own subphrases are counted.
 
 A candidate's score is that of its weakest cut into two phrases; candidates
 that stand nearly always inside a longer one are dropped, and each language's
@@ -141,7 +142,8 @@ def count_block(lang: str, words: list[bytes], codes: np.ndarray, reached: list[
         if n == LONGEST or not len(at):
             return
         since, number, most = np.full(len(start), NEVER, dtype=np.int32), np.zeros(len(start), dtype=np.int64), len(found)
-        since[at] = reached[n - 1][_slots(list(hashes[own].T), len(reached[0]))][back]
+        # A slot that was marked before the phrase was counted is another's; longer ones wait until this one is there.
+        since[at] = np.maximum(reached[n - 1][_slots(list(hashes[own].T), len(reached[0]))], begun)[back]
         number[at] = back
 
 

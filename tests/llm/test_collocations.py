@@ -65,6 +65,27 @@ def test_a_phrase_is_counted_for_one_cycle_from_the_step_after_its_parts():
     assert found(3) == found(5) == {(2, (1, 2), 3, 2)}
 
 
+def test_a_slot_that_another_phrase_marked_before_loses_no_shard():
+    words, codes = [b"a", b"b", b"c"], np.array([1, 2, 3], dtype=np.int32)
+    reached = [np.full(C.SLOTS, C.NEVER, dtype=np.uint8) for _ in range(3)]
+    hashes = C._word_hashes("en", words)
+    for j, step in enumerate((0, 0, 2)):
+        reached[0][C._slots([hashes[j : j + 1]], C.SLOTS)] = step
+    for j in (0, 1):  # "b c" is counted from step 3 on, and its slot was marked in step 1
+        reached[1][C._slots([hashes[j : j + 1], hashes[j + 1 : j + 2]], C.SLOTS)] = 1
+    seen = [step for step in range(12) for n, own, _, _ in C.count_block("en", words, codes, reached, step, 3) if n == 3 and len(own)]
+    assert seen == [4, 5, 6]
+
+
+def test_few_slots_and_words_that_turn_up_late(spark):
+    rnd = random.Random(9)
+    early, late = [f"e{i}" for i in range(12)], [f"l{i}" for i in range(12)]
+    rows = [("en", " ".join(rnd.choices(early + late if i > 150 else early, k=12))) for i in range(450)]
+    for slots in (40, 300):
+        got = C.collocations(spark.createDataFrame(rows, "lang string, text string").coalesce(1), threshold=3, top=4000, slots=slots, shards=4, block=900)
+        assert sorted(map(tuple, got.collect())) == brute(rows, 3, 4000, C.INSIDE)
+
+
 def test_a_hot_language_and_long_texts(spark, docs, empty):
     rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
     got = C.collocations(docs, threshold=2, top=50)
