@@ -60,3 +60,21 @@ def test_few_pairs_are_scored(spark, monkeypatch):
     retrieval.bm25(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, DOCS), "query_id", "doc_id", 5).collect()
     every = kept["bm25-asked"].join(kept["bm25-postings"], "term").select("query_id", "doc_id").distinct().count()
     assert kept["bm25-candidates"].count() < every / 5
+
+
+def test_blocks_of_queries_and_chunks_that_cut_documents(spark):
+    docs = made(seed=4)
+    df = spark.createDataFrame(docs, DOCS)
+    queries = df.where("doc_id % 9 = 0").selectExpr("doc_id as query_id", "text")
+    got = retrieval.bm25(queries, df, "query_id", "doc_id", 3, "shard", "status = 'active'", same=True, block=40, chunk=7)
+    assert sorted((r.query_id, r.doc_id, r.score, r.place) for r in got.collect()) == brute([(d[0], d[1]) for d in docs if d[0] % 9 == 0], docs, 3, True, True, True)
+
+
+def test_what_is_shuffled_does_not_follow_pairs(spark, monkeypatch):
+    """Queries that share all their words with every document: the tasks hand on k rows a query each."""
+    kept = {}
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: kept.setdefault(name, df.cache()))
+    docs = spark.createDataFrame([(i, "alpha beta gamma " + "delta " * (i % 7)) for i in range(400)], "doc_id long, text string").repartition(4)
+    queries = docs.where("doc_id % 5 = 0").selectExpr("doc_id as query_id", "text")
+    assert retrieval.bm25(queries, docs, "query_id", "doc_id", 3, same=True).count() == 240
+    assert kept["bm25-candidates"].count() <= 80 * 3 * kept["bm25-candidates"].rdd.getNumPartitions()
