@@ -147,9 +147,9 @@ def outcomes(notes: DataFrame, same: float = SAME, follows: float = FOLLOWS, blo
     vectors. Of equal cosines the note that came first is nearer. Notes without
     an asset or a vector are stored. memory_id is unique.
     """
-    rows = note_rows(notes)
-    open_ = rows.where("asset is not null and embedding is not null")
-    open_ = materialize(open_.withColumn("class", F.xxhash64("asset", "embedding")), "capture-notes")
+    of = F.when(F.col("asset").isNotNull() & F.col("embedding").isNotNull(), F.xxhash64("asset", "embedding"))
+    rows = materialize(note_rows(notes).withColumn("class", of), "capture-notes")
+    open_ = rows.where("class is not null")
     pairs = materialize(alike(open_, follows, block), "capture-pairs")
     label = connected_components(pairs.where("a <> b"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -177,7 +177,7 @@ def outcomes(notes: DataFrame, same: float = SAME, follows: float = FOLLOWS, blo
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["memory_id", "asset", "private", "priority", "outcome", "other"])
 
     folded = links.unionByName(members, allowMissingColumns=True).repartition("component").sortWithinPartitions("component", "step", "at", "id").mapInArrow(run, _OUTCOME)
-    alone = told.where("component is null").unionByName(rows.where("asset is null or embedding is null"), allowMissingColumns=True)
+    alone = told.where("component is null").unionByName(rows.where("class is null"), allowMissingColumns=True)
     return folded.unionByName(alone.select("memory_id", "asset", "private", "priority", F.lit("stored").alias("outcome"), F.lit(None).cast("long").alias("other")))
 
 

@@ -1,12 +1,14 @@
-"""What goes through the detector."""
+"""What goes through the detector, and how often the notes to capture are computed."""
 
 import itertools
 import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from notelake.functions import spans
+from notelake.operators import lifecycle
 from notelake.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,17 @@ def test_only_texts_with_a_vector_go_through_the_detector(spark, name):
     at = next(i for i, line in enumerate(lines) if line.lstrip(" :+-").startswith("ArrowEvalPython"))
     below = itertools.takewhile(lambda i: depth[i] > depth[at], range(at + 1, len(lines)))
     assert any(lines[i].lstrip(" :+-").startswith("Join") for i in below)
+
+
+def test_a_note_to_capture_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def asset(i):
+        seen.add(1)
+        return None if i % 4 == 0 else f"P-{i % 3}"
+
+    notes = spark.range(40).select(F.col("id").alias("memory_id"), asset("id").alias("asset"), F.col("id").alias("at"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    got = lifecycle.outcomes(notes).collect()
+    assert len(got) == 40 and sum(r.asset is None for r in got) == 10
+    assert seen.value == 40
