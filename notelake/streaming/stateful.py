@@ -113,43 +113,81 @@ def outbox(actions: DataFrame) -> DataFrame:
     return actions.groupBy("device_id", "memory_id").transformWithStateInPandas(_Outbox(), schema, "update", "None")
 
 
+#: Buckets that announcements are dealt into; the state of a stream goes with it.
+BUCKETS = 1024
+
+
 class _Expiry(StatefulProcessor):
-    """One announcement: when it ends."""
+    """The announcements of one bucket: when each ends, and which end at a time.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.ends = handle, handle.getValueState("ends", "at long")
+    A call of the state is a message, so a bucket that holds nothing is asked
+    once, and only rows that move or wait cost calls of their own.
+    """
 
-    def _over(self, key, at: int) -> pd.DataFrame:
-        self.ends.clear()
-        return pd.DataFrame({"memory_id": [int(key[0])], "expired_at": [pd.Timestamp(at, unit="ms")]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ends = handle.getMapState("ends", "memory_id long", "at long")
+        self.due = handle.getMapState("due", "at long", "ids array<long>")
+
+    def _due(self, at: int) -> list[int]:
+        return list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
+
+    def _forget(self, ids: list[int]) -> None:
+        """Take ``ids`` out of the state, and the timers that are left without any."""
+        gone: dict[int, set[int]] = {}
+        for i in ids:
+            if self.ends.containsKey((i,)):
+                gone.setdefault(self.ends.getValue((i,))[0], set()).add(i)
+                self.ends.removeKey((i,))
+        for at, some in gone.items():
+            left = [i for i in self._due(at) if i not in some]
+            if left:
+                self.due.updateValue((at,), (left,))
+            else:
+                self.due.removeKey((at,))
+                self.handle.deleteTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = _rows(rows, "updated_at").iloc[-1]
-        at = int(last["ends"])
+        last = _rows(rows, "updated_at").drop_duplicates("memory_id", keep="last")
         if self.ends.exists():
-            self.handle.deleteTimer(self.ends.get()[0])
-        if at <= timerValues.getCurrentProcessingTimeInMs():
-            yield self._over(key, at)
-        else:
-            self.ends.update((at,))
-            self.handle.registerTimer(at)
+            self._forget(last["memory_id"].tolist())
+        over = last["ends"] <= timerValues.getCurrentProcessingTimeInMs()
+        for at, some in last[~over].groupby("ends")["memory_id"]:
+            ids = some.tolist()
+            for i in ids:
+                self.ends.updateValue((i,), (int(at),))
+            self.due.updateValue((int(at),), (self._due(int(at)) + ids,))
+            self.handle.registerTimer(int(at))
+        if over.any():
+            yield _told(last["memory_id"][over], last["ends"][over])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.ends.exists():
-            yield self._over(key, self.ends.get()[0])
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        ids = self._due(at)
+        if ids:
+            for i in ids:
+                self.ends.removeKey((i,))
+            self.due.removeKey((at,))
+            yield _told(ids, [at] * len(ids))
 
     def close(self) -> None:
         pass
 
 
+def _told(ids, ends) -> pd.DataFrame:
+    return pd.DataFrame({"memory_id": np.asarray(ids, dtype=np.int64), "expired_at": np.asarray(ends, dtype=np.int64).astype("datetime64[ms]")})
+
+
 def expiry(notes: DataFrame) -> DataFrame:
     """memory_id and expired_at of announcements as their time is up by the clock, whether or not anything else arrives.
 
     A later row of an announcement (by updated_at) moves its end. What has
     ended leaves no state; a row that comes after its own end is told at once.
+    State is kept by bucket of announcements, whose rows come together.
     """
-    rows = notes.where("memory_id is not null and expires_at is not null").select("memory_id", F.unix_millis(F.col("expires_at").cast("timestamp")).alias("ends"), "updated_at")
-    return rows.groupBy("memory_id").transformWithStateInPandas(_Expiry(), "memory_id long, expired_at timestamp", "append", "ProcessingTime")
+    rows = notes.where("memory_id is not null and expires_at is not null").select(F.col("memory_id").cast("long"), F.unix_millis(F.col("expires_at").cast("timestamp")).alias("ends"), "updated_at")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("memory_id"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(_Expiry(), "memory_id long, expired_at timestamp", "append", "ProcessingTime")
 
 
 class _Link(StatefulProcessor):
