@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from notelake.operators import chains
 from notelake.operators import filters as f
 from notelake.operators import sync as s
+from notelake.operators.skew import dealt
 from notelake.plans.registry import ORACLES, query
 from notelake.plans.scans import payload_only
 from notelake.sources.tables import with_tables
@@ -91,7 +92,8 @@ def behind_count(t):
 
 @query("select memory_id, p.rev, case when p.status = 'deleted' then 'drop' when r.memory_id is null then 'new' else 'newer' end as action from cloud_notes p left join replica_notes r using (memory_id) where memory_id not in (select memory_id from local_notes) and (p.review is distinct from 'pending' or p.priority >= 2) and (r.memory_id is null or p.rev > r.rev)")
 def peer_plan(t):
-    offered = t.cloud_notes.where(f.may_see()).join(t.local_notes.select("memory_id"), "memory_id", "left_anti").select("memory_id", "rev", "status")
+    shown = dealt(t.cloud_notes.where(f.may_see()).select("memory_id", "rev", "status"), "memory_id")
+    offered = shown.join(t.local_notes.select("memory_id"), "memory_id", "left_anti")
     df = offered.join(t.replica_notes.select("memory_id", F.col("rev").alias("own")), "memory_id", "left").where("own is null or rev > own")
     return df.select("memory_id", "rev", F.when(F.col("status") == "deleted", "drop").when(F.col("own").isNull(), "new").otherwise("newer").alias("action"))
 
